@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language_id, packing, token_counts, toxicity
+from . import chats, common, decontaminate, language_id, licenses, packing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > 4096).alias("over_limit"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "licence.n_words",
+        F.size("licence.places").cast("long").alias("n_base"),
+        F.array_min("licence.places").alias("first_word"),
+        F.array_max("licence.places").alias("last_word"),
+        F.array_join("licence.base_labels", ",").alias("base_labels"),
+        F.array_join("licence.labels", ",").alias("labels"),
+        "licence.score",
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=common.crc_mod(F.col("__id"), 5) != 0)
@@ -46,6 +60,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", toxicity.predicted("score").alias("predicted"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, train=common.crc_mod(F.col("doc_id"), 4) != 2)
@@ -53,7 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", (common.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("guess.lang").alias("lang_pred"), "guess.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_token_counts, op6_toxicity, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op8_chat_format, op9_language_id)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -74,4 +92,13 @@ ORACLES = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op8_chat_format": """
+        WITH own AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        logs AS (SELECT conv_id, list(struct_pack(turn, role, text) ORDER BY turn, role, text) AS l, count(*) AS n FROM own GROUP BY 1),
+        prefixes AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM logs)),
+        kept AS (SELECT min(conv_id) AS conv_id, count(*) AS copies FROM logs WHERE l NOT IN (SELECT l FROM prefixes) GROUP BY l)
+        SELECT conv_id, turn // 256 AS part, count(*) AS n_turns, copies,
+               string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+        FROM own JOIN kept USING (conv_id) GROUP BY conv_id, turn // 256, copies
+    """,
 }
