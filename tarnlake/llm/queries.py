@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, common, decontaminate, language_id, licenses, near_dedup, packing, token_counts, toxicity
+from . import chats, common, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", toxicity.predicted("score").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("chars_before"))
+    cut = line_dedup.dedup_lines(docs, removed="runs")
+    return cut.select("doc_id", "chars_before", F.length("text").cast("long").alias("chars_after"), F.size("runs").cast("long").alias("n_runs"), "text")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -75,7 +81,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op8_chat_format, op9_language_id, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op7_line_dedup, op8_chat_format, op9_language_id, op10_near_dedup)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
