@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, common, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, token_counts, toxicity
+from . import chats, common, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, spotsigs, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("set", spotsigs.signatures(F.col("text")))
+    pairs = spotsigs.with_next(docs, ["text", "set"]).withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
+    pairs = pairs.withColumn("edited_set", spotsigs.signatures(F.col("edited")))
+    return pairs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("set")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("set"), F.col("edited_set"), 0.05).alias("near_edited"),
+        spotsigs.likeness(F.col("set"), F.col("next_set"), 0.05).alias("near_next"),
+        spotsigs.length_part(F.col("set"), 0.75).alias("length_part"),
+    )
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
@@ -81,7 +98,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op7_line_dedup, op8_chat_format, op9_language_id, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_spot_signatures, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op7_line_dedup, op8_chat_format, op9_language_id, op10_near_dedup)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
