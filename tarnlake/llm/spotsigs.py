@@ -1,10 +1,12 @@
 """Document fingerprints from spot signatures; DataFrame functions only.
 
 A signature is a common word (the anchor) with the chain of the next ``chain`` words that are not
-common. The set of a text's signatures, as sorted 32-bit hashes, is its fingerprint: changes of
-layout, stock lines and single words move few of them. Two sets can only resemble each other as much
-as the shorter fills the longer, so sets are partitioned by length on a logarithmic scale and pairs
-whose lengths already lie too far apart are not compared at all.
+common. So that tables and lists, which hold hardly any common words, have signatures in the same
+way, content words that end in ``n`` or a digit are anchors as well; they stay parts of chains. The
+set of a text's signatures, as sorted 32-bit hashes, is its fingerprint: changes of layout, stock
+lines and single words move few of them. Two sets can only resemble each other as much as the
+shorter fills the longer, so sets are partitioned by length on a logarithmic scale and pairs whose
+lengths already lie too far apart are not compared at all.
 
 A text with fewer than ``least`` anchored chains takes a chain at every word instead; a text with
 too few words for any chain takes its words as they are, so that equal texts always have equal, and
@@ -25,7 +27,7 @@ from .licenses import let
 ANCHORS = "the of and to in is a that de la le les et des un que der die und das von zu mit den el los las en del por una y".split()
 # Further common words, which no chain holds.
 SKIPPED = "for on was with as be it this by are at from or an he ein eine ist für auf im nicht auch es se no con para su al lo est du dans pour au ce qui il par sur ne pas avec".split()
-_A, _W = "\x01", "[^ \x01]+"
+_A, _B, _W = "\x01", "\x02", "[^ \x01\x02]+"
 
 
 def _one_of(words: list[str]) -> str:
@@ -37,10 +39,12 @@ def signatures(text: Column, *, chain: int = 2, least: int = 4) -> Column:
     line = F.concat(F.lit(" "), common.folded(text), F.lit(" "))
     plain = F.regexp_replace(line, f" (?:{_one_of(SKIPPED)})(?= )", "")
     marked = F.regexp_replace(plain, f" ({_one_of(ANCHORS)})(?= )", f"{_A}$1")
-    following = f"(?:(?:{_A}{_W})* {_W}){{{chain}}}"
-    spots = F.regexp_extract_all(marked, F.lit(f"{_A}(?=({_W}{following}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(f"(?<= )(?=({_W}(?: {_W}){{{chain}}}))"), F.lit(1))
-    found = let(spots, lambda s: F.when(F.size(s) >= least, F.transform(s, lambda x: F.hash(F.regexp_replace(x, f"{_A}{_W}", "")))).otherwise(F.transform(every, lambda x: F.hash(x))))
+    marked = F.regexp_replace(marked, f" (?=[^ {_A}]*[n0-9][ {_A}])", _B)
+    following = f"(?:(?:{_A}{_W})*[ {_B}]{_W}){{{chain}}}"
+    spots = F.regexp_extract_all(marked, F.lit(f"[{_A}{_B}](?=({_W}{following}))"), F.lit(1))
+    every = F.regexp_extract_all(line, F.lit(f"(?<= )(?=((?:[^ ]+ ){{{chain + 1}}}))"), F.lit(1))
+    bare = lambda x: F.translate(F.regexp_replace(x, f"{_A}{_W}", ""), _B, " ")
+    found = let(spots, lambda s: F.when(F.size(s) >= least, F.transform(s, lambda x: F.hash(bare(x)))).otherwise(F.transform(every, lambda x: F.hash(x))))
     return let(found, lambda s: F.when(F.size(s) > 0, F.array_sort(F.array_distinct(s))).otherwise(F.array(F.hash(F.trim(line), F.lit("whole")))))
 
 
