@@ -18,3 +18,6 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+from . import governed, market, quality, relational, table_changes  # noqa: E402, F401  each registers its queries
