@@ -10,8 +10,8 @@ far below the bound (``slack`` standard errors) are dropped, all others are conf
 
 Documents with the same words form one class first, so copies never pair. Within a bucket candidates
 are pairs with one hub, not all pairs. As resemblance isn't transitive, buckets whose members are
-then still in different components get other hubs, and at last all pairs across components that are
-left, so that no candidate link is lost. Every step is a join or an aggregate with partial sums; big
+then still in different components get other hubs, and at last the pairs across components that shared
+rare shingles and sizes leave possible, so that no candidate link is lost. Every step is a join or an aggregate with partial sums; big
 buckets and groups meet only in joins that adaptive execution splits.
 """
 
@@ -202,7 +202,58 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     return common.materialize(now.select(F.col("v").alias("node"), F.col("u").alias("label")).union(now.select(F.col("u").alias("node"), F.col("u").alias("label"))).distinct(), "labels")
 
 
-def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 7.0, hubs: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
+def _open_buckets(inside: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and the buckets in which there are several, with this turn's hub's hash."""
+    marked = common.materialize(inside.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "marked")
+    by = marked.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.xxhash64(F.lit(turn), "node")).alias("pick"), F.count("*").alias("n"))
+    return marked, by.filter("a < b").select("bucket", "pick", "n")
+
+
+def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int, rare: int = 8, step: float = 1.02) -> DataFrame:
+    """All pairs across components that share a bucket and can still be links, without trying all.
+
+    Shingles that at most ``rare`` of these documents hold are listed outright: pairs that share one
+    are few for each. A pair that shares none overlaps in common shingles only, so that each document
+    bounds the size its partner can have; sizes are dealt into classes of a factor ``step``, and a
+    document meets only the classes within its bound. Both parts together lose no link.
+    """
+    nodes = open_.groupBy("node").agg(F.min("label").alias("label"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Words()
+        for batch in batches:
+            for node, label, text in zip(batch["node"], batch["label"], batch["text"], strict=True):
+                found = shingles(words_of(text), hashes, width)
+                yield pd.DataFrame({"node": node, "label": label, "n": len(found), "token": found.view(np.int64)})
+
+    tokens = texts.join(nodes, "node").select("node", "label", "text").mapInPandas(run, "node long, label long, n long, token long")
+    tokens = common.materialize(tokens, "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token", "f")
+    often = common.materialize(often, "token-counts")
+    held = tokens.join(often, "token", "left")
+    few = common.materialize(tokens.join(often.filter(F.col("f") <= rare), "token").select("node", "label", "token"), "rare-tokens")
+    other = few.select("token", F.col("node").alias("other"), F.col("label").alias("other_label"))
+    pairs = _ordered(few.join(other, "token").filter("node < other AND label <> other_label").select("node", "other"))
+
+    sizes = held.groupBy("node").agg(F.max("n").alias("n"), F.count(F.when(F.col("f") > rare, 1)).alias("r"))
+    known = common.materialize(open_.join(sizes, "node"), "sized-members")
+    # the picked member's component stands aside: of two components in a bucket one is another
+    main = known.filter("picked").select("bucket", F.col("label").alias("main"))
+    level = lambda x: F.floor(F.log(x) / math.log(step)).cast("int")
+    most = F.floor(F.col("r") * (100 + percent) / F.lit(percent)) - F.col("n")
+    least = F.ceil(F.col("n") * F.lit(percent) / 100)
+    seeking = known.join(common.materialize(main, "main-components"), "bucket").filter("label <> main").withColumn("most", most).filter(F.col("most") >= least)
+    seeking = seeking.withColumn("level", F.explode(F.sequence(level(least), level(F.col("most")))))
+    there = known.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("m"), F.col("r").alias("s"), level(F.col("n")).alias("level"))
+    can = (F.least("r", "s") * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (F.col("label") != F.col("other_label"))
+    return pairs.union(_ordered(seeking.join(there, ["bucket", "level"]).filter(can).select("node", "other"))).distinct()
+
+
+def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 7.0, hubs: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id, kept.
 
     Links hold from ``percent`` per cent of the union on; a component is named by its smallest id.
@@ -243,29 +294,30 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
     links = common.materialize(confirmed(tested).union(same), "links")
     labels = components(links)
 
-    for turn in range(1, hubs + 2):
-        marked = inside.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        marked = common.materialize(marked, "marked")
-        split = marked.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.xxhash64(F.lit(turn), "node")).alias("pick")).filter("a < b").select("bucket", "pick")
-        open_ = marked.join(split, "bucket")
-        if turn <= hubs:
-            hub = open_.filter(F.xxhash64(F.lit(turn), "node") == F.col("pick")).select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-            pairs = open_.join(common.materialize(hub, "hubs"), "bucket").filter("label <> hub_label").select("node", F.col("hub").alias("other"))
-        else:
-            other = open_.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            pairs = open_.join(other, "bucket").filter("node < other AND label <> other_label").select("node", "other")
-        pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-        fresh = common.materialize(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+    def linked(fresh: DataFrame) -> None:
+        """Test pairs that weren't yet and take in the links among them."""
+        nonlocal tested, labels
+        fresh = common.materialize(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
         if fresh.isEmpty():
-            if turn <= hubs:
-                continue
-            break
+            return
         tested = tested.union(fresh)
         found = common.materialize(confirmed(fresh), "links")
         if not found.isEmpty():
-            links = links.union(found)
             labels = components(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).union(found))
 
+    for turn in range(1, hubs + 1):
+        marked, split = _open_buckets(inside, labels, turn)
+        open_ = marked.join(split, "bucket")
+        hub = open_.filter(F.xxhash64(F.lit(turn), "node") == F.col("pick")).select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        pairs = open_.join(common.materialize(hub, "hubs"), "bucket").filter("label <> hub_label")
+        linked(_ordered(pairs.select("node", F.col("hub").alias("other"))))
+
+    # a bucket of two was its own hub's pair
+    marked, split = _open_buckets(inside, labels, hubs + 1)
+    open_ = common.materialize(marked.join(split.filter("n > 2"), "bucket").select("bucket", "node", "label", (F.xxhash64(F.lit(hubs + 1), "node") == F.col("pick")).alias("picked")), "open-buckets")
+    if not open_.isEmpty():
+        linked(_last_pairs(open_, texts, width=width, percent=percent))
+
     named = member.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
     named = common.materialize(named, "components")
     rest = made.select(F.col("id").alias("__id"), "n_shingles")
