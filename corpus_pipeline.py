@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import common, decontaminate, packing, toxicity
+from tarnlake.llm import common, decontaminate, line_dedup, near_dedup, packing, toxicity
 from tarnlake.llm.queries import table, tokenizer
 
 #: Fits of a model and a global near-duplicate search: SQL can't express them.
@@ -16,6 +16,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines that an earlier document holds go; so do documents of which nothing is left."""
+    return line_dedup.drop_emptied(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share three quarters of their five-word shingles the one of the smallest id stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a test item, or all of a shorter one, go."""
     return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
@@ -28,6 +38,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("minhash_near_dedup", drop_near_copies),
     ("benchmark_decontamination", drop_benchmark_leaks),
     ("best_fit_packing", pack_sequences),
 ]
