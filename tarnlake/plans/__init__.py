@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import governed, market, quality, relational, table_changes  # noqa: E402, F401  each registers its queries
+from . import governed, market, quality, relational, streams, table_changes  # noqa: E402, F401  each registers its queries
