@@ -27,7 +27,7 @@ from .licenses import let
 ANCHORS = "the of and to in is a that de la le les et des un que der die und das von zu mit den el los las en del por una y".split()
 # Further common words, which no chain holds.
 SKIPPED = "for on was with as be it this by are at from or an he ein eine ist für auf im nicht auch es se no con para su al lo est du dans pour au ce qui il par sur ne pas avec".split()
-_A, _B, _W = "\x01", "\x02", "[^ \x01\x02]+"
+_A, _B, _W = "\x01", "\x02", "[^ \x01\x02]++"
 
 
 def _one_of(words: list[str]) -> str:
@@ -35,14 +35,18 @@ def _one_of(words: list[str]) -> str:
 
 
 def signatures(text: Column, *, chain: int = 2, least: int = 4) -> Column:
-    """Sorted distinct signature hashes of a text; null counts as empty."""
+    """Sorted distinct signature hashes of a text; null counts as empty.
+
+    A chain passes over at most 16 common words in a row. All repetitions are possessive, so that no
+    text, however long, makes the matcher backtrack or recurse.
+    """
     line = F.concat(F.lit(" "), common.folded(text), F.lit(" "))
     plain = F.regexp_replace(line, f" (?:{_one_of(SKIPPED)})(?= )", "")
     marked = F.regexp_replace(plain, f" ({_one_of(ANCHORS)})(?= )", f"{_A}$1")
     marked = F.regexp_replace(marked, f" (?=[^ {_A}]*[n0-9][ {_A}])", _B)
-    following = f"(?:(?:{_A}{_W})*[ {_B}]{_W}){{{chain}}}"
+    following = f"(?:(?:{_A}{_W}){{0,16}}+[ {_B}]{_W}){{{chain}}}"
     spots = F.regexp_extract_all(marked, F.lit(f"[{_A}{_B}](?=({_W}{following}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(f"(?<= )(?=((?:[^ ]+ ){{{chain + 1}}}))"), F.lit(1))
+    every = F.regexp_extract_all(line, F.lit(f"(?<= )(?=((?:[^ ]++ ){{{chain + 1}}}))"), F.lit(1))
     bare = lambda x: F.translate(F.regexp_replace(x, f"{_A}{_W}", ""), _B, " ")
     found = let(spots, lambda s: F.when(F.size(s) >= least, F.transform(s, lambda x: F.hash(bare(x)))).otherwise(F.transform(every, lambda x: F.hash(x))))
     return let(found, lambda s: F.when(F.size(s) > 0, F.array_sort(F.array_distinct(s))).otherwise(F.array(F.hash(F.trim(line), F.lit("whole")))))
