@@ -49,7 +49,7 @@ def signatures(text: Column, *, chain: int = 2, least: int = 4) -> Column:
     every = F.regexp_extract_all(line, F.lit(f"(?<= )(?=((?:[^ ]++ ){{{chain + 1}}}))"), F.lit(1))
     bare = lambda x: F.translate(F.regexp_replace(x, f"{_A}{_W}", ""), _B, " ")
     found = let(spots, lambda s: F.when(F.size(s) >= least, F.transform(s, lambda x: F.hash(bare(x)))).otherwise(F.transform(every, lambda x: F.hash(x))))
-    return let(found, lambda s: F.when(F.size(s) > 0, F.array_sort(F.array_distinct(s))).otherwise(F.array(F.hash(F.trim(line), F.lit("whole")))))
+    return let(found, lambda s: F.when(F.size(s) > 0, F.sort_array(F.array_distinct(s))).otherwise(F.array(F.hash(F.trim(line), F.lit("whole")))))
 
 
 def fingerprint(found: Column) -> Column:
