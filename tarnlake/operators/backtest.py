@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from .relational import cumprod, drawdown
 
 DAYS_PER_YEAR = 252
-_BY = Window.partitionBy("symbol").orderBy("timestamp")
+
+
+def _by():
+    """Bars of a symbol in time order."""
+    return Window.partitionBy("symbol").orderBy("timestamp")
 
 
 @dataclass(frozen=True)
@@ -24,7 +28,7 @@ class Config:
 def signals(pred: DataFrame, min_confidence: float = 0.55) -> DataFrame:
     """Long where the predicted probability is above the bound; a first signal counts as a change."""
     out = pred.withColumn("signal", (F.col("pred_proba_up") > min_confidence).cast("int"))
-    return out.withColumn("position_change", F.abs(F.col("signal") - F.coalesce(F.lag("signal").over(_BY), F.lit(0))))
+    return out.withColumn("position_change", F.abs(F.col("signal") - F.coalesce(F.lag("signal").over(_by()), F.lit(0))))
 
 
 def equity(pred: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -33,7 +37,7 @@ def equity(pred: DataFrame, cfg: Config = Config()) -> DataFrame:
     cost = cfg.transaction_cost_bps / 10_000
     out = out.withColumn("strategy_return", F.col("signal") * F.col("target_return_next") * cfg.position_size_pct - F.col("position_change") * cost * cfg.position_size_pct)
     out = out.withColumn("buy_hold_return", F.col("target_return_next"))
-    return out.withColumns({f"{x}_equity": cfg.initial_capital * cumprod(1 + F.col(f"{x}_return"), _BY) for x in ("strategy", "buy_hold")})
+    return out.withColumns({f"{x}_equity": cfg.initial_capital * cumprod(1 + F.col(f"{x}_return"), _by()) for x in ("strategy", "buy_hold")})
 
 
 def performance(curves: DataFrame, which: str = "strategy") -> DataFrame:
@@ -43,7 +47,7 @@ def performance(curves: DataFrame, which: str = "strategy") -> DataFrame:
     All are 0 where the last equity isn't positive.
     """
     r, e = F.col(f"{which}_return"), F.col(f"{which}_equity")
-    down = curves.withColumn("__down", drawdown(e, _BY))
+    down = curves.withColumn("__down", drawdown(e, _by()))
     raw = down.groupBy("symbol").agg(
         F.count("*").alias("n"),
         F.min_by(e, "timestamp").alias("first"),

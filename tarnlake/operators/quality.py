@@ -85,6 +85,8 @@ def holds(rule: Column | str) -> Column:
 def expect(df: DataFrame, rules: Mapping[str, Column | str]) -> DataFrame:
     """Per rule: passed and failed rows. Rows stay as they are."""
     sums = [F.coalesce(F.sum((~holds(r)).cast("long")), F.lit(0)).alias(n) for n, r in rules.items()]
+    if not rules:
+        return df.sparkSession.createDataFrame([], "name string, passed_records long, failed_records long")
     one = df.agg(F.count("*").alias("__n"), *sums)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col("__n") - F.col(n)).alias("passed_records"), F.col(n).alias("failed_records")) for n in rules]))
     return one.select(each.alias("m")).select("m.*")

@@ -1,0 +1,162 @@
+"""Tables declared as functions: each names what it reads, and a run makes them in that order."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import changes, quality
+from ..sources.ingest import read_or_none
+from ..streaming.sinks import VersionedTable
+
+
+@dataclass
+class _Node:
+    make: Callable[[], DataFrame]
+    kind: str
+    warn: Mapping[str, str] = field(default_factory=dict)
+    drop: Mapping[str, str] = field(default_factory=dict)
+    fail: Mapping[str, str] = field(default_factory=dict)
+
+
+class Pipeline:
+    """Streaming tables take in new rows only, tables are made anew, views are not stored.
+
+    Expectations are measured on each table that is written; the numbers are kept beside the tables.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.nodes: dict[str, _Node] = {}
+        self._seen: set[str] | None = None
+
+    def _declare(self, kind: str, name: str | None, when: bool, rules: dict) -> Callable:
+        def add(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+            if when:
+                self.nodes[name or make.__name__] = _Node(make, kind, **rules)
+            return make
+
+        return add
+
+    def table(self, name: str | None = None, *, when: bool = True, **rules) -> Callable:
+        """A table that each run makes anew. Rules: warn, drop, fail, each name -> condition."""
+        return self._declare("table", name, when, rules)
+
+    def streaming_table(self, name: str | None = None, *, when: bool = True, **rules) -> Callable:
+        return self._declare("stream", name, when, rules)
+
+    def view(self, name: str | None = None, *, when: bool = True) -> Callable:
+        return self._declare("view", name, when, {})
+
+    def apply_changes(self, name: str, *, source: str, keys: Sequence[str], sequence_by: str, deletes: str | None = None, history: bool = False) -> None:
+        """A table of the current rows, or the history, of a stored table of change events."""
+
+        def make() -> DataFrame:
+            events = self.read(source)
+            if history:
+                return changes.scd2(events, keys, sequence_by, deletes=deletes)
+            return changes.apply_changes(events, keys, [sequence_by], deletes=deletes)
+
+        self.nodes[name] = _Node(make, "table")
+
+    def _store(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        """The rows of another table or view."""
+        if self._seen is not None:
+            self._seen.add(name)
+        node = self.nodes[name]
+        if node.kind == "view":
+            return node.make()
+        at = self._store(name).read() if node.kind == "table" else read_or_none(self.spark, self._folder(name))
+        if at is None:
+            raise LookupError(f"{name} has not been made yet")
+        return at
+
+    def read_stream(self, name: str) -> DataFrame:
+        """The rows that another streaming table gets."""
+        if self._seen is not None:
+            self._seen.add(name)
+        folder = self._folder(name)
+        return self.spark.readStream.schema(self.spark.read.parquet(folder).schema).parquet(folder)
+
+    def _generation(self, name: str) -> str:
+        """The folder of a streaming table's rows and checkpoint since its last full refresh."""
+        log = read_or_none(self.spark, f"{self.path}/{name}/_generations")
+        return "" if log is None else log.orderBy(F.desc("at")).first()["generation"]
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/{name}/{self._generation(name)}/rows"
+
+    def _refresh(self, name: str) -> None:
+        row = self.spark.range(1).select(F.lit(uuid.uuid4().hex).alias("generation"), F.current_timestamp().alias("at"))
+        row.write.mode("append").parquet(f"{self.path}/{name}/_generations")
+
+    def _measure(self, name: str, df: DataFrame, node: _Node) -> DataFrame:
+        """Record the rules' numbers, and the rows that may be written."""
+        for action, rules in (("warn", node.warn), ("drop", node.drop), ("fail", node.fail)):
+            if rules:
+                out = quality.expect(df, rules).select(F.lit(name).alias("table"), F.lit(action).alias("action"), "name", "passed_records", "failed_records", F.current_timestamp().alias("at"))
+                out.write.mode("append").parquet(f"{self.path}/_metrics")
+        return quality.expect_all_or_fail(quality.expect_all_or_drop(df, node.drop), node.fail)
+
+    def metrics(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/_metrics")
+
+    def _make(self, name: str) -> None:
+        node = self.nodes[name]
+        if node.kind == "table":
+            self._store(name).write(self._measure(name, node.make(), node))
+        elif node.kind == "stream":
+            if not self._generation(name):
+                self._refresh(name)
+            folder = self._folder(name)
+            df = node.make()
+
+            def write(batch: DataFrame, batch_id: int) -> None:
+                # a batch that runs again replaces what it wrote before
+                self._measure(name, batch, node).withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch").parquet(folder)
+
+            query = df.writeStream.foreachBatch(write).option("checkpointLocation", folder.removesuffix("rows") + "checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+
+    def run(self, *, full_refresh: Iterable[str] = (), only: Iterable[str] | None = None) -> None:
+        """Make all tables, or some; those named in ``full_refresh`` from scratch. The first failure stops it."""
+        for name in full_refresh:
+            if self.nodes[name].kind == "stream":
+                self._refresh(name)
+        wanted = set(only) if only is not None else set(self.nodes)
+        waiting = [n for n in self.nodes if n in wanted and self.nodes[n].kind != "view"]
+        self._order = []
+        while waiting:
+            late = []
+            for name in waiting:
+                try:
+                    self._seen = set()
+                    self.nodes[name].make()
+                    ready = not self._seen.intersection(late + [w for w in waiting if w not in self._order and w != name])
+                except LookupError:
+                    ready = False
+                except Exception as e:  # a stream over a folder that isn't there yet
+                    if "PATH_NOT_FOUND" not in str(e):
+                        raise
+                    ready = False
+                finally:
+                    self._seen = None
+                if ready:
+                    self._make(name)
+                    self._order.append(name)
+                else:
+                    late.append(name)
+            if len(late) == len(waiting):
+                raise LookupError(f"these tables wait for each other or for what isn't there: {late}")
+            waiting = late
+
+    def order(self) -> list[str]:
+        """The tables of the last run in the order they were made."""
+        return self._order
