@@ -75,7 +75,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit_weights(names: list[str], texts: Iterable[str | None], labels: np.ndarray, *, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 300, rate: float = 0.05) -> Model:
+def fit_weights(names: list[str], texts: Iterable[str | None], labels: np.ndarray, *, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 300, rate: float = 0.1) -> Model:
     """Minimise log loss + l2 |w|^2 + counterfactual * mean squared logit change under swaps."""
     texts = list(texts)
     number = {n: i for i, n in enumerate(names)}
