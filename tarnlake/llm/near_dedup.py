@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -178,20 +178,22 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     Large-star and small-star steps in turn: each links nodes to the smallest neighbour, over
     aggregates with partial minima; the number of edges never grows. Stops when nothing changes.
     """
-    now = common.materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), "edges")
 
     def star(of: DataFrame, large: bool) -> DataFrame:
-        both = of.select(F.col("u").alias("x"), F.col("v").alias("y")).union(of.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        if not large:
-            both = both.filter("y <= x")
-        least = common.materialize(both.groupBy("x").agg(F.min("y").alias("y0")).select(F.col("x").alias("x0"), F.least("x", "y0").alias("m")), "least")
+        both = of.select(F.col("v").alias("x"), F.col("u").alias("y"))
+        if large:
+            both = both.union(of.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("x0"), F.least("x", "m").alias("m"))
+        if large:
+            least = common.materialize(least, "least")  # so that a join with a hub's many edges can be split
         met = both.join(least, both["x"] == least["x0"])
         if large:
             made = met.filter("y > x").select(F.col("m").alias("u"), F.col("y").alias("v"))
         else:
-            made = met.select(F.col("m").alias("u"), F.col("y").alias("v")).union(met.select(F.col("m").alias("u"), F.col("x").alias("v")))
+            made = met.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("y").alias("v")), F.struct(F.col("m").alias("u"), F.col("x").alias("v")))).alias("e")).select("e.*")
         return made.filter("u < v").distinct()
 
+    now = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
     mark = None
     for _ in range(most):
         now = common.materialize(star(star(now, True), False), "edges")
@@ -199,18 +201,24 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
         if (row["n"], row["x"]) == mark:
             break
         mark = row["n"], row["x"]
-    return common.materialize(now.select(F.col("v").alias("node"), F.col("u").alias("label")).union(now.select(F.col("u").alias("node"), F.col("u").alias("label"))).distinct(), "labels")
+    return common.materialize(now.select(F.col("v").alias("node"), F.col("u").alias("label")).union(now.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()), "labels")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
-def _open_buckets(inside: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Members with their component, and the buckets in which there are several, with this turn's hub's hash."""
+def _hash() -> Column:
+    """A member's order within a bucket, another one in each."""
+    return F.xxhash64("bucket", "node")
+
+
+def _open_buckets(inside: DataFrame, labels: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and the buckets with several components, their size and hubs' hashes."""
     marked = common.materialize(inside.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "marked")
-    by = marked.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.xxhash64(F.lit(turn), "node")).alias("pick"), F.count("*").alias("n"))
-    return marked, by.filter("a < b").select("bucket", "pick", "n")
+    picks = [F.min(_hash()), F.max(_hash())][:hubs]
+    by = marked.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.array(*picks).alias("picks"), F.count("*").alias("n"))
+    return marked, common.materialize(by.filter("a < b").select("bucket", "picks", "n"), "split-buckets")
 
 
 def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int, rare: int = 8, step: float = 1.02) -> DataFrame:
@@ -305,16 +313,17 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
         if not found.isEmpty():
             labels = components(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).union(found))
 
-    for turn in range(1, hubs + 1):
-        marked, split = _open_buckets(inside, labels, turn)
-        open_ = marked.join(split, "bucket")
-        hub = open_.filter(F.xxhash64(F.lit(turn), "node") == F.col("pick")).select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = open_.join(common.materialize(hub, "hubs"), "bucket").filter("label <> hub_label")
+    if hubs:
+        open_, split = _open_buckets(inside, labels, hubs)
+        hub = open_.join(split.select("bucket", F.explode("picks").alias("pick")), "bucket").filter(_hash() == F.col("pick"))
+        hub = common.materialize(hub.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
+        pairs = open_.join(hub, "bucket").filter("label <> hub_label")
         linked(_ordered(pairs.select("node", F.col("hub").alias("other"))))
 
+    open_, split = _open_buckets(inside, labels, 1)
     # a bucket of two was its own hub's pair
-    marked, split = _open_buckets(inside, labels, hubs + 1)
-    open_ = common.materialize(marked.join(split.filter("n > 2"), "bucket").select("bucket", "node", "label", (F.xxhash64(F.lit(hubs + 1), "node") == F.col("pick")).alias("picked")), "open-buckets")
+    open_ = open_.join(split.filter("n > 2"), "bucket").select("bucket", "node", "label", (_hash() == F.col("picks")[0]).alias("picked"))
+    open_ = common.materialize(open_, "open-buckets")
     if not open_.isEmpty():
         linked(_last_pairs(open_, texts, width=width, percent=percent))
 
