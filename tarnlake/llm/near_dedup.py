@@ -247,7 +247,7 @@ def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int,
     other = few.select("token", F.col("node").alias("other"), F.col("label").alias("other_label"))
     pairs = _ordered(few.join(other, "token").filter("node < other AND label <> other_label").select("node", "other"))
 
-    sizes = held.groupBy("node").agg(F.max("n").alias("n"), F.count(F.when(F.col("f") > rare, 1)).alias("r"))
+    sizes = held.groupBy("node").agg(F.min("n").alias("n"), F.count(F.when(F.col("f") > rare, 1)).alias("r"))
     known = common.materialize(open_.join(sizes, "node"), "sized-members")
     # the picked member's component stands aside: of two components in a bucket one is another
     main = known.filter("picked").select("bucket", F.col("label").alias("main"))
@@ -338,4 +338,4 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Keep each group's document of the smallest id, columns unchanged. Rows with a null id stay."""
     gone = group(docs, id_col=id_col, text=text, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -136,23 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str
     best = counted.filter(F.col("n") >= min_rows).orderBy(spread.desc(), "f").limit(n_features)
     named = [t for group in IDENTITY_TERMS for t in group]
     names = list(dict.fromkeys([r["f"] for r in best.select("f").collect()] + named))
-    sample = rows.orderBy(F.xxhash64("__text"), "__label").limit(max_rows).toLocalIterator()
-    texts, marks = [], []
-    for r in sample:
-        words = " ".join(sorted({w for w in set(_WORD.findall(r["__text"].lower())) if not _known(names).isdisjoint(word_features(w))}))
-        texts.append(words)
-        marks.append(r["__label"])
-    return fit_weights(names, texts, np.array(marks), counterfactual=counterfactual)
+    known = frozenset(names)
 
+    @F.pandas_udf(StringType())
+    def telling(texts: pd.Series) -> pd.Series:
+        """The words of a text that hold a chosen feature."""
+        return pd.Series([" ".join(sorted(w for w in set(_WORD.findall(t.lower())) if not known.isdisjoint(word_features(w)))) for t in texts], dtype=object)
 
-_latest: dict[int, frozenset[str]] = {}
-
-
-def _known(names: list[str]) -> frozenset[str]:
-    if id(names) not in _latest:
-        _latest.clear()
-        _latest[id(names)] = frozenset(names)
-    return _latest[id(names)]
+    order = F.xxhash64("__text").alias("order")
+    sample = rows.select("__label", order, telling("__text").alias("words")).orderBy("order", "__label").limit(max_rows).collect()  # max_rows short texts
+    return fit_weights(names, [r["words"] for r in sample], np.array([r["__label"] for r in sample]), counterfactual=counterfactual)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "toxicity") -> DataFrame:
