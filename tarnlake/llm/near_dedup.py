@@ -227,7 +227,8 @@ def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int,
     Shingles that at most ``rare`` of these documents hold are listed outright: pairs that share one
     are few for each. A pair that shares none overlaps in common shingles only, so that each document
     bounds the size its partner can have; sizes are dealt into classes of a factor ``step``, and a
-    document meets only the classes within its bound. Both parts together lose no link.
+    document meets only the classes within its bound, and another one in the first bucket they share.
+    Both parts together lose no link.
     """
     nodes = open_.groupBy("node").agg(F.min("label").alias("label"))
 
@@ -248,7 +249,8 @@ def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int,
     pairs = _ordered(few.join(other, "token").filter("node < other AND label <> other_label").select("node", "other"))
 
     sizes = held.groupBy("node").agg(F.min("n").alias("n"), F.count(F.when(F.col("f") > rare, 1)).alias("r"))
-    known = common.materialize(open_.join(sizes, "node"), "sized-members")
+    shared = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # no more than there are bands
+    known = common.materialize(open_.join(sizes.join(shared, "node"), "node"), "sized-members")
     # the picked member's component stands aside: of two components in a bucket one is another
     main = known.filter("picked").select("bucket", F.col("label").alias("main"))
     level = lambda x: F.floor(F.log(x) / math.log(step)).cast("int")
@@ -256,9 +258,10 @@ def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int,
     least = F.ceil(F.col("n") * F.lit(percent) / 100)
     seeking = known.join(common.materialize(main, "main-components"), "bucket").filter("label <> main").withColumn("most", most).filter(F.col("most") >= least)
     seeking = seeking.withColumn("level", F.explode(F.sequence(level(least), level(F.col("most")))))
-    there = known.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("m"), F.col("r").alias("s"), level(F.col("n")).alias("level"))
+    there = known.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("buckets").alias("other_buckets"), level(F.col("n")).alias("level"))
     can = (F.least("r", "s") * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (F.col("label") != F.col("other_label"))
-    return pairs.union(_ordered(seeking.join(there, ["bucket", "level"]).filter(can).select("node", "other"))).distinct()
+    once = F.array_min(F.array_intersect("buckets", "other_buckets")) == F.col("bucket")
+    return pairs.union(_ordered(seeking.join(there, ["bucket", "level"]).filter(can & once).select("node", "other"))).distinct()
 
 
 def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 7.0, hubs: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
