@@ -187,3 +187,57 @@ def test_pipeline_stages(spark, sf_dir):
     assert docs.count() < before
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def plain_chunks(text):
+    """The chunks by their definition, with another implementation of the hash."""
+    import re
+
+    import xxhash
+
+    if "\x01" in text or "\x02" in text:
+        return re.split(r"(?<=\n)", text)
+    lines = re.split(r"(?<=\n)|(?<=\. )|(?<=! )|(?<=\? )|(?<=。)", text)
+    out, now = [], ""
+    for i, line in enumerate(lines):
+        before = "" if i == 0 or lines[i - 1].endswith("\n") else lines[i - 1]
+        h = xxhash.xxh64_intdigest(line.rstrip(" ").encode(), seed=xxhash.xxh64_intdigest(before.encode(), seed=42))
+        now += line
+        if line.endswith("\n") or h % 2 == 0:
+            out.append(now)
+            now = ""
+    return [*out, now]
+
+
+def plain_dedup(rows, min_bytes=120):
+    """Cut the runs that an earlier document holds too, comparing the chunks' bytes themselves."""
+    cut = {i: plain_chunks(t) for i, t in rows}
+    key = lambda c: c.replace("\n", " ").rstrip(" ").encode()
+    first, last = {}, {}
+    for i in sorted(cut):
+        for c in cut[i]:
+            first.setdefault(key(c), i)
+            last[key(c)] = i
+    out = {}
+    for i, chunks in cut.items():
+        gone = [bool(key(c)) and first[key(c)] < last[key(c)] and first[key(c)] != i for c in chunks]
+        text, k = "", 0
+        while k < len(chunks):
+            n = k
+            while n < len(chunks) and gone[n] == gone[k]:
+                n += 1
+            if not gone[k] or sum(len(key(c)) for c in chunks[k:n]) < min_bytes:
+                text += "".join(chunks[k:n])
+            k = n
+        out[i] = text
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(10_000 + i, f"{t[:200]}\n\n{PASSAGE}\n{t[200:400]}. {PASSAGE}") for i, t in rows[:30]] + [(20_000, "a\x01b. c\n" * 9), (20_001, "a\x01b. c\n" * 9), (20_002, "\n \n")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_dedup(rows)
+    assert {r.doc_id: r.text for r in got} == want
+    assert sum(len(t) for t in want.values()) < sum(len(t) for _, t in rows)
