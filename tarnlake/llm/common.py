@@ -24,12 +24,17 @@ FOLD = bytes(
 LOWER_ASCII = bytes(b + 32 * (65 <= b <= 90) for b in range(256))
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
+    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tarnlake-")
-        spark.conf.set(CHECKPOINT_DIR, found)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="tarnlake-")
+        found = _local[app]
     return found.rstrip("/")
 
 
