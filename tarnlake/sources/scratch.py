@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """Below spark.checkpoint.dir; only where the session names none, a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tarnlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="tarnlake-")
+        root = _local[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
