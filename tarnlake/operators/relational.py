@@ -123,7 +123,7 @@ def bucket_counts(df: DataFrame, col: str, n: int) -> DataFrame:
 def star_revenue(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column]], keys: Sequence[str], measure: Column) -> DataFrame:
     """Join a fact to its dimensions, then sum a measure; Spark broadcasts what is small enough."""
     joined = reduce(lambda df, d: df.join(d[0], d[1]), dims, fact)
-    return joined.groupBy(*keys).agg(F.round(F.sum(measure), 2).alias("revenue"))
+    return joined.groupBy(*keys).agg(F.round(F.sum(measure), 4).alias("revenue"))
 
 
 def run_sql(df_or_spark, text: str, **args) -> DataFrame:

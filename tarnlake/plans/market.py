@@ -82,18 +82,18 @@ def recursive_indicators(spark, d):
 
 
 @query(
-    f"""WITH {QUOTES} SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, round(avg(ask_price - bid_price), 4) AS avg_spread, round(avg(ask_price - bid_price) / avg((ask_price + bid_price) / 2), 6) AS avg_spread_pct,
+    f"""WITH {QUOTES} SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, round(avg(ask_price - bid_price), 8) AS avg_spread, round(avg(ask_price - bid_price) / avg((ask_price + bid_price) / 2), 6) AS avg_spread_pct,
         round(avg(bid_size), 4) AS avg_bid_size, round(avg(ask_size), 4) AS avg_ask_size FROM quotes GROUP BY 1, 2"""
 )
 def quote_daily(spark, d):
     q = features.quote_daily(quotes(spark, d))
-    return q.select("symbol", F.col("date").cast("string").alias("day"), F.round("avg_spread", 4).alias("avg_spread"), F.round("avg_spread_pct", 6).alias("avg_spread_pct"), F.round("avg_bid_size", 4).alias("avg_bid_size"), F.round("avg_ask_size", 4).alias("avg_ask_size"))
+    return q.select("symbol", F.col("date").cast("string").alias("day"), F.round("avg_spread", 8).alias("avg_spread"), F.round("avg_spread_pct", 6).alias("avg_spread_pct"), F.round("avg_bid_size", 4).alias("avg_bid_size"), F.round("avg_ask_size", 4).alias("avg_ask_size"))
 
 
-@query(f"WITH {TRADES} SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS ticks, round(sum(size), 2) AS volume, round(avg(price), 4) AS mean, round(stddev_samp(price), 4) AS std FROM trades GROUP BY 1, 2")
+@query(f"WITH {TRADES} SELECT symbol, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS ticks, round(sum(size), 2) AS volume, round(avg(price), 8) AS mean, round(stddev_samp(price), 8) AS std FROM trades GROUP BY 1, 2")
 def trade_daily(spark, d):
     t = features.trade_daily(trades(spark, d))
-    return t.select("symbol", F.col("date").cast("string").alias("day"), F.col("trade_tick_count").alias("ticks"), F.round("trade_tick_volume", 2).alias("volume"), F.round("trade_avg_price", 4).alias("mean"), F.round("trade_price_stddev", 4).alias("std"))
+    return t.select("symbol", F.col("date").cast("string").alias("day"), F.col("trade_tick_count").alias("ticks"), F.round("trade_tick_volume", 2).alias("volume"), F.round("trade_avg_price", 8).alias("mean"), F.round("trade_price_stddev", 8).alias("std"))
 
 
 _MAPPED = "CASE substr(symbol, 1, 1) WHEN '1' THEN 'A' WHEN '2' THEN 'N' ELSE 'R' END"

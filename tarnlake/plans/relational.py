@@ -129,7 +129,7 @@ def broadcast_join(spark, d):
 
 
 @query(
-    """SELECT n_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
+    """SELECT n_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem
        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
 )
 def star_revenue(spark, d):
