@@ -241,3 +241,14 @@ def test_line_dedup_matches_brute_force(spark, sf_dir):
     want = plain_dedup(rows)
     assert {r.doc_id: r.text for r in got} == want
     assert sum(len(t) for t in want.values()) < sum(len(t) for _, t in rows)
+
+
+def test_blank_lines_do_not_part_a_passage(spark):
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    verse = "\n\n".join(f"Line {k} of a verse that many hold" for k in range(9))
+    rows = [(i, f"{own(30)}\n\n{verse}\n \n\n{own(20)}") for i in range(12)] + [(50, f"{own(9)}\n\nLine 1 of a verse that many hold\n\n{own(9)}")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_emptied(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        want = text.replace(verse + "\n", "") if 0 < i < 50 else text
+        assert got[i] == want
