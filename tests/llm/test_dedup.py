@@ -252,3 +252,65 @@ def test_blank_lines_do_not_part_a_passage(spark):
     for i, text in rows:
         want = text.replace(verse + "\n", "") if 0 < i < 50 else text
         assert got[i] == want
+
+
+def plain_passages(rows, least=120):
+    """Cut what lies in a common run of lines with an earlier document, each pair compared line by line."""
+    bare = lambda x: x.replace("\n", " ").strip(" ")
+    cut = {i: plain_cut(t) for i, t in rows}
+    solid = {i: [(k, bare(x)) for k, x in enumerate(c) if bare(x)] for i, c in cut.items()}
+    out = {}
+    for i, c in cut.items():
+        gone = set()
+        for j in (j for j in cut if j < i):
+            for a, b in itertools.product(range(len(solid[i])), range(len(solid[j]))):
+                n = 0
+                while a + n < len(solid[i]) and b + n < len(solid[j]) and solid[i][a + n][1] == solid[j][b + n][1]:
+                    n += 1
+                if sum(len(x.encode()) for _, x in solid[i][a : a + n]) >= least:
+                    gone |= set(range(solid[i][a][0], solid[i][a + n - 1][0] + 1))
+        out[i] = "".join(x for k, x in enumerate(c) if k not in gone)
+    return out
+
+
+def test_passages_match_brute_force(spark):
+    rng = random.Random(12)
+    pool = [" ".join(rng.choices(["ba", "ceé", "di", "fo"], k=rng.choice([1, 2, 3, 9, 20]))).capitalize() + rng.choice([".", "!", "?"]) for _ in range(60)]
+    shared = [rng.choices(pool, k=rng.randrange(2, 12)) for _ in range(6)]
+    rows = []
+    for i in range(50):
+        parts = [rng.choices(pool, k=rng.randrange(5)), rng.choice(shared), [rng.choice(pool)], rng.choice(shared)[1:]]
+        text = "".join(x + rng.choice([" ", "\n", "\n\n", " ", " \n \n"]) for p in parts for x in p)
+        rows.append((i, text))
+    rows += [(60, "a\n" * 300), (61, "b\n" + "a\n" * 130), (62, "a\n" * 119)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_passages(rows)
+    assert got == want and got[61] == "b\n" and got[62] == "a\n" * 119
+    assert sum(map(len, want.values())) < 0.8 * sum(len(t) for _, t in rows)
+
+
+def test_inline_passages_go_as_a_whole(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghik", k=rng.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    rows, want, plain = [], {}, {}
+    for p in range(30):
+        left, passage = 51 + p, []
+        while left:
+            n = min(left, rng.randrange(4, 14))
+            passage.append(sentence(n))
+            left -= n
+        for copy in range(3):
+            head, tail = sentence(20) + " ", sentence(15)
+            rows.append((10 * p + copy, head + " ".join(passage) + " " + tail))
+            want[10 * p + copy] = head + tail if copy else rows[-1][1]
+        bare = " ".join(word() for _ in range(60))
+        for copy in range(5, 7):
+            head, tail = " ".join(word() for _ in range(20)), " ".join(word() for _ in range(20))
+            rows.append((10 * p + copy, f"{head} {bare} {tail}"))
+            plain[10 * p + copy] = (head, tail, bare, copy)
+    got = {r.doc_id: r.text for r in line_dedup.drop_emptied(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in want.items())
+    left = [(len(got[i]) - len(head) - len(tail)) / len(bare) for i, (head, tail, bare, copy) in plain.items() if copy == 6]
+    assert sum(left) / len(left) < 0.3
+    assert all(got[i].startswith(head) and got[i].endswith(tail) for i, (head, tail, _, _) in plain.items())
