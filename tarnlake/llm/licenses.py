@@ -1,10 +1,10 @@
 """Licence scans with a positional index of rare words; DataFrame functions only.
 
 Templates are word sequences with mandatory key phrases. Their rarer words are indexed by template
-and position. Each text that holds any of them is cut into words once; its licence words of highest
-inverse document frequency over all documents are looked up, postings are intersected by the
-distance between the place in the text and the place in the template, and templates with enough
-words at one distance and all key phrases in the text give their label.
+and position. Each text that holds any of them is cut into words once; templates whose key phrases
+all occur are its candidates, the postings of all their indexed words are intersected by the distance
+between the place in the text and the place in the template, and candidates with enough words at one
+distance give their label.
 
 Beside that, plain places of base phrases are counted. Texts without any licence word cost one
 regular-expression pass; only what is left of the others, words and places, is written and shuffled.
@@ -90,7 +90,7 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHRASES, templates=TEMPLATES, rarest: int = 12, least: float = 0.5, column: str = "licence") -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHRASES, templates=TEMPLATES, least: float = 0.5, column: str = "licence") -> DataFrame:
     """Add ``column``: n_words, places of base phrases, base_labels, labels, score.
 
     A template counts when at least ``least`` of its indexed words, and two or all of them, stand at
@@ -110,18 +110,12 @@ def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHR
         F.when(body.rlike(worth), let(F.split(common.folded(body), " "), lambda w: _scan(w, index, base, templates))).alias("scan"),
     )
     rows = common.materialize(rows, "licences")
-    found = rows.filter(F.size("scan.hits") > 0)
-
-    # document frequency of each licence word over all documents; a row for each indexed word
-    words = found.select(F.explode(F.array_distinct(F.transform("scan.hits", lambda x: x["word"]))).alias("word"))
-    often = {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    rank = {w: k for k, w in enumerate(sorted(often, key=lambda w: (often[w], w)))}
-    if rank:
-        order = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-        table = F.create_map(*[x for w in rank for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("template"), F.lit(at).alias("at")) for k, at in index[w]]))])
-        own = F.array_sort(F.array_distinct(F.transform("scan.hits", lambda x: F.element_at(order, x["word"]))))
-        looked = found.select("id", "scan.phrases", F.slice(own, 1, rarest).alias("rare"), F.explode("scan.hits").alias("hit"))
-        looked = looked.filter(F.array_contains("rare", F.element_at(order, F.col("hit.word"))))
+    found = rows.filter((F.size("scan.hits") > 0) & (F.size("scan.phrases") > 0))
+
+    # templates whose key phrases all occur are the candidates; all their indexed words are counted
+    if index:
+        table = F.create_map(*[x for w in index for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("template"), F.lit(at).alias("at")) for k, at in index[w]]))])
+        looked = found.select("id", "scan.phrases", F.explode("scan.hits").alias("hit"))
         pairs = looked.select("id", "phrases", F.col("hit.at").alias("at"), F.explode(F.element_at(table, F.col("hit.word"))).alias("post"))
         pairs = pairs.filter(F.array_contains("phrases", F.col("post.template")))
         met = pairs.groupBy("id", F.col("post.template").alias("template"), (F.col("at") - F.col("post.at")).alias("offset")).agg(F.count("*").alias("n"))

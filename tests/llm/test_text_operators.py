@@ -184,3 +184,11 @@ def test_queries_digest_columns(spark, sf_dir):
         t, n = text[r.doc_id], len(text[r.doc_id]) // 3
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - n] + text[following[r.doc_id]][:n]).encode()).hexdigest() and r.n_chars == len(t)
     assert len(got) == len(text)
+
+
+def test_a_file_with_every_licence_has_every_label(spark):
+    text = ".\n".join(t[2] + " as " + t[1][0] for t in licenses.TEMPLATES)
+    rows = [(1, text), (2, "all rights reserved"), *((10 + k, "Rights of the reserved public") for k in range(5))]
+    got = {r.doc_id: r.licence for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == sorted({t[0] for t in licenses.TEMPLATES})
+    assert got[2].labels == ["proprietary"] and got[10].labels == [] and got[10].score == 0
