@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+import weakref
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share. Where the session names none, a local one serves local mode alone."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="tarnlake-")
@@ -43,7 +46,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, once all that is made of them is written itself."""
+    for table in tables:
+        if path := _tables.pop(table, None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def fresh(taken: Iterable[str], *stems: str) -> list[str]:
+    """A column name for each stem that none of the taken ones has, in any case, so that no input column ever clashes."""
+    low = {c.lower() for c in taken}
+    out = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -136,6 +136,80 @@ def test_plan_places_every_piece(seed):
     assert used == counts
 
 
+def fewest(lengths, size):
+    """The least number of sequences, by trying every way to add each piece."""
+    best = len(lengths)
+
+    def add(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for g in {*gaps, size}:
+            if g >= lengths[i]:
+                rest = list(gaps)
+                if g in rest:
+                    rest.remove(g)
+                add(i + 1, sorted([*rest, g - lengths[i]]))
+
+    add(0, [])
+    return best
+
+
+def test_plan_needs_hardly_more_sequences_than_possible():
+    rng = random.Random(21)
+    over = 0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 21) for _ in range(9)), reverse=True)
+        made = packing.plan({n: lengths.count(n) for n in lengths}, 20)
+        over += sum(t for _, t in made) - fewest(lengths, 20)
+        assert all(sum(x) <= 20 for x, _ in made)
+    assert 0 <= over <= 5
+    assert packing.plan({12: 3, 5: 3, 3: 3}, 20) == [((12, 5, 3), 3)]
+
+
+def test_sums_list_what_fills_a_gap():
+    rng = random.Random(22)
+    for _ in range(40):
+        left = np.array([0] + [rng.randrange(3) for _ in range(14)])
+        for gap in range(1, 15):
+            want = left[gap] or any(a + b == gap and left[a] > (a == b) and left[b] for a in range(1, 15) for b in range(1, 15))
+            want = want or any(left[a] > (a == b) + (a == c) and left[b] > (b == c) and left[c] for a in range(1, 15) for b in range(1, a + 1) for c in range(1, b + 1) if a + b + c == gap)
+            found = next(packing.Sums(left.copy()).fill(gap), None)
+            assert bool(want) == (found is not None) and (found is None or sum(found) == gap and all(left[x] >= found.count(x) for x in found))
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(PATH)
+    ids = lambda t: np.array(exact.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    rng = random.Random(23)
+    alphabet = [chr(i) for i in range(0x250)] + list("  \n\n\t' ' 'std1239aeiou..,,;;") * 12
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(80))) for _ in range(3000)]
+    texts += [f"a{chr(i)}1 {chr(i)} {chr(i)}{chr(i)}b" for i in range(0x250)]
+    texts += ["", "a <|endoftext|> b", "中文 and ünï", "e\u0301 \u2028 \u3000x", "word " * 1000]
+    texts += [" " * 1_000_000, "\n" * 1_000_000, " \n\t" * 300_000 + "x", "a" * 100_000, "y" + " " * 400_000 + "'s"]
+    encode = packing.encoder(PATH)
+    for i in range(0, len(texts), 500):
+        assert encode(texts[i : i + 500]) == [ids(t) for t in texts[i : i + 500]]
+    for name in ("word_bpe_49k.json",):
+        other, exact = packing.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        assert other(texts[:50]) == [ids(t) for t in texts[:50]]
+
+
+def test_packing_of_long_white_space(spark):
+    rows = [(1, " " * 2_000_000, "x", 0), (2, "\n" * 2_000_000, "x", 0), (3, " \n" * 500_000 + "end", "x", 0), *[(None, "same", "x", 0)] * 40]
+    got = packing.pack(docs_of(spark, rows), PATH).groupBy("doc_id").sum("length").collect()
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(PATH)
+    want = {i: len(exact.encode(t, add_special_tokens=False).ids) + 1 for i, t, _, _ in rows[:3]}
+    assert {r.doc_id: r["sum(length)"] for r in got} == want | {None: 40 * (len(exact.encode("same").ids) + 1)}
+
+
 def test_cut():
     assert packing.cut(1, 4) == [(0, 1)] and packing.cut(4, 4) == [(0, 4)] and packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
