@@ -90,53 +90,157 @@ def test_components_of_chains(spark):
 PASSAGE = "A long passage that many documents share stands here. It has more than fifty words in all. So it goes on and on with sentences of some length each. None of them means much. They only fill the space that such a passage needs to be found by its chunks. And here it ends at last."
 
 
-def plain_cut(text):
-    import re
-
-    return [x for x in re.split(r"(?<=\n)|(?<=[.!?] )|(?<=。)", text) if x]
+def own_words(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
 
 
 def test_shared_passages_go_but_for_the_first(spark):
     rng = random.Random(4)
-    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n)).capitalize() + "."
-    rows, place = [], {}
+    rows, want = [], {}
     for i in range(40):
-        head, tail = own(30), own(25)
-        kind = i % 4
-        place[i] = (head, tail, kind)
-        rows.append((i, [f"{head}\n{PASSAGE}\n{tail}", f"{head} {PASSAGE}", f"{head}\nAll rights reserved.\n{tail}", f"{head} {tail}"][kind]))
+        head, tail = own_words(rng, 30).capitalize() + ".", own_words(rng, 25).capitalize() + "."
+        text, rest = [(f"{head}\n{PASSAGE}\n{tail}", f"{head}\n{tail}"), (f"{head} {PASSAGE}", f"{head} "), (f"{head}\nAll rights reserved.\n{tail}", None), (f"{head[:-1]} {PASSAGE} {tail.lower()}", f"{head[:-1]} {tail.lower()}")][i % 4]
+        rows.append((i, text))
+        want[i] = rest if rest and i else text
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed="runs").collect()}
     for i, text in rows:
-        head, tail, kind = place[i]
-        if i == 0 or kind > 1:
-            assert got[i].text == text and not got[i].runs
-        elif kind == 0:
-            assert got[i].text == f"{head}\n{tail}"
-        else:
-            assert got[i].text.startswith(head) and len(got[i].text) < len(text) - 0.4 * len(PASSAGE)
-
-
-def test_chunks_are_whole_and_shift_resistant(spark):
-    text = "One two. Three!\nFour? Five 。six\n\nlast \x01 mark"
-    df = spark.createDataFrame([(1, text), (2, text.replace("\x01", "")), (3, "x. " * 2000)], "id long, text string")
+        assert got[i].text.split() == want[i].split() and bool(got[i].runs) == (want[i] != text)
+
+
+def plain_lines(text):
+    import re
+
+    import xxhash
+
+    out = []
+    for line in re.findall(r"(?s)(?=.)[^\n.!?。]*+(?:[.!?](?! )[^\n.!?。]*+)*+(?:[.!?] |[\n。]|\Z)", text):
+        if len(line.encode()) <= 300:
+            out.append(line)
+            continue
+        now = ""
+        for w in filter(None, re.split(r"(?<= )", line)):
+            now += w
+            if xxhash.xxh64_intdigest(w.rstrip(" ").encode(), seed=42) % 4 == 0:
+                out.append(now)
+                now = ""
+        out += [now] if now else []
+    return out
+
+
+def test_lines_are_whole(spark):
     from pyspark.sql import functions as F
 
-    for r in df.select("text", line_dedup.chunks(F.col("text")).alias("c")).collect():
-        assert "".join(r.c) == r.text
-        plain = plain_cut(r.text)
-        ends = set(itertools.accumulate(len(x) for x in plain))
-        assert set(itertools.accumulate(len(x) for x in r.c if x)) <= ends
+    texts = ["One two. Three!\nFour? Five 。six\n\nlast \x01 mark", "x. " * 2000, "." * 300_000, "a b " * 400, "word" * 1000 + " " * 500, "\r\n\x02 \u2028.", "。。!", ". . .", " ", "no end"]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", line_dedup.lines(F.col("text")).alias("l")).collect():
+        assert "".join(r.l) == r.text and list(r.l) == plain_lines(r.text)
+
+
+def plain_dedup(rows, least=120):
+    """The definition, document by document and byte by byte."""
+    import xxhash
+
+    def signed(n):
+        return n - (1 << 64) if n >> 63 else n
+
+    def of_number(n, seed=42):
+        return xxhash.xxh64_intdigest(n.to_bytes(8, "little", signed=True), seed=seed)
+
+    cut = {i: plain_lines(t) for i, t in rows if t}
+    found, first, several = {}, {}, {}
+    for i, c in sorted(cut.items()):
+        long = [len(x.encode()) >= 80 for x in c]
+        h = [signed(xxhash.xxh64_intdigest(x.encode(), seed=42)) & -2 | b for x, b in zip(c, long)]
+        roll = [signed(of_number(x) if b else of_number(h[k + 1], of_number(x))) if b or k + 1 < len(h) else None for k, (x, b) in enumerate(zip(h, long))]
+        for k, x in enumerate(roll):
+            before, behind = roll[k - 1] if k else None, roll[k + 1] if k + 1 < len(roll) else None
+            if x is not None and (long[k] or before is not None and x <= before or behind is not None and x < behind or len(h) == 2):
+                found.setdefault(i, []).append((x, k))
+                first.setdefault(x, (i, k))
+                several[x] = i
+    out = {i: t for i, t in rows}
+    for i, own in found.items():
+        meets = {}
+        for x, k in own:
+            if first[x][0] != i and several[x] != first[x][0]:
+                meets.setdefault((first[x][0], first[x][1]), k)
+        chains = {}
+        for (j, there), k in sorted(meets.items(), key=lambda m: m[1]):
+            runs = chains.setdefault((j, k - there), [])
+            if runs and k - runs[-1][1] <= 8:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        gone, behind, before = set(), {}, {}
+        for (j, shift), runs in chains.items():
+            same = lambda k: 0 <= k < len(cut[i]) and 0 <= k - shift < len(cut[j]) and cut[i][k] == cut[j][k - shift]
+            for lo, hi in runs:
+                lo, hi = max(lo - 3, shift, 0), hi + 4
+                k = lo
+                while k <= hi:
+                    n = k
+                    while n <= hi and same(n):
+                        n += 1
+                    if n > k:
+                        edge = lambda e: (cut[i][e], cut[j][e - shift]) if lo <= e <= hi and e < len(cut[i]) and 0 <= e - shift < len(cut[j]) else ("", "")
+                        a, b = (x[::-1] for x in edge(k - 1))
+                        back = len(a[: words_alike(a, b)].rstrip(" \t\n\x0b\f\r"))
+                        ahead = words_alike(*edge(n))
+                        size = len("".join(cut[i][k:n]).encode()) + back + ahead
+                        if size >= least and (n - k > 1 or back or ahead):
+                            gone |= set(range(k, n))
+                            before[k - 1], behind[n] = max(before.get(k - 1, 0), back), max(behind.get(n, 0), ahead)
+                    k = max(n, k + 1)
+        out[i] = "".join(x[behind.get(k, 0) : max(behind.get(k, 0), len(x) - before.get(k, 0))] for k, x in enumerate(cut[i]) if k not in gone)
+    return out
+
+
+def words_alike(a, b):
+    """Characters that both begin with, up to the end of a word in both."""
+    import os
+
+    n = len(os.path.commonprefix([a, b]))
+    if all(not x[n : n + 1] or x[n : n + 1] in " \t\n\x0b\f\r" for x in (a, b)):
+        return n
+    while n and a[n - 1] not in " \t\n\x0b\f\r":
+        n -= 1
+    return n
+
+
+def test_line_dedup_matches_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rng = random.Random(12)
+    pool = [" ".join(rng.choices(["ba", "ceé", "di", "fo"], k=rng.choice([1, 2, 3, 9, 20, 90]))).capitalize() + rng.choice([".", "!", "?"]) for _ in range(60)]
+    shared = [rng.choices(pool, k=rng.randrange(2, 12)) for _ in range(6)]
+    for i in range(80):
+        parts = [rng.choices(pool, k=rng.randrange(5)), rng.choice(shared), [rng.choice(pool)], rng.choice(shared)[1:]]
+        rows.append((30_000 + i, "".join(x + rng.choice([" ", " ", "\n", "\n\n", " \n \n"]) for p in parts for x in p)))
+    rows += [(10_000 + i, f"{t[:200]}\n\n{PASSAGE}\n{t[200:400]}. {PASSAGE}") for i, t in rows[:30]] + [(20_000, "a\x01b. c\n" * 9), (20_001, "a\x01b. c\n" * 9), (20_002, "\n \n"), (60, "a\n" * 300), (61, "b\n" + "a\n" * 130)]
+    rows = list(dict(rows).items())
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_dedup(rows)
+    assert {r.doc_id: r.text for r in got} == want
+    assert sum(len(t) for t in want.values()) < 0.9 * sum(len(t) for _, t in rows)
+
+
+def test_bytes_decide(spark):
+    rows = [(1, PASSAGE + "   "), (2, PASSAGE + " \n"), (3, PASSAGE.replace(". ", ".\n")), (4, PASSAGE.replace("long", "1ong")), (5, PASSAGE.upper())]
+    single = "One sentence alone that is longer than any limit " * 4 + "ends."
+    rows += [(6, single + "   "), (7, single + " \n")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_emptied(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[5] == rows[4][1] and got[6] == rows[5][1] and got[7] == rows[6][1]
+    assert 2 not in got and got[4] == "A 1ong "
 
 
 def test_line_dedup_edges(spark):
-    rows = [(1, None, "x"), (2, "", "x"), (3, PASSAGE, "x"), (3, PASSAGE, "x"), (None, PASSAGE, "x"), (4, PASSAGE, "x"), (5, "word " * 50000, "x"), (6, "a\x02b\n" * 40, "x"), (7, "a\x02b\n" * 40, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    rows = [(1, None, "x"), (2, "", "x"), (3, PASSAGE, "x"), (3, PASSAGE, "x"), (None, PASSAGE, "x"), (4, PASSAGE, "x"), (5, "word " * 50000, "x"), (6, "a\x02b\n" * 40, "x"), (7, "a\x02b\n" * 40, "x"), (8, "." * 1_000_000, "x"), (9, "\n" * 1_000_000, "x"), (9, "other", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumnsRenamed({"key": "__views"})
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     texts = {}
     for r in out.collect():
         texts.setdefault(r.doc_id, []).append(r.text)
-    assert texts[1] == [None] and texts[2] == [""] and texts[3] == [PASSAGE, PASSAGE] and texts[4] == [""] and texts[5] == ["word " * 50000]
+    assert texts[1] == [None] and texts[2] == [""] and texts[3] == [PASSAGE, PASSAGE] and texts[4] == [""] and texts[None] == [""] and texts[5] == ["word " * 50000]
     assert sorted(str(r.doc_id) for r in line_dedup.drop_emptied(docs).collect()).count("4") == 0
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
@@ -189,104 +293,13 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
-def plain_chunks(text):
-    """The chunks by their definition, with another implementation of the hash."""
-    import re
-
-    import xxhash
-
-    if "\x01" in text or "\x02" in text:
-        return re.split(r"(?<=\n)", text)
-    lines = re.split(r"(?<=\n)|(?<=\. )|(?<=! )|(?<=\? )|(?<=。)", text)
-    out, now = [], ""
-    for i, line in enumerate(lines):
-        before = "" if i == 0 or lines[i - 1].endswith("\n") else lines[i - 1]
-        h = xxhash.xxh64_intdigest(line.rstrip(" ").encode(), seed=xxhash.xxh64_intdigest(before.encode(), seed=42))
-        now += line
-        if line.endswith("\n") or h % 2 == 0:
-            out.append(now)
-            now = ""
-    return [*out, now]
-
-
-def plain_dedup(rows, min_bytes=120):
-    """Cut the runs that an earlier document holds too, comparing the chunks' bytes themselves."""
-    cut = {i: plain_chunks(t) for i, t in rows}
-    key = lambda c: c.replace("\n", " ").rstrip(" ").encode()
-    first, last = {}, {}
-    for i in sorted(cut):
-        for c in cut[i]:
-            first.setdefault(key(c), i)
-            last[key(c)] = i
-    out = {}
-    for i, chunks in cut.items():
-        gone = [bool(key(c)) and first[key(c)] < last[key(c)] and first[key(c)] != i for c in chunks]
-        text, k = "", 0
-        while k < len(chunks):
-            n = k
-            while n < len(chunks) and gone[n] == gone[k]:
-                n += 1
-            if not gone[k] or sum(len(key(c)) for c in chunks[k:n]) < min_bytes:
-                text += "".join(chunks[k:n])
-            k = n
-        out[i] = text
-    return out
-
-
-def test_line_dedup_matches_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows += [(10_000 + i, f"{t[:200]}\n\n{PASSAGE}\n{t[200:400]}. {PASSAGE}") for i, t in rows[:30]] + [(20_000, "a\x01b. c\n" * 9), (20_001, "a\x01b. c\n" * 9), (20_002, "\n \n")]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = plain_dedup(rows)
-    assert {r.doc_id: r.text for r in got} == want
-    assert sum(len(t) for t in want.values()) < sum(len(t) for _, t in rows)
-
-
 def test_blank_lines_do_not_part_a_passage(spark):
     rng = random.Random(8)
-    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
     verse = "\n\n".join(f"Line {k} of a verse that many hold" for k in range(9))
-    rows = [(i, f"{own(30)}\n\n{verse}\n \n\n{own(20)}") for i in range(12)] + [(50, f"{own(9)}\n\nLine 1 of a verse that many hold\n\n{own(9)}")]
+    rows = [(i, f"{own_words(rng, 30)}\n\n{verse}\n \n\n{own_words(rng, 20)}") for i in range(12)] + [(50, f"{own_words(rng, 9)}\n\nLine 1 of a verse that many hold\n\n{own_words(rng, 9)}")]
     got = {r.doc_id: r.text for r in line_dedup.drop_emptied(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
-        want = text.replace(verse + "\n", "") if 0 < i < 50 else text
-        assert got[i] == want
-
-
-def plain_passages(rows, least=120):
-    """Cut what lies in a common run of lines with an earlier document, each pair compared line by line."""
-    bare = lambda x: x.replace("\n", " ").strip(" ")
-    cut = {i: plain_cut(t) for i, t in rows}
-    solid = {i: [(k, bare(x)) for k, x in enumerate(c) if bare(x)] for i, c in cut.items()}
-    out = {}
-    for i, c in cut.items():
-        gone = set()
-        for j in (j for j in cut if j < i):
-            for a, b in itertools.product(range(len(solid[i])), range(len(solid[j]))):
-                n = 0
-                while a + n < len(solid[i]) and b + n < len(solid[j]) and solid[i][a + n][1] == solid[j][b + n][1]:
-                    n += 1
-                if sum(len(x.encode()) for _, x in solid[i][a : a + n]) >= least:
-                    gone |= set(range(solid[i][a][0], solid[i][a + n - 1][0] + 1))
-        out[i] = "".join(x for k, x in enumerate(c) if k not in gone)
-    return out
-
-
-def test_passages_match_brute_force(spark):
-    rng = random.Random(12)
-    pool = [" ".join(rng.choices(["ba", "ceé", "di", "fo"], k=rng.choice([1, 2, 3, 9, 20]))).capitalize() + rng.choice([".", "!", "?"]) for _ in range(60)]
-    shared = [rng.choices(pool, k=rng.randrange(2, 12)) for _ in range(6)]
-    rows = []
-    for i in range(50):
-        parts = [rng.choices(pool, k=rng.randrange(5)), rng.choice(shared), [rng.choice(pool)], rng.choice(shared)[1:]]
-        text = "".join(x + rng.choice([" ", "\n", "\n\n", " ", " \n \n"]) for p in parts for x in p)
-        rows.append((i, text))
-    rows += [(60, "a\n" * 300), (61, "b\n" + "a\n" * 130), (62, "a\n" * 119)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = plain_passages(rows)
-    assert got == want and got[61] == "b\n" and got[62] == "a\n" * 119
-    assert sum(map(len, want.values())) < 0.8 * sum(len(t) for _, t in rows)
+        assert got[i].split() == (text.replace(verse, "") if 0 < i < 50 else text).split()
 
 
 def test_inline_passages_go_as_a_whole(spark):
@@ -301,16 +314,14 @@ def test_inline_passages_go_as_a_whole(spark):
             passage.append(sentence(n))
             left -= n
         for copy in range(3):
-            head, tail = sentence(20) + " ", sentence(15)
+            head, tail = sentence(20)[:-1] + " ", sentence(15).lower()
             rows.append((10 * p + copy, head + " ".join(passage) + " " + tail))
             want[10 * p + copy] = head + tail if copy else rows[-1][1]
-        bare = " ".join(word() for _ in range(60))
+        bare = " ".join(word() for _ in range(90))
         for copy in range(5, 7):
-            head, tail = " ".join(word() for _ in range(20)), " ".join(word() for _ in range(20))
+            head, tail = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(40))
             rows.append((10 * p + copy, f"{head} {bare} {tail}"))
-            plain[10 * p + copy] = (head, tail, bare, copy)
+            plain[10 * p + copy] = f"{head} {tail}" if copy == 6 else rows[-1][1]
     got = {r.doc_id: r.text for r in line_dedup.drop_emptied(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i] == t for i, t in want.items())
-    left = [(len(got[i]) - len(head) - len(tail)) / len(bare) for i, (head, tail, bare, copy) in plain.items() if copy == 6]
-    assert sum(left) / len(left) < 0.3
-    assert all(got[i].startswith(head) and got[i].endswith(tail) for i, (head, tail, _, _) in plain.items())
+    assert all(got[i].split() == t.split() for i, t in want.items())
+    assert sum(got[i].split() != t.split() for i, t in plain.items()) <= 1
