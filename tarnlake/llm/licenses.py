@@ -1,17 +1,21 @@
 """Licence scans with a positional index of rare words; DataFrame functions only.
 
-Templates are word sequences with mandatory key phrases. Their rarer words are indexed by template
-and position. Each text that holds any of them is cut into words once; templates whose key phrases
-all occur are its candidates, the postings of all their indexed words are intersected by the distance
-between the place in the text and the place in the template, and candidates with enough words at one
-distance give their label.
-
-Beside that, plain places of base phrases are counted. Texts without any licence word cost one
-regular-expression pass; only what is left of the others, words and places, is written and shuffled.
+Templates are the words of notices and licence texts, with mandatory key phrases. Of each template the
+words of the highest IDF over all templates, up to ``rarest`` of them, are indexed by their positions.
+A file in which no key phrase stands costs two passes of a regular expression. The words of the others
+are looked up in the index, all of them; their postings are intersected by the distance between the
+place in the file and the place in the template. Templates with enough words at one distance, and all
+key phrases in the file, give their labels: however many licences a file holds, none hides another.
+
+Base phrases are postings like any other: they stand where all their words meet at one distance.
+Looking up is a join with the broadcast index, whose size the templates bound; what is shuffled are
+counts by file, template and distance.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,26 +26,43 @@ from . import common
 # Base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Label, key phrases that must stand in the text, words of a notice.
+# Label, key phrases that must stand in the text, words of the notice or licence.
 TEMPLATES = (
-    ("mit", ("mit license",), "released under the mit license"),
-    ("mit", ("permission is hereby granted free of charge",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", ("apache license",), "licensed under the apache license version 2 0"),
-    ("gpl", ("gnu general public license",), "licensed under the gnu general public license version 3"),
-    ("lgpl", ("lesser general public license",), "licensed under the gnu lesser general public license"),
-    ("mpl", ("mozilla public license",), "subject to the terms of the mozilla public license"),
-    ("bsd", ("redistribution and use in source and binary forms",), "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", ("permission to use copy modify",), "permission to use copy modify and or distribute this software for any purpose"),
-    ("cc-by-nc", ("cc by nc",), "licensed under cc by nc 4 0"),
-    ("cc-by-sa", ("cc by sa",), "licensed under cc by sa 4 0"),
-    ("cc-by", ("creative commons attribution",), "licensed under a creative commons attribution 4 0 international license"),
-    ("unlicense", ("released into the public domain",), "free and unencumbered software released into the public domain"),
+    ("mit", ("mit license",), "released under the MIT License"),
+    ("mit", ("permission is hereby granted free of charge",), "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", ("the above copyright notice and this permission notice shall be included",), "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("apache", ("apache license",), "Licensed under the Apache License, Version 2.0"),
+    ("apache", ("apache license", "apache org licenses"), "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", ("gnu general public license",), "licensed under the GNU General Public License version 3"),
+    ("gpl", ("gnu general public license", "free software foundation"), "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details."),
+    ("lgpl", ("lesser general public license",), "licensed under the GNU Lesser General Public License"),
+    ("lgpl", ("lesser general public license", "free software foundation"), "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", ("affero general public license",), "licensed under the GNU Affero General Public License version 3"),
+    ("agpl", ("affero general public license", "free software foundation"), "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mpl", ("mozilla public license",), "subject to the terms of the Mozilla Public License"),
+    ("mpl", ("mozilla public license", "mozilla org mpl"), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("bsd", ("redistribution and use in source and binary forms",), "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", ("redistributions in binary form must reproduce the above copyright notice",), "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3-clause", ("nor the names of its contributors may be used to endorse or promote products",), "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", ("permission to use copy modify",), "Permission to use, copy, modify, and/or distribute this software for any purpose"),
+    ("isc", ("the author disclaims all warranties with regard to this software",), "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits"),
+    ("zlib", ("the origin of this software must not be misrepresented",), "This software is provided as-is, without any express or implied warranty. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."),
+    ("boost", ("boost software license",), "Distributed under the Boost Software License, Version 1.0"),
+    ("epl", ("eclipse public license",), "made available under the terms of the Eclipse Public License"),
+    ("cc0", ("creative commons zero",), "released under Creative Commons Zero 1.0 Universal public domain dedication"),
+    ("cc0", ("cc0 1 0",), "CC0 1.0 Universal"),
+    ("cc-by", ("creative commons attribution",), "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", ("cc by sa",), "licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", ("creative commons attribution sharealike",), "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", ("cc by nc",), "licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", ("creative commons attribution noncommercial",), "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("unlicense", ("released into the public domain",), "This is free and unencumbered software released into the public domain"),
+    ("wtfpl", ("do what the fuck you want to public license",), "Do what the fuck you want to public license"),
     ("proprietary", ("all rights reserved",), "all rights reserved"),
 )
-#: Words of templates too common to look up.
-COMMON = frozenset("a all and any are by for free in into is of or person subject the this to under use with without".split())
 
-SCAN = "struct<places:array<struct<label:string,at:int>>,hits:array<struct<word:string,at:int>>,phrases:array<int>>"
+#: A word is a run of these; as ranges, which the matcher tests fastest.
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,91 +70,96 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def postings(templates=TEMPLATES) -> dict[str, list[tuple[int, int]]]:
-    """By word: (template, position)."""
-    found: dict[str, list[tuple[int, int]]] = {}
-    for k, (_, _, words) in enumerate(templates):
-        for at, w in enumerate(words.split()):
-            if w not in COMMON and not w.isdigit():
-                found.setdefault(w, []).append((k, at))
-    return found
-
-
-def _strings(words) -> Column:
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-
+def words_of(text: str) -> list[str]:
+    return [w.decode() for w in common.fold_words(text)]
 
-def _scan(words: Column, vocabulary, base, templates) -> Column:
-    """Places of base phrases, licence words and their places, templates whose key phrases all occur."""
-    at = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def places(phrase: str, label: str) -> Column:
-        first, *rest = phrase.split()
-        same = lambda i: F.get(words, i) == first
-        whole = F.filter(at, lambda i: same(i) & (F.slice(words, i + 1, 1 + len(rest)) == _strings([first, *rest])))
-        return F.transform(whole, lambda i: F.struct(F.lit(label).alias("label"), i.alias("at")))
+def postings(templates=TEMPLATES, rarest: int = 24) -> list[tuple[str, int, int]]:
+    """(word, template, position) for the positions of each template's rarest words.
 
-    known = _strings(sorted(vocabulary))
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    held = F.array(*[F.when(_all([F.contains(line, F.lit(f" {p} ")) for p in phrases]), F.lit(k)) for k, (_, phrases, _) in enumerate(templates)])
-    return F.struct(
-        F.flatten(F.array(*[places(p, label) for p, label in base.items()])).alias("places"),
-        F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(known, x["word"])).alias("hits"),
-        F.filter(held, lambda k: k.isNotNull()).alias("phrases"),
-    ).cast(SCAN)
+    Rare is what stands in few templates (IDF); of equally rare words the first ones are taken. Words
+    that more than half of the templates hold are indexed only where a template has no other ones.
+    """
+    bodies = [words_of(text) for _, _, text in templates]
+    idf = {w: math.log(len(bodies) / sum(w in b for b in bodies)) for b in bodies for w in b}
+    found = []
+    for k, body in enumerate(bodies):
+        order = sorted(set(body), key=lambda w: (-idf[w], body.index(w)))
+        kept = [w for w in order if idf[w] >= math.log(2)][:rarest] or order[:rarest]
+        found += [(w, k, at) for at, w in enumerate(body) if w in kept]
+    return found
 
 
-def _all(tests: list[Column]) -> Column:
-    out = F.lit(True)
-    for t in tests:
-        out = out & t
-    return out
+def phrase_pattern(phrases) -> str:
+    """A regular expression for texts in which one of the phrases stands, whatever parts its words."""
+    parts = ["[^0-9A-Za-z\\x80-\\x{10FFFF}]++".join(map(re.escape, words_of(p))) for p in sorted(set(phrases))]
+    return f"(?<!{WORD})(?i:{'|'.join(parts)})(?!{WORD})"
 
 
-def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHRASES, templates=TEMPLATES, least: float = 0.5, column: str = "licence") -> DataFrame:
-    """Add ``column``: n_words, places of base phrases, base_labels, labels, score.
+def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHRASES, templates=TEMPLATES, rarest: int = 24, least: float = 0.5, column: str = "licence") -> DataFrame:
+    """Add ``column`` in place of the text: n_words, places of base phrases, base_labels, labels, score.
 
-    A template counts when at least ``least`` of its indexed words, and two or all of them, stand at
-    one distance. The score is the best template's share, 1 where a base phrase stands, else 0. Null
-    is an empty text; repeated rows are judged one by one; an existing column of that name is
-    replaced, others pass through.
+    A template counts when at least ``least`` of its indexed positions, and two or all of them, meet
+    at one distance and all its key phrases stand in the text. The score is the best template's share,
+    1 where a base phrase stands, else 0. Null is an empty text, without words; texts of any length
+    are scanned whole; repeated rows are judged one by one; an empty table gives no rows. The text
+    column is left out, an existing column of that name replaced; others pass through, whatever their names.
     """
-    index = postings(templates)
+    spark = docs.sparkSession
+    phrases = [(words_of(p), k) for k, (_, keys, _) in enumerate(templates) for p in keys]
+    wanted = [*base, *(p for _, keys, _ in templates for p in keys)]
     body = F.coalesce(F.col(text), F.lit(""))
-    worth = "(?i)" + "|".join(sorted({*index, *(p.split()[-1] for p in base)}))
-    kept = common.without(docs, column)
-    names = kept.columns
-    rows = kept.select(
-        F.struct(*[F.col(c) for c in names if c != text]).alias("row") if len(names) > 1 else F.lit(None).cast("int").alias("row"),
-        F.monotonically_increasing_id().alias("id"),
-        F.regexp_count(body, F.lit("[^" + common.SEPARATORS[1:])).cast("long").alias("n_words"),
-        F.when(body.rlike(worth), let(F.split(common.folded(body), " "), lambda w: _scan(w, index, base, templates))).alias("scan"),
+    names = [c for c in common.without(docs, column).columns if c != text]
+    row, id_, n_words, line, found = common.fresh(names, "row", "id", "n_words", "line", "found")
+    rows = docs.select(
+        F.struct(*names).alias(row) if names else F.lit(None).cast("int").alias(row),
+        F.monotonically_increasing_id().alias(id_),
+        F.regexp_count(body, F.lit(f"{WORD}++")).cast("long").alias(n_words),
+        F.when(body.rlike(phrase_pattern(wanted)) if wanted else F.lit(False), common.folded(body)).alias(line),
     )
     rows = common.materialize(rows, "licences")
-    found = rows.filter((F.size("scan.hits") > 0) & (F.size("scan.phrases") > 0))
-
-    # templates whose key phrases all occur are the candidates; all their indexed words are counted
-    if index:
-        table = F.create_map(*[x for w in index for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("template"), F.lit(at).alias("at")) for k, at in index[w]]))])
-        looked = found.select("id", "scan.phrases", F.explode("scan.hits").alias("hit"))
-        pairs = looked.select("id", "phrases", F.col("hit.at").alias("at"), F.explode(F.element_at(table, F.col("hit.word"))).alias("post"))
-        pairs = pairs.filter(F.array_contains("phrases", F.col("post.template")))
-        met = pairs.groupBy("id", F.col("post.template").alias("template"), (F.col("at") - F.col("post.at")).alias("offset")).agg(F.count("*").alias("n"))
-        sizes = [sum(k == t for posts in index.values() for k, _ in posts) for t in range(len(templates))]
-        size = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(sizes) for x in (k, n)]), F.col("template"))
-        label = F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(templates) for x in (k, t[0])]), F.col("template"))
-        met = met.filter((F.col("n") >= least * size) & ((F.col("n") >= 2) | (F.col("n") == size)))
-        met = met.groupBy("id").agg(F.collect_set(label).alias("found"), F.max(F.least(F.lit(1.0), F.col("n") / size)).alias("share"))
-        rows = rows.join(met, "id", "left")
-    else:
-        rows = rows.withColumns({"found": F.array().cast("array<string>"), "share": F.lit(0.0)})
-    plain = F.coalesce(F.transform("scan.places", lambda x: x["label"]), F.array().cast("array<string>"))
-    at = F.coalesce(F.transform("scan.places", lambda x: x["at"].cast("long")), F.array().cast("array<bigint>"))
-    result = F.struct(
-        "n_words",
-        F.array_sort(at).alias("places"),
-        F.array_sort(F.array_distinct(plain)).alias("base_labels"),
-        F.array_sort(F.array_union(plain, F.coalesce("found", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.size(at) > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+    held = rows.filter(F.col(line).isNotNull()).select(F.col(id_).alias("id"), F.col(line).alias("line"))
+
+    # entries: base phrases first, then templates
+    starts = [words_of(p) for p in base]
+    entries = [(w, k, at) for k, p in enumerate(starts) for at, w in enumerate(p)] + [(w, len(starts) + k, at) for w, k, at in postings(templates, rarest)]
+    index = spark.createDataFrame(entries or [("", -1, 0)], "word string, entry int, place int")  # bounded by the templates
+    sizes = [sum(e == k for _, e, _ in entries) for k in range(len(starts) + len(templates))]
+    size = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col("entry") + 1) if sizes else F.lit(0)
+    looked = held.select("id", F.posexplode(F.split("line", " ")).alias("at", "word")).join(F.broadcast(index), "word")
+    met = looked.groupBy("id", "entry", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("n")).withColumn("size", size)
+    phrase = F.col("entry") < len(starts)
+    enough = F.when(phrase, F.col("n") == F.col("size")).otherwise((F.col("n") >= least * F.col("size")) & ((F.col("n") >= 2) | (F.col("n") == F.col("size"))))
+    met = met.filter(enough).groupBy("id").agg(
+        F.collect_list(F.when(phrase, F.struct("entry", F.col("offset").cast("long").alias("at")))).alias("places"),
+        F.collect_set(F.when(~phrase, F.col("entry") - len(starts))).alias("met"),
+        F.collect_set(F.when(~phrase, F.struct((F.col("entry") - len(starts)).alias("template"), (F.col("n") / F.col("size")).alias("share")))).alias("shares"),
+    )
+    # the key phrases of the templates that were met
+    padded = F.concat(F.lit(" "), F.col("line"), F.lit(" "))
+    stands = [(k, F.contains(padded, F.lit(f" {' '.join(p)} "))) for p, k in phrases]
+    lacking = F.array(*[F.when(F.array_contains("met", k) & ~test, F.lit(k)) for k, test in stands]) if stands else F.array().cast("array<int>")
+    checked = held.join(met, "id").select("id", "places", "shares", lacking.alias("lacking"))
+    label = lambda k: F.element_at(F.array(*[F.lit(t[0]) for t in templates]), k + 1) if templates else F.lit("")
+    named = F.filter("shares", lambda x: ~F.array_contains(F.filter("lacking", lambda k: k.isNotNull()), x["template"]))
+    base_label = lambda k: F.element_at(F.array(*[F.lit(x) for x in base.values()]), k + 1) if base else F.lit("")
+    checked = checked.select("id", "places", named.alias("named"))
+    result = checked.select(
+        F.col("id").alias(found),
+        F.struct(
+            F.array_sort(F.transform("places", lambda x: x["at"])).alias("places"),
+            F.array_sort(F.array_distinct(F.transform("places", lambda x: base_label(x["entry"])))).alias("base_labels"),
+            F.array_sort(F.array_distinct(F.concat(F.transform("places", lambda x: base_label(x["entry"])), F.transform("named", lambda x: label(x["template"]))))).alias("labels"),
+            F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("named", lambda x: x["share"])), F.lit(0.0))).alias("score"),
+        ).alias("of"),
+    )
+    none = F.array().cast("array<string>")
+    licence = F.struct(
+        F.col(n_words).alias("n_words"),
+        F.coalesce(F.col("of.places"), F.array().cast("array<bigint>")).alias("places"),
+        F.coalesce(F.col("of.base_labels"), none).alias("base_labels"),
+        F.coalesce(F.col("of.labels"), none).alias("labels"),
+        F.coalesce(F.col("of.score"), F.lit(0.0)).alias("score"),
     )
-    return rows.select(*[F.col("row")[c].alias(c) for c in names if c != text], result.alias(column))
+    joined = rows.select(row, id_, n_words).join(result, F.col(id_) == F.col(found), "left")
+    return joined.select(*[F.col(row)[c].alias(c) for c in names], licence.alias(column))

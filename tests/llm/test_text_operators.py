@@ -261,8 +261,59 @@ def test_queries_digest_columns(spark, sf_dir):
 
 
 def test_a_file_with_every_licence_has_every_label(spark):
-    text = ".\n".join(t[2] + " as " + t[1][0] for t in licenses.TEMPLATES)
+    text = ".\n".join(t[2] + " as " + " as ".join(t[1]) for t in licenses.TEMPLATES)
     rows = [(1, text), (2, "all rights reserved"), *((10 + k, "Rights of the reserved public") for k in range(5))]
+    rows += [(100 + k, f"Some code. {t[2]} The end.") for k, t in enumerate(licenses.TEMPLATES)]
     got = {r.doc_id: r.licence for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].labels == sorted({t[0] for t in licenses.TEMPLATES})
+    assert got[1].labels == sorted({t[0] for t in licenses.TEMPLATES}) and got[1].score == 1
     assert got[2].labels == ["proprietary"] and got[10].labels == [] and got[10].score == 0
+    assert all(t[0] in got[100 + k].labels for k, t in enumerate(licenses.TEMPLATES) if all(p in " ".join(words(t[2])) for p in t[1]))
+    assert licenses.scan(spark.createDataFrame([("x", 1)], "text string, licence int")).first().licence.n_words == 1
+
+
+def plain_licences(text):
+    """Labels and score by trying every template at every place."""
+    w, labels, best = words(text), set(), 0.0
+    line = f" {' '.join(w)} "
+    at = {}
+    for i, x in enumerate(w):
+        at.setdefault(x, []).append(i)
+    for k, (label, keys, _) in enumerate(licenses.TEMPLATES):
+        index = [(x, p) for x, t, p in licenses.postings() if t == k]
+        counts = {}
+        for x, p in index:
+            for i in at.get(x, ()):
+                counts[i - p] = counts.get(i - p, 0) + 1
+        most = max(counts.values(), default=0)
+        if most >= 0.5 * len(index) and (most >= 2 or most == len(index)) and all(f" {' '.join(words(p))} " in line for p in keys):
+            labels.add(label)
+            best = max(best, most / len(index))
+    base = {x for p, x in PHRASES.items() if any(tuple(w[i : i + len(p)]) == p for i in range(len(w)))}
+    return sorted(labels | base), 1.0 if base else best
+
+
+def test_licence_labels_match_brute_force(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(5)):
+            body = rng.choice(licenses.TEMPLATES)
+            w = (body[2] + " " + " ".join(body[1])).split()
+            a = rng.randrange(len(w))
+            w = w[a : a + rng.randrange(3, 60)] if rng.random() < 0.5 else w
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(["xyz", "the", "license", "É"]))
+            parts += [" ".join(w), " ".join(rng.choices(["the", "general", "cc", "software", "notice"], k=rng.randrange(9)))]
+        rows.append((i, rng.choice([". ", "\n * ", " "]).join(parts)))
+    got = {r.doc_id: (list(r.licence.labels), r.licence.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: plain_licences(t) for i, t in rows}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want) and len({tuple(x) for x, _ in want.values()}) > 30
+
+
+def test_rare_words_are_indexed():
+    index = licenses.postings()
+    assert all(any(k == t for _, t, _ in index) for k in range(len(licenses.TEMPLATES)))
+    assert all(len({w for w, t, _ in index if t == k}) <= 24 for k in range(len(licenses.TEMPLATES))) and len(index) < 1500
+    assert not any(w == "the" for w, _, _ in index)
