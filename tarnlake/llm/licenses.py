@@ -123,7 +123,8 @@ def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHR
     # entries: base phrases first, then templates
     starts = [words_of(p) for p in base]
     entries = [(w, k, at) for k, p in enumerate(starts) for at, w in enumerate(p)] + [(w, len(starts) + k, at) for w, k, at in postings(templates, rarest)]
-    index = spark.createDataFrame(entries or [("", -1, 0)], "word string, entry int, place int")  # bounded by the templates
+    word, entry, place = zip(*(entries or [("", -1, 0)]), strict=True)
+    index = spark.range(1).select(F.inline(F.arrays_zip(F.lit(list(word)).alias("word"), F.lit(list(entry)).alias("entry"), F.lit(list(place)).alias("place"))))  # bounded by the templates
     sizes = [sum(e == k for _, e, _ in entries) for k in range(len(starts) + len(templates))]
     size = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col("entry") + 1) if sizes else F.lit(0)
     looked = held.select("id", F.posexplode(F.split("line", " ")).alias("at", "word")).join(F.broadcast(index), "word")
