@@ -33,7 +33,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("set", spotsigs.signatures(F.col("text")))
-    pairs = spotsigs.with_next(docs, ["text", "set"]).withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
+    pairs = spotsigs.with_next(docs, ["text", "set"], size=F.octet_length("text")).withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
     pairs = pairs.withColumn("edited_set", spotsigs.signatures(F.col("edited")))
     return pairs.select(
         "doc_id",
@@ -41,8 +41,8 @@ def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         spotsigs.fingerprint(F.col("set")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("set"), F.col("edited_set"), 0.05).alias("near_edited"),
-        spotsigs.likeness(F.col("set"), F.col("next_set"), 0.05).alias("near_next"),
+        spotsigs.likeness(F.col("set"), F.col("edited_set")).alias("near_edited"),
+        spotsigs.likeness(F.col("set"), F.col("next_set")).alias("near_next"),
         spotsigs.length_part(F.col("set"), 0.75).alias("length_part"),
     )
 

@@ -83,6 +83,91 @@ def test_fingerprints(spark):
     assert one.next_text == one.text
 
 
+def plain_signatures(text):
+    """The strings behind a fingerprint, word by word."""
+    anchors, skipped = ({w for x in lists for w in x.split()} for lists in (spotsigs.ANCHORS, spotsigs.SKIPPED))
+    every = words(text)
+    kept = [w for w in every if w not in skipped]
+    out = set()
+    for i, w in enumerate(kept):
+        if w in anchors and i + 1 < len(kept) and kept[i + 1] not in anchors:
+            content = [x for x in kept[i + 1 :] if x not in anchors][:2]
+            if len(content) == 2:
+                out.add(f"{w} {content[0]} {content[1]}")
+    stretch = " "
+    for w in [*kept, None]:
+        if w is None or w in anchors:
+            at = 80
+            while at < len(stretch) and stretch[at] != " ":
+                at += 1
+            far = stretch[at:].split()
+            out |= {" ".join(far[i : i + 3]) + " " for i in range(len(far) - 2)}
+            stretch = f"{w} "
+        else:
+            stretch += f"{w} "
+    return out or {" ".join(every[i : i + 3]) + " " for i in range(len(every) - 2)}
+
+
+def test_signatures_match_the_definition(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(41)
+    common_words = [w for x in (*spotsigs.ANCHORS, *spotsigs.SKIPPED) for w in x.split()]
+    texts = []
+    for i in range(120):
+        pool = [common_words[:20], common_words, ["w"], []][i % 4] + [f"w{rng.randrange(300)}{'x' * rng.randrange(9)}" for _ in range(60)]
+        texts.append(rng.choice([" ", ", ", "\n"]).join(rng.choices(pool, k=rng.choice([0, 2, 4, 9, 40, 150]))).title())
+    texts += ["the " * 30_000 + "end of it", "word " * 30_000, "", "|", "of the of", "x" * 200_000]
+    rows = list(enumerate(texts))
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i long, text string").select("i", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    want = [(i, x) for i, t in rows for x in plain_signatures(t)]
+    hashed = {}
+    for r in spark.createDataFrame(want, "i long, x string").select("i", F.hash("x").alias("h")).collect():
+        hashed.setdefault(r.i, set()).add(r.h)
+    for i, t in rows:
+        assert set(got[i]) == hashed[i] if i in hashed else len(got[i]) == 1
+        assert got[i] == sorted(set(got[i]))
+
+
+def test_edits_move_few_signatures(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(42)
+    tables = [" | ".join(f"cell{rng.randrange(10**6)}" for _ in range(200)) for _ in range(20)]
+    prose = [" ".join(rng.choice(["the", "of", "une", f"w{rng.randrange(999)}", f"v{rng.randrange(999)}"]) for _ in range(200)) for _ in range(20)]
+    rows = [(t, t[: len(t) - len(t) // 3] + other[: len(t) // 3]) for t in tables + prose for other in (rng.choice(tables), rng.choice(prose))]
+    near = spark.createDataFrame(rows, "a string, b string").select(spotsigs.likeness(spotsigs.signatures(F.col("a")), spotsigs.signatures(F.col("b"))).alias("j")).collect()
+    assert min(r.j for r in near) > 0.25
+
+
+def test_similar_matches_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(43)
+    base = [[rng.choice(["the", "of", f"w{rng.randrange(200)}", f"v{rng.randrange(200)}"]) for _ in range(rng.choice([4, 30, 120]))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 5, 40])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, ""), (None, "the w1 v2"), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit("a clash"))
+    sets = {r.doc_id: frozenset(r.s) for r in docs.filter("doc_id IS NOT NULL").select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    pairs, members = spotsigs.similar(docs, least=0.75)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert {r.doc_id: r["class"] for r in members.collect()} == {i: first[s] for i, s in sets.items()}
+    want = {}
+    for a, i in first.items():
+        for b, j in first.items():
+            if i < j and len(a & b) >= 0.75 * len(a | b):
+                want[i, j] = len(a & b) / len(a | b)
+    assert {(r.u, r.v): r.likeness for r in pairs.collect()} == want and len(want) > 20
+    assert spotsigs.similar(docs.limit(0))[0].count() == 0
+
+
 def test_pruned_likeness_and_parts(spark):
     from pyspark.sql import functions as F
 
