@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import backtest, features, models
-from . import query
-from .data import BARS, QUOTES, TRADES, bars, quotes, trades
+from ..sources.scratch import scratch
+from . import market_pipeline, query
+from .data import BARS, QUOTES, TRADES, bars, quotes, table, trades
 
 _DAY = "strftime(timestamp, '%Y-%m-%d') AS day"
 _W = "PARTITION BY symbol ORDER BY timestamp"
 
 
-def _out(df, *cols, places: int = 6):
-    return df.select("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), *[F.round(c, places).alias(c) for c in cols])
+def _out(df, *cols, places: int = 6, **other):
+    """Symbol, day and rounded columns; ``other`` names columns with places of their own, None for as they are."""
+    rounded = [F.round(c, places).alias(c) for c in cols] + [F.col(c) if n is None else F.round(c, n).alias(c) for c, n in other.items()]
+    return df.select("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), *rounded)
 
 
 def _rolling(agg: str, of: str, n: int) -> str:
@@ -42,8 +45,7 @@ def moving_averages(spark, d):
         SELECT symbol, {_DAY}, round(mid, 4) AS bb_mid, round(mid + 2 * std, 4) AS bb_upper, round(mid - 2 * std, 4) AS bb_lower, round((close - mid + 2 * std) / (4 * std), 6) AS bb_pct_b FROM m"""
 )
 def bollinger_bands(spark, d):
-    out = features.bollinger(bars(spark, d))
-    return _out(out, "bb_mid", "bb_upper", "bb_lower", places=4).join(_out(out, "bb_pct_b"), ["symbol", "day"])
+    return _out(features.bollinger(bars(spark, d)), "bb_mid", "bb_upper", "bb_lower", places=4, bb_pct_b=6)
 
 
 @query(
@@ -62,8 +64,7 @@ def lagged(spark, d):
 
 @query(f"WITH {BARS}, l AS (SELECT *, lead(close) OVER ({_W}) / close - 1 AS t FROM bars) SELECT symbol, {_DAY}, round(t, 6) AS target_return_next, CAST(t > 0 AS INTEGER) AS target_up_next FROM l")
 def next_day_labels(spark, d):
-    out = features.labels(bars(spark, d))
-    return _out(out, "target_return_next").join(out.select("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "target_up_next"), ["symbol", "day"])
+    return _out(features.labels(bars(spark, d)), "target_return_next", target_up_next=None)
 
 
 _FOLD = "list_reduce(list({x}) OVER (PARTITION BY symbol ORDER BY timestamp ROWS UNBOUNDED PRECEDING), lambda a, v: a + {alpha} * (v - a))"
@@ -111,7 +112,7 @@ def feature_table(spark, d):
     first = F.substring("symbol", 1, 1)
     flag = F.when(first == "1", "A").when(first == "2", "N").otherwise("R")
     built = features.daily_join(features.indicators(b).withColumn("own", F.col("symbol")).withColumn("symbol", flag), quotes(spark, d), trades(spark, d)).withColumn("symbol", F.col("own"))
-    return _out(built, "return_1d", "target_return_next").join(_out(built, "sma_20", "avg_spread", places=4), ["symbol", "day"]).join(built.select("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "trade_tick_count"), ["symbol", "day"])
+    return _out(built, "return_1d", "target_return_next", sma_20=4, avg_spread=4, trade_tick_count=None)
 
 
 @query(f"WITH {BARS} SELECT symbol, {_DAY}, row_number() OVER ({_W}) > floor(count(*) OVER (PARTITION BY symbol) * (1 - 0.2::DOUBLE)) AS is_test FROM bars")
@@ -126,7 +127,7 @@ def walk_forward(spark, d):
 
 def predictions(spark, d):
     """Deterministic stand-in scores from the day of the month, so that the backtest can be checked."""
-    return features.labels(bars(spark, d)).filter(F.col("target_return_next").isNotNull()).withColumns({"pred_proba_up": F.dayofmonth("timestamp") / 31.0, "target_return_next": F.col("target_return_next") / 1000, "pred_return": F.lit(0.0)})
+    return features.labels(bars(spark, d)).filter(F.col("target_return_next").isNotNull()).withColumns({"pred_proba_up": F.dayofmonth("timestamp") / 31.0, "target_return_next": F.col("target_return_next") / 1000, "pred_return": (F.dayofmonth("timestamp") - 15) / 10_000.0})
 
 
 _PRED = f"{BARS}, p AS (SELECT symbol, timestamp, t / 1000 AS t, day(timestamp) / 31.0::DOUBLE AS proba, t > 0 AS up FROM (SELECT *, lead(close) OVER ({_W}) / close - 1 AS t FROM bars) WHERE t IS NOT NULL)"
@@ -141,8 +142,7 @@ def signals(spark, d):
 
 @query(f"WITH {_EQUITY} SELECT symbol, {_DAY}, round(sr, 8) AS strategy_return, round(se, 2) AS strategy_equity, round(be, 2) AS buy_hold_equity FROM q")
 def equity_curves(spark, d):
-    out = backtest.equity(predictions(spark, d))
-    return _out(out, "strategy_return", places=8).join(_out(out, "strategy_equity", "buy_hold_equity", places=2), ["symbol", "day"])
+    return _out(backtest.equity(predictions(spark, d)), "strategy_return", places=8, strategy_equity=2, buy_hold_equity=2)
 
 
 @query(
@@ -159,14 +159,28 @@ def trade_stats(spark, d):
     return backtest.trade_stats(backtest.signals(predictions(spark, d)))
 
 
-@query(f"WITH {_PRED} SELECT symbol, count(*) AS n_test, round(avg(CAST((proba > 0.5) = up AS INTEGER)), 6) AS accuracy, round(avg(abs(t)), 8) AS mae, round(avg(abs(t)), 8) AS naive_mae FROM p GROUP BY 1")
+@query(
+    f"""WITH {_PRED}, r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY proba) + (count(*) OVER (PARTITION BY symbol, proba) - 1) / 2.0::DOUBLE AS place FROM p)
+        SELECT symbol, count(*) AS n_test, round(avg(CAST((proba > 0.5) = up AS INTEGER)), 6) AS accuracy, round(avg(abs((day(timestamp) - 15) / 10000.0::DOUBLE - t)), 8) AS mae, round(avg(abs(t)), 8) AS naive_mae,
+               round((sum(place) FILTER (up) - count(*) FILTER (up) * (count(*) FILTER (up) + 1) / 2.0::DOUBLE) / (count(*) FILTER (up) * count(*) FILTER (NOT up)), 6) AS auc FROM r GROUP BY 1"""
+)
 def model_scores(spark, d):
     s = models.score(predictions(spark, d))
-    return s.select("symbol", "n_test", F.round("accuracy", 6).alias("accuracy"), F.round("mae", 8).alias("mae"), F.round("naive_mae", 8).alias("naive_mae"))
+    return s.select("symbol", "n_test", *[F.round(c, n).alias(c) for c, n in (("accuracy", 6), ("mae", 8), ("naive_mae", 8), ("auc", 6))])
+
+
+def _symbols(spark, d):
+    return [r["symbol"] for r in table(spark, d, "orders").select(F.col("o_orderpriority").alias("symbol")).distinct().orderBy("symbol").collect()]  # five priorities
 
 
 @query()
 def trained_models(spark, d):
-    """Fits with fewer trees than the default, over one symbol, on the features of the given tables."""
-    built = features.indicators(bars(spark, d))
-    return models.score(models.train(built, ["1-URGENT"], trees=10, boosts=5))
+    """Both models of every symbol, with the default numbers of trees, over the features of all bars."""
+    return models.score(models.train(features.indicators(bars(spark, d)), _symbols(spark, d)))
+
+
+@query()
+def market_backtest(spark, d):
+    """The market pipeline from landing to backtest, over all bars, quotes and trades, with trained models."""
+    m = market_pipeline.Market(spark, scratch(spark, "market"))
+    return market_pipeline.run_market(m, {"bars": bars(spark, d), "quotes": quotes(spark, d), "trades": trades(spark, d)}, _symbols(spark, d))
