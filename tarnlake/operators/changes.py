@@ -84,11 +84,20 @@ def insert_new(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def _latest(events: DataFrame, keys: Sequence[str], sequence_by: Sequence[str]) -> DataFrame:
-    """The event of the highest sequence of each key; a partial maximum, no sort."""
-    row = F.max_by(F.struct(*events.columns), F.struct(*sequence_by)).alias("__row")
+    """The event of the highest sequence of each key; a partial maximum, no sort.
+
+    Of equal sequences the content decides, so that the result never depends on the row order.
+    """
+    row = F.max_by(F.struct(*events.columns), F.struct(*sequence_by, F.xxhash64(*events.columns))).alias("__row")
     return events.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(row).select("__row.*")
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A semi or anti join on keys in which null equals null."""
+    other = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    return left.join(other, [left[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)], how)
+
+
 def _names(df: DataFrame, columns: Sequence[str] | None, except_columns: Sequence[str]) -> list[str]:
     return [c for c in (columns or df.columns) if c not in except_columns]
 
@@ -168,12 +177,12 @@ def scd2(
 def scd2_merge(history: DataFrame, batch: DataFrame, keys: Sequence[str], sequence_by: str, *, deletes: Column | str | None = None) -> DataFrame:
     """Bring a batch of events, newer than the open versions, into a history.
 
-    Keys that the batch lacks pass through. An event equal to the open version changes nothing.
+    Keys that the batch lacks pass through. An event equal to the open version changes nothing. A null
+    key is a key like any other.
     """
     payload = [c for c in history.columns if c not in {*keys, START, END}]
     touched = batch.select(*keys).distinct()
-    same = history.join(touched, list(keys), "left_anti")
-    old = history.join(touched, list(keys), "left_semi")
+    same, old = same_keys(history, touched, keys, "left_anti"), same_keys(history, touched, keys, "left_semi")
     closed = old.filter(F.col(END).isNotNull())
     gone = F.coalesce(_expr(deletes), F.lit(False)) if deletes is not None else F.lit(False)
     open_ = old.filter(F.col(END).isNull()).select(*keys, *payload, F.col(START).alias(sequence_by), F.lit(False).alias("__delete"))
@@ -220,12 +229,15 @@ def change_feed(old: DataFrame, new: DataFrame, keys: Sequence[str], version: in
 
 
 def apply_feed(target: DataFrame, feed: DataFrame, keys: Sequence[str], lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """Bring the changes of a range of versions into a table; of a key's changes the latest decides."""
+    """Bring the changes of a range of versions into a table; of a key's changes the latest decides.
+
+    Null keys equal each other, as they do in ``change_feed``.
+    """
     part = feed.filter(F.col("_change_type") != "update_preimage")
     part = part if lo is None else part.filter(F.col("_commit_version") >= lo)
     part = part if hi is None else part.filter(F.col("_commit_version") <= hi)
     last = _latest(part.withColumn("__rank", (F.col("_change_type") != "delete").cast("int")), keys, ["_commit_version", "__rank"])
-    rest = target.join(last.select(*keys), list(keys), "left_anti")
+    rest = same_keys(target, last, keys, "left_anti")
     return rest.unionByName(last.filter("_change_type <> 'delete'").select(*target.columns))
 
 

@@ -50,6 +50,7 @@ def describe_columns(df: DataFrame, comments: Mapping[str, str], never_features:
     return df
 
 
-def access_report(log: DataFrame, since: Column, *, ts: str = "ts", user: str = "user_id", action: str = "event_type") -> DataFrame:
-    """Per user and action since a time: number, the last time."""
-    return log.filter(F.col(ts) >= since).groupBy(user, action).agg(F.count("*").alias("n"), F.max(ts).alias("last_seen"))
+def access_report(log: DataFrame, since: Column, *, ts: str = "ts", user: str = "user_id", action: str = "event_type", failed: Column | None = None) -> DataFrame:
+    """Per user and action since a time: number, how many of them failed, the last time."""
+    failures = F.count_if(failed) if failed is not None else F.lit(0).cast("long")
+    return log.filter(F.col(ts) >= since).groupBy(user, action).agg(F.count("*").alias("n"), failures.alias("failures"), F.max(ts).alias("last_seen"))

@@ -38,8 +38,12 @@ def zorder(df: DataFrame, cols: Sequence[str], parts: int, bits: int = 10) -> Da
 
     def rank(i: int, c: str) -> Column:
         """Number of quantiles up to the value, by halving."""
-        q = F.array(*[F.lit(x) for x in sorted(marks[f"q{i}"] or [])])
-        return F.size(F.filter(q, lambda x: x <= F.col(c)))
+        found = sorted(marks[f"q{i}"] or [])
+        if not found:
+            return F.lit(0)
+        q = F.lit(found)
+        halves = F.array(*[F.lit(1 << k) for k in range(bits, -1, -1)])
+        return F.aggregate(halves, F.lit(0), lambda n, half: F.when(F.coalesce(F.get(q, n + half - 1) <= F.col(c), F.lit(False)), n + half).otherwise(n))
 
     z = F.lit(0).cast("long")
     ranks = [rank(i, c) for i, c in enumerate(cols)]

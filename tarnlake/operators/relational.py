@@ -33,25 +33,41 @@ def typed(df: DataFrame, spec: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(kind) for c, kind in spec.items()})
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join that deals each key of ``big`` to ``salts`` tasks; ``small`` is repeated so many times.
+def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16, how: str = "inner", hot_rows: int = 1_000_000) -> DataFrame:
+    """Equi-join that deals keys with more than ``hot_rows`` rows in ``big`` to ``salts`` tasks.
 
-    The salt comes from a row's content, so that a task that runs again gives the same rows.
+    Only the rows of ``small`` with such a key are repeated. The salt comes from a row's content, so
+    that a task that runs again gives the same rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on this side")
-    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    hot = big.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).select(F.col(key).alias("__hot"))
+    dealt = big.join(hot, F.col(key) == F.col("__hot"), "left")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    last = F.when(F.col("__hot").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
+    copies = small.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__hot")
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str | None, lt: str, rt: str, lo: str, hi: str, how: str = "inner") -> DataFrame:
-    """Rows of equal key with rt within [lt + lo, lt + hi]; ``lo`` and ``hi`` are interval texts."""
-    within = (F.col(rt) >= F.col(lt) + F.expr(f"INTERVAL {lo}")) & (F.col(rt) <= F.col(lt) + F.expr(f"INTERVAL {hi}"))
-    if key is None:
-        return left.join(right, within, how)
-    other = right.withColumnRenamed(key, "__key")
-    return left.join(other, (F.col(key) == F.col("__key")) & within, how).drop("__key")
+    """Rows of equal key with rt within [lt + lo, lt + hi]; ``lo`` and ``hi`` are interval texts.
+
+    Time is cut into buckets as wide as the interval, and a right row stands in each bucket from which
+    a left row can reach it, two or three, so that the equi-join is on the key and the bucket: a hot
+    key meets only its own times, and without a key there is still one to join by.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left interval joins keep each left row once")
+    epoch, micros = F.lit("1970-01-01").cast("timestamp"), lambda x: F.unix_micros(x.cast("timestamp"))
+    low, high = F.expr(f"INTERVAL {lo}"), F.expr(f"INTERVAL {hi}")
+    width = F.greatest(micros(epoch + high) - micros(epoch + low), F.lit(1_000_000))
+    bucket = lambda x: F.floor(micros(x) / width)
+    mine = left.withColumn("__bucket", bucket(F.col(lt)))
+    reach = F.sequence(bucket(F.col(rt).cast("timestamp") - high) - 1, bucket(F.col(rt).cast("timestamp") - low) + 1)
+    other = right.select(*([F.col(c).alias("__key") if c == key else F.col(c) for c in right.columns]), F.explode(reach).alias("__reach"))
+    within = (F.col("__bucket") == F.col("__reach")) & (F.col(rt) >= F.col(lt) + low) & (F.col(rt) <= F.col(lt) + high)
+    met = mine.join(other, within if key is None else (F.col(key) == F.col("__key")) & within, how)
+    return met.drop("__key", "__bucket", "__reach")
 
 
 def attribution(clicks: DataFrame, purchases: DataFrame, key: str, click_ts: str, purchase_ts: str, window: str) -> DataFrame:
