@@ -54,7 +54,7 @@ def tag_policy(spark, d):
     return governance.apply_policy(own)
 
 
-@query("SELECT user_id, event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1, 2")
+@query("SELECT user_id, event_type, count(*) AS n, count(*) FILTER (value > 90) AS failures, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1, 2")
 def access_report(spark, d):
-    out = governance.access_report(table(spark, d, "events"), F.lit("2024-01-20").cast("timestamp_ntz"))
+    out = governance.access_report(table(spark, d, "events"), F.lit("2024-01-20").cast("timestamp_ntz"), failed=F.col("value") > 90)
     return out.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))

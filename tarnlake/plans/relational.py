@@ -95,18 +95,23 @@ def left_join(spark, d):
     return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
-_SIDES = "(SELECT * FROM customer WHERE c_custkey % 3 = 0) c {} JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o ON o_custkey = c_custkey"
+_SIDES = "(SELECT * FROM customer WHERE c_acctbal > 0) c {} JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON o_custkey = c_custkey"
+
+
+def _sides(spark, d):
+    """Customers and large orders: either side has rows without a partner."""
+    return table(spark, d, "customer").filter("c_acctbal > 0"), table(spark, d, "orders").filter("o_totalprice > 300000")
 
 
 @query(f"SELECT c_custkey, o_orderkey FROM {_SIDES.format('FULL')}")
 def full_join(spark, d):
-    c, o = table(spark, d, "customer").filter("c_custkey % 3 = 0"), table(spark, d, "orders").filter("o_orderkey % 5 = 0")
+    c, o = _sides(spark, d)
     return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "full").select("c_custkey", "o_orderkey")
 
 
 @query(f"SELECT c_custkey, o_orderkey FROM {_SIDES.format('RIGHT')}")
 def right_join(spark, d):
-    c, o = table(spark, d, "customer").filter("c_custkey % 3 = 0"), table(spark, d, "orders").filter("o_orderkey % 5 = 0")
+    c, o = _sides(spark, d)
     return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "o_orderkey")
 
 
@@ -116,6 +121,17 @@ def semi_join(spark, d):
     return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
+_EXISTS = "SELECT c_custkey, c_mktsegment FROM customer{0} c WHERE EXISTS (SELECT 1 FROM orders{0} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 AND o.o_totalprice > 20 * c.c_acctbal)"
+
+
+@query(_EXISTS.format(""))
+def exists_subquery(spark, d):
+    """A correlated subquery in SQL, with a condition on both sides."""
+    for name in ("customer", "orders"):
+        table(spark, d, name).createOrReplaceTempView(f"{name}_in")
+    return spark.sql(_EXISTS.format("_in"))
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark, d):
     o = table(spark, d, "orders").filter("o_totalprice > 300000")
@@ -124,8 +140,8 @@ def anti_join(spark, d):
 
 @query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def broadcast_join(spark, d):
-    nations = table(spark, d, "nation")  # the nations of the world: a bounded dimension
-    return table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    """Spark broadcasts the dimension where its size is within the session's threshold; a test looks at the plan."""
+    return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
 @query(
@@ -404,10 +420,22 @@ def json_functions(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "struct<k:string>")["k"].alias("k"), F.get_json_object("props", "$.k").alias("by_path"))
 
 
-@query("SELECT count(*) AS n_rows, count(DISTINCT (c_name, c_mktsegment, c_nationkey)) AS n_hashes FROM customer")
+@query("SELECT c_custkey, c_mktsegment <> 'BUILDING' AND c_nationkey > 9 AS changed FROM customer")
 def row_hash(spark, d):
-    h = F.sha2(F.to_json(F.struct("c_name", "c_mktsegment", "c_nationkey")), 256)
-    return table(spark, d, "customer").agg(F.count("*").alias("n_rows"), F.countDistinct(h).alias("n_hashes"))
+    """Rows whose content hash differs from that of the same row in a later state."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    later = c.withColumn("c_mktsegment", F.when(F.col("c_nationkey") > 9, "BUILDING").otherwise(F.col("c_mktsegment")))
+    h = F.sha2(F.to_json(F.struct("c_name", "c_mktsegment", "c_nationkey")), 256).alias("h")
+    met = c.select("c_custkey", h).join(later.select("c_custkey", h.alias("h_later")), "c_custkey")
+    return met.select("c_custkey", (F.col("h") != F.col("h_later")).alias("changed"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(j, '$.a.list[1].k') AS BIGINT) AS k, json_extract_string(j, '$.a.kind') AS kind FROM (SELECT event_id, json_object('a', json_object('kind', event_type, 'list', json_array(0, json_object('k', user_id)))) AS j FROM events)")
+def json_paths(spark, d):
+    """Paths into nested objects and arrays."""
+    inner = F.struct(F.col("event_type").alias("kind"), F.array(F.struct(F.lit(0).cast("long").alias("k")), F.struct(F.col("user_id").cast("long").alias("k"))).alias("list"))
+    j = table(spark, d, "events").select("event_id", F.to_json(F.struct(inner.alias("a"))).alias("j"))
+    return j.select("event_id", F.get_json_object("j", "$.a.list[1].k").cast("long").alias("k"), F.get_json_object("j", "$.a.kind").alias("kind"))
 
 
 @query("SELECT event_id, 'ev' || event_type AS kind, true AS has FROM events")
@@ -443,6 +471,8 @@ def grouped_map_rank(spark, d):
     return udfs.add_rank(table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey").select("c_custkey", "rank_in_group")
 
 
-@query()
+@query("SELECT s_suppkey, true AS numbered FROM supplier")
 def batch_rows(spark, d):
-    return udfs.number_batches(table(spark, d, "supplier").select("s_suppkey"))
+    """The numbers depend on the batches; that each row has one doesn't."""
+    out = udfs.number_batches(table(spark, d, "supplier").select("s_suppkey"))
+    return out.select("s_suppkey", (F.col("row_in_batch") >= 0).alias("numbered"))

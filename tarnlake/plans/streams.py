@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import layout, relational
+from ..operators import changes, layout
 from ..sources import files, ingest, kafka
 from ..sources.scratch import scratch
 from ..streaming import sinks, state, windows
-from . import query
+from . import declared, query
 from .data import stamped, table
 
 _T = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -104,22 +105,75 @@ def stream_join(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
 def stream_merge(spark, d):
-    """foreachBatch into a versioned table: the latest event of each user."""
+    """foreachBatch into a table of which each batch makes the next state: the latest event of each user."""
     to = scratch(spark, "stream-merge")
-    out = sinks.VersionedTable(spark, f"{to}/table")
+    out = sinks.BatchTable(spark, f"{to}/table")
     rows = _stream(spark, d).select("user_id", "event_id", "event_type", "ts")
     rows.writeStream.foreachBatch(sinks.merge_batch(out, ["user_id"], "ts")).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return out.read().select("user_id", "event_id", "event_type")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n_events FROM events GROUP BY 1")
+@query(
+    f"""WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT CAST(user_id AS VARCHAR) AS key, {_T.format('min(ts)')} AS started, {_T.format('max(ts)')} AS last_seen, count(*) AS n_events FROM s GROUP BY user_id, k"""
+)
 def stream_sessions(spark, d):
-    """Custom state: the numbers of events of all ended and still active sessions add up to all events."""
+    """Custom state: bounds and numbers of events of all ended and still active sessions."""
     to = scratch(spark, "stream-sessions")
     sinks.run_to_end(state.session_state(_stream(spark, d), "user_id", "ts", 3600), sink=f"{to}/out", checkpoint=f"{to}/checkpoint")
     out = spark.read.parquet(f"{to}/out")
-    last = out.groupBy("key", "started").agg(F.max("n_events").alias("n"))
-    return last.groupBy("key").agg(F.sum("n").alias("n_events"))
+    last = out.groupBy("key", "started").agg(F.max("n_events").alias("n_events"), F.max("last_seen").alias("last_seen"))
+    return last.select("key", "n_events", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "last_seen")])
+
+
+@query("SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")
+def stream_enriched(spark, d):
+    """A stream joined to a table."""
+    to = scratch(spark, "stream-enriched")
+    dim = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    sinks.run_to_end(windows.enrich(_stream(spark, d), dim, "user_id").select("event_id", "c_mktsegment"), sink=f"{to}/out", checkpoint=f"{to}/checkpoint")
+    return spark.read.parquet(f"{to}/out")
+
+
+@query("SELECT user_id, count(*) AS n_events FROM events GROUP BY 1")
+def stream_updates(spark, d):
+    """Output mode update: each batch gives the totals that changed, which replace the earlier ones."""
+    to = scratch(spark, "stream-updates")
+    out = sinks.BatchTable(spark, f"{to}/table")
+    totals = windows.running_totals(_stream(spark, d), ["user_id"], {"n_events": F.count("*")})
+    totals.writeStream.outputMode("update").foreachBatch(sinks.merge_batch(out, ["user_id"], "n_events")).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return out.read()
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey > 9 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_acctbal > 0")
+def stream_feed(spark, d):
+    """A change feed read as a stream and applied to a table that holds the old state."""
+    to = scratch(spark, "stream-feed")
+    old = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    new = old.filter("c_acctbal > 0").withColumn("c_mktsegment", F.when(F.col("c_nationkey") > 9, "X").otherwise(F.col("c_mktsegment")))
+    changes.change_feed(old, new, ["c_custkey"], 1).write.parquet(f"{to}/feed")
+    out = sinks.BatchTable(spark, f"{to}/table")
+    out.write(old, 0)
+    feed = spark.readStream.schema(spark.read.parquet(f"{to}/feed").schema).parquet(f"{to}/feed")
+    step = sinks.feed_batch(out, ["c_custkey"])
+    feed.writeStream.foreachBatch(lambda batch, k: step(batch, k + 1)).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return out.read().select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value > 20 GROUP BY 1")
+def declared_tables(spark, d):
+    """Declared tables in their order: a stream into bronze, rules into silver, totals into gold."""
+    layer = declared.run_tables(
+        spark,
+        scratch(spark, "declared"),
+        [
+            declared.Declared("bronze", lambda _: _stream(spark, d)),
+            declared.Declared("silver", lambda layer: layer.stream("bronze"), warn={"known": "user_id IS NOT NULL"}, drop={"large": "value > 20"}),
+            declared.Declared("gold", lambda layer: layer.read("silver").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))),
+        ],
+    )
+    return layer.read("gold")
 
 
 # sources
@@ -143,9 +197,9 @@ def incremental_pull(spark, d):
     return files.incremental_since(e, e.filter("event_id < 7000"), "ts").select("event_id", "ts")
 
 
-@query()
+@query("SELECT event_id, event_type, 'events' AS _source, true AS stamped FROM events")
 def landed_rows(spark, d):
-    return files.landed(table(spark, d, "events"), "events").select("event_id", "_ingested_at", "_source")
+    return files.landed(table(spark, d, "events"), "events").select("event_id", "event_type", "_source", F.col("_ingested_at").isNotNull().alias("stamped"))
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_events FROM events")
@@ -176,23 +230,31 @@ def rescued_fields(spark, d):
 # layout
 
 
-@query("SELECT count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity FROM lineitem")
+@query("SELECT count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity, true AS narrow FROM lineitem")
 def zorder_rewrite(spark, d):
-    """The rows after a Z-order rewrite are the rows before it."""
+    """The rows after a Z-order rewrite are the rows before it, and files span less of both columns."""
     to = scratch(spark, "zorder")
     layout.zorder(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), ["l_orderkey", "l_partkey"], 8, bits=6).write.parquet(to)
-    return spark.read.parquet(to).agg(F.count("*").alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    rows, span = spark.read.parquet(to), lambda c: F.max(c) - F.min(c)
+    by = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(span("l_orderkey").alias("o"), span("l_partkey").alias("p")).agg(F.avg("o").alias("o"), F.avg("p").alias("p"))
+    whole = rows.agg(F.count("*").alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"), span("l_orderkey").alias("all_o"), span("l_partkey").alias("all_p"))
+    return whole.crossJoin(F.broadcast(by)).select("n_rows", "quantity", (F.col("o") / F.col("all_o") * F.col("p") / F.col("all_p") < 0.5).alias("narrow"))  # one row each
 
 
-@query("SELECT count(*) AS n_rows FROM orders")
+@query("SELECT count(*) AS n_rows, true AS fewer FROM orders")
 def compacted(spark, d):
     to = scratch(spark, "compact")
     layout.cluster(table(spark, d, "orders"), ["o_orderdate"], 16).write.parquet(f"{to}/small")
-    layout.compact(spark, f"{to}/small", f"{to}/large")
-    return spark.read.parquet(f"{to}/large").agg(F.count("*").alias("n_rows"))
+    n = layout.compact(spark, f"{to}/small", f"{to}/large")
+    detail = layout.table_detail(spark, f"{to}/large").select(((F.col("n_files") == n) & (F.col("n_files") < 16)).alias("fewer"))
+    return spark.read.parquet(f"{to}/large").agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(detail))  # one row each
 
 
-@query("SELECT o_custkey % 8 AS bucket, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT o_custkey % 8 AS bucket, count(*) AS n, 0 AS n_unsorted FROM orders GROUP BY 1")
 def sorted_partitions(spark, d):
+    """Rows by customer, sorted within each partition, which the order they are read in shows."""
     own = table(spark, d, "orders").repartition(8, "o_custkey").sortWithinPartitions("o_orderkey")
-    return relational.bucket_counts(own, "o_custkey", 8)
+    placed = own.select("o_custkey", "o_orderkey", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    w = Window.partitionBy("part").orderBy("at")
+    wrong = placed.withColumn("unsorted", F.coalesce(F.lag("o_orderkey").over(w) > F.col("o_orderkey"), F.lit(False)))
+    return wrong.groupBy(F.pmod("o_custkey", F.lit(8)).alias("bucket")).agg(F.count("*").alias("n"), F.count_if("unsorted").cast("int").alias("n_unsorted"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 RESCUED = "_rescued_data"
+COPIED_FROM = "_copied_from"
 
 
 class SchemaChanged(ValueError):
@@ -81,24 +82,19 @@ def with_rescued(df: DataFrame, json_col: str, schema: StructType | str) -> Data
 def copy_into(spark: SparkSession, src: str, tgt: str, fmt: str, *, schema: StructType | str | None = None, select: Sequence[Column | str] | None = None, pattern: str | None = None, force: bool = False) -> int:
     """Append the files that no earlier call loaded; how many rows that were. ``force`` loads all again.
 
-    A ledger beside the table names the files that are in it.
+    Each row is kept with its file (``_copied_from``), and that column of the table itself is the ledger:
+    rows and the note that they are there are one write, which a crash leaves undone or done.
     """
     reader = spark.read.format(fmt)
     reader = reader.schema(schema) if schema is not None else reader.options(header=True, inferSchema=True)
     rows = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(src)
-    rows = rows.select(*(select or ["*"]), F.col("_metadata.file_path").alias("__file"))
-    ledger = f"{tgt.rstrip('/')}_copied"
-    if _exists(spark, ledger) and not force:
-        rows = rows.join(spark.read.parquet(ledger).select(F.col("file").alias("__file")).distinct(), "__file", "left_anti")
-    batch = rows.persist()
-    try:
-        n = batch.count()
-        if n:
-            batch.drop("__file").write.mode("append").parquet(tgt)
-            batch.select(F.col("__file").alias("file")).distinct().write.mode("append").parquet(ledger)
-    finally:
-        batch.unpersist()
-    return n
+    rows = rows.select(*(select or ["*"]), F.col("_metadata.file_path").alias(COPIED_FROM))
+    known = read_or_none(spark, tgt)
+    if known is not None and not force:
+        rows = rows.join(known.select(F.col(COPIED_FROM).alias("__known")).distinct(), F.col(COPIED_FROM) == F.col("__known"), "left_anti")
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(tgt)
+    return int(seen.get["n"])
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,3 +29,12 @@ def kafka_options(servers: str, *, subscribe: str | None = None, pattern: str |
         raise ValueError("give exactly one of subscribe, pattern and assign")
     out = {"kafka.bootstrap.servers": servers, **named, "startingOffsets": starting, "failOnDataLoss": str(fail_on_loss).lower()}
     return out | ({"maxOffsetsPerTrigger": str(max_per_trigger)} if max_per_trigger else {})
+
+
+def read_kafka(spark: SparkSession, servers: str, schema: StructType | str, *, stream: bool = True, **options) -> DataFrame:
+    """The decoded records of topics, as a stream or as they are now; needs Spark's Kafka connector on the class path."""
+    reader = spark.readStream if stream else spark.read
+    settings = kafka_options(servers, **options)
+    if not stream and settings["startingOffsets"] == "latest":
+        settings["startingOffsets"] = "earliest"
+    return decode_kafka(reader.format("kafka").options(**settings).load(), schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators import changes
-from ..sources.ingest import read_or_none
 
 TRIGGERS = {"processingTime", "availableNow", "once", "continuous"}
 
@@ -25,6 +23,11 @@ def trigger(writer: DataStreamWriter, kind: str | None = None, interval: str | N
     return writer.trigger(**{kind: interval if kind in ("processingTime", "continuous") else True})
 
 
+def rate_stream(spark: SparkSession, rows_per_second: int = 10, partitions: int = 1) -> DataFrame:
+    """A stream of (timestamp, value) that makes its own rows, to try out a query's sinks and triggers."""
+    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).option("numPartitions", partitions).load()
+
+
 def stream_table(spark: SparkSession, src: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Append what a Parquet table got since the last call to another one, and stop."""
     rows = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
@@ -32,91 +35,81 @@ def stream_table(spark: SparkSession, src: str, sink: str, checkpoint: str, tran
     out.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
 
 
-def once_per_batch(spark: SparkSession, ledger: str, batch_id: int, fn: Callable[[], None], sink: str = "sink") -> bool:
-    """Run unless the ledger says that this batch was written to this sink; whether it ran."""
-    done = read_or_none(spark, ledger)
-    if done is not None and not done.filter((F.col("batch_id") == batch_id) & (F.col("sink") == sink)).isEmpty():
-        return False
-    fn()
-    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(sink).alias("sink")).write.mode("append").parquet(ledger)
-    return True
+def once_per_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch into its own part of a table: a batch that runs again, whole or in part, replaces itself."""
+    df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
-class VersionedTable:
-    """A Parquet table in which each write is a new folder; a ledger of one-row files names the current.
+class BatchTable:
+    """A table of which each batch makes the next state, in a folder of its own.
 
-    So a table can be read while its next state is made from it, and a write that failed leaves the
-    last state as it was.
+    A batch that runs again overwrites its own folder from the state before it, so that a crash at any
+    point leaves the last state as it was and nothing is merged twice. Older states than the one before
+    are deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def history(self) -> DataFrame | None:
-        return read_or_none(self.spark, f"{self.path}/_versions")
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        log = self.history()
-        if log is None:
-            return None
-        log = log if version is None else log.filter(F.col("version") <= version)
-        last = log.orderBy(F.desc("version")).first()
-        return None if last is None else self.spark.read.parquet(last["folder"])
-
-    def write(self, df: DataFrame, operation: str = "WRITE", batch_id: int | None = None) -> int:
-        log = self.history()
-        version = 0 if log is None else log.agg(F.max("version")).first()[0] + 1
-        folder = f"{self.path}/v{version}-{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        n = self.spark.read.parquet(folder).count()
-        row = self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"), F.lit(operation).alias("operation"),
-            F.lit(n).cast("long").alias("n_rows"), F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("at"),
-        )
-        row.write.mode("append").parquet(f"{self.path}/_versions")
-        return version
-
-    def has_batch(self, batch_id: int) -> bool:
-        log = self.history()
-        return log is not None and not log.filter(F.col("batch_id") == batch_id).isEmpty()
-
-
-def merge_batch(table: VersionedTable, keys: Sequence[str], order: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merge the latest row of each key into a table, once for each batch id."""
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.path}/state-{batch_id:020d}"
+
+    def _states(self) -> list[int]:
+        """The batches whose state is whole, ascending."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state-*/_SUCCESS")
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root) or []
+        return sorted(int(f.getPath().getParent().getName().removeprefix("state-")) for f in found)
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The latest state, or the latest that an earlier batch than ``before`` made."""
+        states = [k for k in self._states() if before is None or k < before]
+        return self.spark.read.parquet(self._folder(states[-1])) if states else None
+
+    def next_batch(self) -> int:
+        return max(self._states(), default=-1) + 1
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(self._folder(batch_id))
+        for k in self._states()[:-2]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(k))
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def merge_batch(table: BatchTable, keys: Sequence[str], order: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merge the latest row of each key into a table, once for each batch id.
+
+    One full outer join a batch; large batches, as availableNow takes them, keep that rare.
+    """
     from ..operators.relational import dedup_latest
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if table.has_batch(batch_id):
-            return
         rows = dedup_latest(transform(batch) if transform else batch, keys, order)
-        old = table.read()
-        table.write(rows if old is None else changes.merge(old, rows, keys, check=False), "MERGE", batch_id)
+        old = table.read(before=batch_id)
+        table.write(rows if old is None else changes.merge(old, rows, keys, check=False), batch_id)
 
     return run
 
 
-def feed_batch(table: VersionedTable, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def feed_batch(table: BatchTable, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: apply a change feed's rows to a table, once for each batch id."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if table.has_batch(batch_id):
-            return
-        old = table.read()
+        old = table.read(before=batch_id)
         cols = [c for c in batch.columns if not c.startswith("_")]
         empty = batch.select(*cols).limit(0) if old is None else old
-        table.write(changes.apply_feed(empty, batch, keys), "FEED", batch_id)
+        table.write(changes.apply_feed(empty, batch, keys), batch_id)
 
     return run
 
 
-def fan_out(spark: SparkSession, ledger: str, sinks: Mapping[str, tuple[str, str]]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: append each sink's rows, given as name -> (predicate, path), once for each batch."""
+def fan_out(sinks: Mapping[str, tuple[str, str]]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: write each sink's rows, given as name -> (predicate, path), once for each batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            for name, (predicate, path) in sinks.items():
-                once_per_batch(spark, ledger, batch_id, lambda p=predicate, to=path: batch.filter(p).write.mode("append").parquet(to), name)
+            for predicate, path in sinks.values():
+                once_per_batch(batch.filter(predicate), path, batch_id)
         finally:
             batch.unpersist()
 

@@ -1,4 +1,4 @@
-"""Files, ingestion, schema modes, streams, layout, governance, monitoring and the declarative surface."""
+"""Files, ingestion, schema modes, streams, layout, governance, monitoring and declared tables."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 
 from tarnlake.functions import udfs
 from tarnlake.functions.masks import mask_email, mask_partial
-from tarnlake.operators import backtest, features, governance, layout, models, monitoring
-from tarnlake.plans.declarative import Pipeline
+from tarnlake.operators import backtest, changes, features, governance, layout, models, monitoring
+from tarnlake.plans import declared
 from tarnlake.sources import files, ingest, kafka
 from tarnlake.streaming import sinks, state, windows
 
@@ -79,6 +79,9 @@ def test_ingest_once(spark, root):
     assert ingest.copy_into(spark, f"{root}/in", f"{root}/copy", "json", schema="id int, s string") == 4
     assert ingest.copy_into(spark, f"{root}/in", f"{root}/copy", "json", schema="id int, s string") == 0
     assert ingest.copy_into(spark, f"{root}/in", f"{root}/copy", "json", schema="id int, s string", select=["id"], force=True) == 4
+    drop(3)
+    assert ingest.copy_into(spark, f"{root}/in", f"{root}/copy", "json", schema="id int, s string") == 2
+    assert spark.read.parquet(f"{root}/copy").groupBy(ingest.COPIED_FROM).count().count() == 3
 
 
 def test_schema_inference_and_evolution(spark, root):
@@ -126,19 +129,24 @@ def test_stream_resume_merge_fan_out_progress(spark, root):
     sinks.stream_table(spark, src, f"{root}/sink", f"{root}/ck")
     assert spark.read.parquet(f"{root}/sink").count() == 110
 
-    table = sinks.VersionedTable(spark, f"{root}/table")
+    table = sinks.BatchTable(spark, f"{root}/table")
     merge = sinks.merge_batch(table, ["k"], "ts")
     batch = spark.read.parquet(src)
     merge(batch.filter("id < 50"), 0)
     merge(batch, 1)
     merge(batch, 1)
-    assert table.read().count() == 5 and table.history().count() == 2 and {r.id for r in table.read().collect()} == set(range(105, 110))
-    assert {r.id for r in table.read(0).collect()} == set(range(45, 50))
+    assert table.read().count() == 5 and {r.id for r in table.read().collect()} == set(range(105, 110))
+    assert {r.id for r in table.read(before=1).collect()} == set(range(45, 50))
+    merge(batch.filter("id < 7").withColumn("k", F.lit("new")), 2)
+    merge(batch.limit(0), 3)
+    assert table.read().count() == 6 and table.read(before=1) is None
 
-    fan = sinks.fan_out(spark, f"{root}/ledger", {"low": ("id < 10", f"{root}/low"), "high": ("id >= 10", f"{root}/high")})
+    fan = sinks.fan_out({"low": ("id < 10", f"{root}/low"), "high": ("id >= 10", f"{root}/high")})
     fan(batch, 3)
+    sinks.once_per_batch(batch.filter("id < 3"), f"{root}/low", 4)  # written before a crash
     fan(batch, 3)
-    assert spark.read.parquet(f"{root}/low").count() == 10 and spark.read.parquet(f"{root}/high").count() == 100
+    fan(batch, 4)
+    assert spark.read.parquet(f"{root}/low").count() == 20 and spark.read.parquet(f"{root}/high").count() == 200
     assert sinks.observed(batch, "id % 2 = 0", lambda df: df.write.parquet(f"{root}/obs")) == {"total": 110, "valid": 55}
 
     rows = spark.readStream.schema(batch.schema).parquet(src)
@@ -165,15 +173,50 @@ def test_stream_outer_join_and_feed(spark, root):
     got = {(r.id, r.rid, r.converted) for r in spark.read.parquet(f"{root}/o").collect()}
     assert got == {(1, 7, True), (2, None, False)}
 
-    from tarnlake.operators.changes import change_feed
-
     old, new = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string")
-    table = sinks.VersionedTable(spark, f"{root}/t")
-    table.write(old)
-    sinks.feed_batch(table, ["id"])(change_feed(old, new, ["id"], 1), 0)
+    table = sinks.BatchTable(spark, f"{root}/t")
+    table.write(old, 0)
+    for _ in range(2):
+        sinks.feed_batch(table, ["id"])(changes.change_feed(old, new, ["id"], 1), 1)
     assert sorted(table.read().collect()) == sorted(new.collect())
 
 
+def test_triggers_modes_and_failures(spark, root):
+    """A rate source under the default and the processing-time trigger, in update mode, and queries that fail or time out."""
+    rows = sinks.rate_stream(spark, rows_per_second=50).withColumn("k", F.col("value") % 3)
+    counted = windows.running_totals(rows, ["k"], {"n": F.count("*")})
+    for k, kind in enumerate((None, "processingTime")):
+        seen = []
+        q = sinks.trigger(counted.writeStream.outputMode("update").foreachBatch(lambda df, _, seen=seen: seen.append(df.count())).option("checkpointLocation", f"{root}/ck{k}"), kind, "200 milliseconds").start()
+        try:
+            assert not q.awaitTermination(1) and q.isActive
+            for _ in range(60):
+                if sum(seen):
+                    break
+                q.awaitTermination(0.5)
+        finally:
+            q.stop()
+        assert 0 < max(seen) <= 3 and not q.isActive
+
+    def fail(batch, batch_id):
+        raise RuntimeError("the sink is away")
+
+    _write_events(spark, f"{root}/in", [(1, "a", _at(0))])
+    src = spark.readStream.schema("id int, k string, ts timestamp").parquet(f"{root}/in")
+    bad = src.writeStream.foreachBatch(fail).option("checkpointLocation", f"{root}/ck9").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="the sink is away"):
+        bad.awaitTermination()
+    assert "the sink is away" in str(bad.exception())
+    sinks.run_to_end(src, sink=f"{root}/out", checkpoint=f"{root}/ck9")  # the same checkpoint takes the batch again
+    assert spark.read.parquet(f"{root}/out").count() == 1
+
+
+def test_wrong_return_type_gives_nulls(spark):
+    """A plain Python function that returns another type than it declares gives nulls, not an error; a cast in it doesn't."""
+    wrong, right = F.udf(lambda x: x * 1.5, "int", useArrow=False), F.udf(lambda x: int(x * 1.5), "int", useArrow=False)
+    assert [tuple(r) for r in spark.range(1, 3).select(wrong("id").alias("a"), right("id").alias("b")).collect()] == [(None, 1), (None, 3)]
+
+
 def test_session_state(spark, root):
     for s, rows in enumerate([[0, 60, 120], [5000, 5010], [20000]]):
         _write_events(spark, f"{root}/{s}", [(i, "u", _at(t)) for i, t in enumerate(rows)])
@@ -236,7 +279,7 @@ def test_features_see_no_future_and_match_pandas(spark):
     bars = _series(spark)
     full = features.indicators(bars).orderBy("timestamp").toPandas()
     cut = features.indicators(bars.filter("timestamp < '2024-02-20'")).orderBy("timestamp").toPandas()
-    pd.testing.assert_frame_equal(full.loc[: len(cut) - 1, features.FEATURES], cut[features.FEATURES])
+    pd.testing.assert_frame_equal(full.loc[: len(cut) - 1, list(features.FEATURES)], cut[list(features.FEATURES)])
     assert full.rsi_14.dropna().between(0, 100).all() and full.rsi_14.isna().sum() == 14
     assert full.sma_20.isna().sum() == 19 and pd.isna(full.target_up_next.iloc[-1])
     blocks = features.recursive(bars.select("symbol", "timestamp", "close"), block=30, warm_up=1000).orderBy("timestamp").toPandas()
@@ -244,16 +287,35 @@ def test_features_see_no_future_and_match_pandas(spark):
     assert abs(full.target_return_next.iloc[0] - (full.close.iloc[1] / full.close.iloc[0] - 1)) < 1e-12
 
 
+def test_long_series_are_blocks(spark):
+    bars = _series(spark, 700)
+    one, many = (features.indicators(bars, block=n).orderBy("timestamp").toPandas() for n in (10_000, 90))
+    assert len(one) == len(many) == 700
+    pd.testing.assert_frame_equal(one, many, rtol=1e-9)
+    close = one.close
+    pd.testing.assert_series_equal(one.ema_26, close.ewm(span=26, adjust=False).mean(), check_names=False, rtol=1e-9)
+    macd = close.ewm(span=12, adjust=False).mean() - close.ewm(span=26, adjust=False).mean()
+    pd.testing.assert_series_equal(one.macd_signal, macd.ewm(span=9, adjust=False).mean(), check_names=False, rtol=1e-6, atol=1e-9)
+    up, down = (x.ewm(alpha=1 / 14, min_periods=14, adjust=False).mean() for x in (close.diff().clip(lower=0), (-close.diff()).clip(lower=0)))
+    pd.testing.assert_series_equal(one.rsi_14, 100 * up / (up + down), check_names=False, rtol=1e-9)
+
+
 def test_models_and_backtest(spark):
     built = features.indicators(_series(spark, 160))
     pred = models.train(built, ["A", "missing"], trees=5, boosts=3)
     assert pred.count() > 20 and set(pred.columns) >= {"pred_proba_up", "pred_return"}
     score = models.score(pred).first()
-    assert 0 <= score.accuracy <= 1 and models.auc(pred) is not None
+    assert 0 <= score.accuracy <= 1 and 0 <= score.auc <= 1 and score.n_test == pred.count()
     assert backtest.performance(backtest.equity(pred)).count() == 1
     assert models.train(built, ["missing"]).count() == 0
 
 
+def test_auc(spark):
+    rows = [("A", 0.1, 0), ("A", 0.4, 0), ("A", 0.4, 1), ("A", 0.9, 1), ("B", 0.5, 1)]
+    got = {r.symbol: r.auc for r in models.auc(spark.createDataFrame(rows, "symbol string, pred_proba_up double, target_up_next int")).collect()}
+    assert got == {"A": 0.875, "B": None}
+
+
 def test_udfs(spark):
     udfs.register(spark)
     df = spark.createDataFrame([(None,), (1.0,), (60_000.0,), (200_000.0,)], "x double")
@@ -271,38 +333,39 @@ def test_write_partitions(spark, tmp_path):
     assert sum(len(p.read_text().split()) for p in tmp_path.iterdir()) == 10
 
 
-def test_declarative_pipeline(spark, root):
+def test_declared_tables(spark, root):
     _write_events(spark, f"{root}/in", [(1, "a", _at(0)), (2, "b", _at(1)), (-3, "c", _at(2))])
-    p = Pipeline(spark, f"{root}/p")
-
-    @p.streaming_table()
-    def bronze():
-        return spark.readStream.schema("id int, k string, ts timestamp").parquet(f"{root}/in")
-
-    @p.streaming_table(drop={"positive": "id > 0"}, warn={"known": "k IN ('a', 'c')"})
-    def silver():
-        return p.read_stream("bronze")
-
-    @p.table()
-    def gold():
-        return p.read("silver").groupBy("k").agg(F.count("*").alias("n"))
-
-    @p.view()
-    def only_a():
-        return p.read("gold").filter("k = 'a'")
-
-    p.apply_changes("current", source="bronze", keys=["k"], sequence_by="ts")
-    for k in ("a", "b"):
-        p.table(name=f"gold_{k}")(lambda k=k: p.read("silver").filter(F.col("k") == k))
-    p.table(name="gated", when=False)(lambda: spark.range(1))
-    p.run()
-    assert p.order().index("bronze") < p.order().index("silver") < p.order().index("gold") and "gated" not in p.order()
-    assert p.read("silver").count() == 2 and p.read("gold").count() == 2 and p.read("only_a").count() == 1 and p.read("current").count() == 3
+    src = lambda _: spark.readStream.schema("id int, k string, ts timestamp").parquet(f"{root}/in")
+    tables = [
+        declared.Declared("bronze", src),
+        declared.Declared("silver", lambda x: x.stream("bronze"), drop={"positive": "id > 0"}, warn={"known": "k IN ('a', 'c')"}),
+        declared.Declared("gold", lambda x: x.read("silver").groupBy("k").agg(F.count("*").alias("n"))),
+        declared.Declared("current", lambda x: changes.apply_changes(x.read("bronze"), ["k"], ["ts"])),
+        *[declared.Declared(f"gold_{k}", lambda x, k=k: x.read("silver").filter(F.col("k") == k)) for k in ("a", "b")],
+    ]
+    layer = declared.run_tables(spark, f"{root}/p", tables)
+    assert layer.read("silver").count() == 2 and layer.read("gold").count() == 2 and layer.read("current").count() == 3
     _write_events(spark, f"{root}/in", [(4, "a", _at(9))])
-    p.run()
-    assert p.read("silver").count() == 3 and p.read("gold_a").count() == 2
-    p.run(full_refresh=["silver"], only=["silver", "gold"])
-    assert p.read("silver").count() == 3
-    dropped = [r for r in p.metrics().collect() if r.name == "positive" and r.failed_records == 1]
-    assert dropped and {r.action for r in p.metrics().collect()} == {"drop", "warn"}
-    assert [p.read("current").filter("k = 'a'").first().id] == [4]
+    declared.run_tables(spark, f"{root}/p", tables)
+    assert layer.read("silver").count() == 3 and layer.read("gold_a").count() == 2
+    assert [r.id for r in layer.read("current").filter("k = 'a'").collect()] == [4]
+    declared.run_tables(spark, f"{root}/p", tables[1:3], full_refresh=["silver"])
+    assert layer.read("silver").count() == 3
+    metrics = spark.read.parquet(f"{root}/p/_metrics").collect()
+    assert {(r.name, r.action) for r in metrics} == {("positive", "drop"), ("known", "warn")} and any(r.failed_records == 1 and r.passed_records == 2 for r in metrics)
+    with pytest.raises(Exception, match="breaks the rule positive"):
+        declared.run_tables(spark, f"{root}/p", [declared.Declared("strict", lambda x: x.read("bronze"), fail={"positive": "id > 0"})])
+
+
+def test_joins_keep_their_plans(spark, sf_dir):
+    from tarnlake import plans
+    from tarnlake.operators import relational
+
+    assert layout.explain_facts(plans.QUERIES["broadcast_join"](spark, sf_dir))["joins"] == ["BroadcastHashJoin"]
+    left = spark.range(200).selectExpr("id", "id % 3 AS k", "timestamp_seconds(id * 37 % 1000) AS lt").union(spark.range(1).selectExpr("-1L", "0L", "CAST(NULL AS TIMESTAMP)"))
+    right = spark.range(200).selectExpr("id AS rid", "id % 3 AS k", "timestamp_seconds(id * 53 % 1000) AS rt")
+    for how in ("inner", "left"):
+        plain = left.alias("l").join(right.alias("r"), F.expr("l.k = r.k AND rt >= lt - INTERVAL 5 SECONDS AND rt <= lt + INTERVAL 40 SECONDS"), how).select("id", "rid")
+        got = relational.interval_join(left, right, "k", "lt", "rt", "-5 SECONDS", "40 SECONDS", how).select("id", "rid")
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() > 100
+    assert relational.interval_join(left, right.drop("k"), None, "lt", "rt", "0 SECONDS", "0 SECONDS").count() == left.join(right.drop("k"), F.col("lt") == F.col("rt")).count()
