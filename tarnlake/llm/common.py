@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: A word is a run of ASCII letters and digits or of any characters beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
@@ -41,16 +44,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files go at its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _tables[table] = path
+    if (open_ := _scope.get()) is not None:
+        open_.append(table)
     return table
 
 
+_scope: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("tables", default=None)
+
+
+@contextlib.contextmanager
+def cleared() -> Iterator[list[DataFrame]]:
+    """Within it, tables of ``materialize`` are temporary: all but those put into the list go at its end."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    outer = _scope.set(made)
+    try:
+        yield kept
+    finally:
+        _scope.reset(outer)
+        release(*(t for t in made if not any(t is k for k in kept)))
+
+
 _tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 

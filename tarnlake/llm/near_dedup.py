@@ -1,12 +1,14 @@
 """Near-duplicate groups with SetSketch registers.
 
-A document's set holds its distinct shingles of ``width`` words. For each of ``bands * rows``
-registers the smallest of independent hashes over the set, taken as an exponential value, is rounded
-on a logarithmic scale of a small base and truncated to 16 bits: a SetSketch. Registers merge by
-maximum and agree with a probability close to the sets' resemblance, so documents that agree in all
-registers of a band are candidates. From the registers of a candidate pair the resemblance is
-estimated by maximum likelihood over how many registers are equal, larger and smaller; pairs that lie
-far below the bound (``slack`` standard errors) are dropped, all others are confirmed on full sets.
+A document's set holds its distinct shingles of ``width`` words. Each shingle gives, from its hash, a
+sequence of points with exponential distances, each in one of ``bands * rows`` registers; the smallest
+point of a register is rounded on a logarithmic scale of a small base and truncated to 16 bits: a
+SetSketch. As the points of a shingle ascend, it is done as soon as they lie beyond all registers, after
+a few points in large sets. Registers merge by maximum and agree with a probability close to the sets'
+resemblance, so documents that agree in all registers of a band are candidates. From the registers and
+the sizes of a candidate pair the resemblance is estimated by maximum likelihood over how many registers
+are equal, larger and smaller; pairs that lie far below the bound (``slack`` standard errors) are
+dropped, all others are confirmed on full sets.
 
 Documents with the same words form one class first, so copies never pair. Within a bucket candidates
 are pairs with one hub, not all pairs. As resemblance isn't transitive, buckets whose members are
@@ -72,18 +74,28 @@ def shingles(words: list[bytes], hashes: _Words, width: int) -> np.ndarray:
 
 
 def sketch(found: np.ndarray, size: int) -> np.ndarray:
-    """Registers of a set that is not empty."""
-    k = np.arange(1, size + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        odd, add = _mixed(k * _MIX) | np.uint64(1), _mixed(k * _MIX + np.uint64(7))
-        least = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for a in range(0, len(found), 2048):
-            x = found[a : a + 2048, None] * odd + add
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
-    value = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
-    return np.clip(np.floor(1 - np.log(value) / math.log(BASE)), 0, _LIMIT).astype(np.uint16)
+    """Registers of a set that is not empty.
+
+    Points are dealt to ``size`` registers with replacement, so that each register sees the points of a
+    shingle at a rate of one, independent of the others. ``size`` may be up to 2048.
+    """
+    least = np.full(size, np.inf)
+    todo, at, first = found, np.zeros(len(found)), 1
+    # until all registers are filled a shingle needs about size ln(size) / n points; a few more in one go
+    step = max(3, math.ceil(1.3 * size * (math.log(size) + 1) / len(found)) + 2)
+    while len(todo):
+        with np.errstate(over="ignore"):
+            k = np.arange(first, first + step, dtype=np.uint64)
+            h = _mixed(todo[:, None] + k * _MIX)
+        gaps = -np.log((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / size
+        gaps[:, 0] += at
+        points = np.cumsum(gaps, axis=1)
+        register = ((h & np.uint64(2047)) * np.uint64(size)) >> np.uint64(11)
+        near = points < least.max()
+        np.minimum.at(least, register[near].astype(np.int64), points[near])
+        more = points[:, -1] < least.max()
+        todo, at, first, step = todo[more], points[more, -1], first + step, max(3, step // 2)
+    return np.clip(np.floor(1 - np.log(least / RATE) / math.log(BASE)), 0, _LIMIT).astype(np.uint16)
 
 
 def merge(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -91,16 +103,22 @@ def merge(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum(left, right)
 
 
-def likely(left: np.ndarray, right: np.ndarray) -> float:
-    """Maximum-likelihood resemblance from registers that are equal, larger and smaller.
+_GRID = np.linspace(0.0, 1.0, 257)
+
+
+def likely(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int) -> float:
+    """Maximum-likelihood resemblance from registers that are equal, larger and smaller, and the sets' sizes.
 
-    With shares u and v of the union in the left and right set, a register is larger on the left
-    with probability log_b(1 + (b - 1)(1 - v)) for either side, nearly 1 - v; the rest is equal.
+    With shares u and v of the sizes' sum, and resemblance j, a register is larger on the left with
+    probability p(u - v j), on the right with p(v - u j), where p(x) = -log_b(1 - x (b - 1) / b).
     """
-    m = len(left)
-    more, less = np.count_nonzero(left > right) / m, np.count_nonzero(left < right) / m
-    only = lambda share: (BASE**share - 1) / (BASE - 1)
-    return max(0.0, 1 - only(more) - only(less))
+    u, v = n_left / (n_left + n_right), n_right / (n_left + n_right)
+    more, less = np.count_nonzero(left > right), np.count_nonzero(left < right)
+    j = _GRID * min(u / v, v / u)
+    p = lambda x: -np.log1p(-np.clip(x, 0.0, 1.0) * (BASE - 1) / BASE) / math.log(BASE)
+    larger, smaller = p(u - v * j), p(v - u * j)
+    fit = sum(n * np.log(np.clip(q, 1e-12, None)) for n, q in ((more, larger), (less, smaller), (len(left) - more - less, 1 - larger - smaller)))
+    return float(j[fit.argmax()])
 
 
 def sketches(docs: DataFrame, *, width: int, bands: int, rows: int, id_col: str, text: str) -> DataFrame:
@@ -134,14 +152,15 @@ def sketches(docs: DataFrame, *, width: int, bands: int, rows: int, id_col: str,
 
 def _likely_pairs(pairs: DataFrame, registers: DataFrame, least: float) -> DataFrame:
     """Pairs whose estimated resemblance reaches the lower bound."""
-    left = registers.withColumnsRenamed({"node": "u", "registers": "a"})
-    right = registers.withColumnsRenamed({"node": "v", "registers": "b"})
+    left = registers.withColumnsRenamed({"node": "u", "registers": "a", "n_shingles": "n_a"})
+    right = registers.withColumnsRenamed({"node": "v", "registers": "b", "n_shingles": "n_b"})
 
     @F.pandas_udf("double")
-    def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likely(np.frombuffer(x, dtype=np.uint16), np.frombuffer(y, dtype=np.uint16)) for x, y in zip(a, b, strict=True)], dtype=float)
+    def estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+        of = lambda x: np.frombuffer(x, dtype=np.uint16)
+        return pd.Series([likely(of(x), of(y), n, m) for x, y, n, m in zip(a, b, n_a, n_b, strict=True)], dtype=float)
 
-    return pairs.join(left, "u").join(right, "v").filter(estimate("a", "b") >= least).select("u", "v").distinct()
+    return pairs.join(left, "u").join(right, "v").filter(estimate("a", "b", "n_a", "n_b") >= least).select("u", "v").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
@@ -176,7 +195,8 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     """(node, label): the smallest node each node reaches, for all nodes of undirected edges (u, v).
 
     Large-star and small-star steps in turn: each links nodes to the smallest neighbour, over
-    aggregates with partial minima; the number of edges never grows. Stops when nothing changes.
+    aggregates with partial minima; the number of edges never grows. Ends when nothing changes, and
+    raises where ``most`` rounds, far beyond the logarithm of any number of nodes, don't reach that.
     """
 
     def star(of: DataFrame, large: bool) -> DataFrame:
@@ -201,6 +221,8 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
         if (row["n"], row["x"]) == mark:
             break
         mark = row["n"], row["x"]
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     return common.materialize(now.select(F.col("v").alias("node"), F.col("u").alias("label")).union(now.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()), "labels")
 
 
@@ -272,66 +294,68 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
     one document with several texts. A null id takes part with its text alone: it is linked with
     nothing, its component is null and it is kept. An empty table gives no rows.
     """
-    made = common.materialize(sketches(docs, width=width, bands=bands, rows=rows, id_col=id_col, text=text), "sketches")
-    full = made.filter(F.col("n_shingles") > 0).filter("id IS NOT NULL")
-    classes = common.materialize(full.groupBy("digest").agg(F.min("id").alias("node")), "classes")
-    member = full.select("id", "digest").join(classes, "digest").select("id", "node")
-    # rows that share an id join their classes
-    nodes = full.join(classes, "digest").filter("id = node")
-
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    busy = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("bucket", "hub")
-    busy = common.materialize(busy, "buckets")
-    inside = common.materialize(placed.join(busy, "bucket"), "bucket-members")
-    involved = inside.select("node").distinct()
-    own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    texts = common.materialize(own.join(involved, "node", "left_semi"), "candidate-texts")
-    registers = common.materialize(nodes.select("node", "registers").join(involved, "node", "left_semi"), "registers")
-
-    shared = member.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v").select("id", "u")
-    same = member.join(shared, "id").filter("u < node").select("u", F.col("node").alias("v"))
-
-    # the hub shared by most bands first: one candidate per node
-    stars = inside.filter("hub < node").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    first = stars.groupBy("node").agg(F.max(F.struct("n", -F.col("hub"))).alias("best")).select((-F.col("best.col2")).alias("u"), F.col("node").alias("v"))
-    tested = common.materialize(first, "pairs")
-    bound = percent / 100
-    least = bound - slack * math.sqrt(bound * (1 - bound) / (bands * rows))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near = common.materialize(_likely_pairs(pairs, registers, least), "likely")
-        return _confirmed(near, texts, width=width, percent=percent)
-
-    links = common.materialize(confirmed(tested).union(same), "links")
-    labels = components(links)
-
-    def linked(fresh: DataFrame) -> None:
-        """Test pairs that weren't yet and take in the links among them."""
-        nonlocal tested, labels
-        fresh = common.materialize(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            return
-        tested = tested.union(fresh)
-        found = common.materialize(confirmed(fresh), "links")
-        if not found.isEmpty():
-            labels = components(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).union(found))
-
-    if hubs:
-        open_, split = _open_buckets(inside, labels, hubs)
-        hub = open_.join(split.select("bucket", F.explode("picks").alias("pick")), "bucket").filter(_hash() == F.col("pick"))
-        hub = common.materialize(hub.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
-        pairs = open_.join(hub, "bucket").filter("label <> hub_label")
-        linked(_ordered(pairs.select("node", F.col("hub").alias("other"))))
-
-    open_, split = _open_buckets(inside, labels, 1)
-    # a bucket of two was its own hub's pair
-    open_ = open_.join(split.filter("n > 2"), "bucket").select("bucket", "node", "label", (_hash() == F.col("picks")[0]).alias("picked"))
-    open_ = common.materialize(open_, "open-buckets")
-    if not open_.isEmpty():
-        linked(_last_pairs(open_, texts, width=width, percent=percent))
-
-    named = member.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
-    named = common.materialize(named, "components")
+    with common.cleared() as kept:
+        made = common.materialize(sketches(docs, width=width, bands=bands, rows=rows, id_col=id_col, text=text), "sketches")
+        full = made.filter(F.col("n_shingles") > 0).filter("id IS NOT NULL")
+        classes = common.materialize(full.groupBy("digest").agg(F.min("id").alias("node")), "classes")
+        member = full.select("id", "digest").join(classes, "digest").select("id", "node")
+        # rows that share an id join their classes
+        nodes = full.join(classes, "digest").filter("id = node")
+
+        placed = nodes.select("node", F.explode("bands").alias("bucket"))
+        busy = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("bucket", "hub")
+        busy = common.materialize(busy, "buckets")
+        inside = common.materialize(placed.join(busy, "bucket"), "bucket-members")
+        involved = inside.select("node").distinct()
+        own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
+        texts = common.materialize(own.join(involved, "node", "left_semi"), "candidate-texts")
+        registers = common.materialize(nodes.select("node", "n_shingles", "registers").join(involved, "node", "left_semi"), "registers")
+
+        shared = member.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v").select("id", "u")
+        same = member.join(shared, "id").filter("u < node").select("u", F.col("node").alias("v"))
+
+        # the hub shared by most bands first: one candidate per node
+        stars = inside.filter("hub < node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+        first = stars.groupBy("node").agg(F.max(F.struct("n", -F.col("hub"))).alias("best")).select((-F.col("best.col2")).alias("u"), F.col("node").alias("v"))
+        tested = common.materialize(first, "pairs")
+        bound = percent / 100
+        least = bound - slack * math.sqrt(bound * (1 - bound) / (bands * rows))
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            near = common.materialize(_likely_pairs(pairs, registers, least), "likely")
+            return _confirmed(near, texts, width=width, percent=percent)
+
+        links = common.materialize(confirmed(tested).union(same), "links")
+        labels = components(links)
+
+        def linked(fresh: DataFrame) -> None:
+            """Test pairs that weren't yet and take in the links among them."""
+            nonlocal tested, labels
+            fresh = common.materialize(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
+            if fresh.isEmpty():
+                return
+            tested = tested.union(fresh)
+            found = common.materialize(confirmed(fresh), "links")
+            if not found.isEmpty():
+                labels = components(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).union(found))
+
+        if hubs:
+            open_, split = _open_buckets(inside, labels, hubs)
+            hub = open_.join(split.select("bucket", F.explode("picks").alias("pick")), "bucket").filter(_hash() == F.col("pick"))
+            hub = common.materialize(hub.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
+            pairs = open_.join(hub, "bucket").filter("label <> hub_label")
+            linked(_ordered(pairs.select("node", F.col("hub").alias("other"))))
+
+        open_, split = _open_buckets(inside, labels, 1)
+        # a bucket of two was its own hub's pair
+        open_ = open_.join(split.filter("n > 2"), "bucket").select("bucket", "node", "label", (_hash() == F.col("picks")[0]).alias("picked"))
+        open_ = common.materialize(open_, "open-buckets")
+        if not open_.isEmpty():
+            linked(_last_pairs(open_, texts, width=width, percent=percent))
+
+        named = member.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
+        named = common.materialize(named, "components")
+        kept += [made, named]
     rest = made.select(F.col("id").alias("__id"), "n_shingles")
     result = rest.join(named, rest["__id"] == named["id"], "left")
     component = F.coalesce("component_id", "__id")
@@ -340,5 +364,6 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Keep each group's document of the smallest id, columns unchanged. Rows with a null id stay."""
-    gone = group(docs, id_col=id_col, text=text, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = common.fresh(docs.columns, "gone")[0]
+    gone = group(docs, id_col=id_col, text=text, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_anti")
