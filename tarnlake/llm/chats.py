@@ -5,9 +5,11 @@ turn is hashed with its number, role and text; the running sum of these hashes i
 the prefix that ends there. A conversation whose whole hash is a shorter prefix of another one goes
 (anti-join on distinct prefix hashes); of equal ones the smallest id stays. The rest is rendered.
 
-Sums run within blocks of ``block`` turns and then over blocks, so that a conversation of any length
-never stands in one task as a whole; it is rendered in parts of a block each, one for usual lengths.
-Conversations that many logs share meet as pre-aggregated hashes, never as pairs.
+Rows are numbered, and their hashes summed, in three steps: by blocks of ``block`` turns, within a
+block by turn and the beginning of the hash, and within such a cell row by row. So neither a very long
+conversation nor one in which millions of rows share a turn, or have none, stands in one task as a
+whole; it is rendered in parts of ``block`` rows each, one for usual lengths. Conversations that many
+logs share meet as pre-aggregated hashes, never as pairs.
 """
 
 from __future__ import annotations
@@ -25,56 +27,65 @@ def _halves(h: Column) -> tuple[Column, Column]:
 
 
 def render_turn(role: Column, text: Column) -> Column:
-    """One turn as training text; a null role is written as unknown, a null text as empty."""
-    return F.concat(F.lit("<|im_start|>"), F.coalesce(role, F.lit("unknown")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("<|im_end|>\n"))
+    """One turn as training text; a null role is written as unknown, a null text as empty.
 
+    ``<|im_start|>`` and ``<|im_end|>`` within a role or text get a space after the bar, so that no
+    turn can begin or end another one.
+    """
+    plain = lambda x: F.replace(F.replace(x, F.lit("<|im_start|>"), F.lit("<| im_start|>")), F.lit("<|im_end|>"), F.lit("<| im_end|>"))
+    return F.concat(F.lit("<|im_start|>"), plain(F.coalesce(role, F.lit("unknown"))), F.lit("\n"), plain(F.coalesce(text, F.lit(""))), F.lit("<|im_end|>\n"))
 
-def maximal(turns: DataFrame, *, block: int = 256) -> DataFrame:
-    """Conversations that no longer one continues: conv_id, n turns, copies (logs with equal turns).
 
-    ``turns`` has conv_id, turn, role, text; fully repeated rows count once; rows without conv_id
-    make up one conversation; turns may start anywhere and have gaps, ties are ordered by content.
-    """
+def numbered(turns: DataFrame, *, block: int = 256) -> DataFrame:
+    """Distinct rows with their number ``n`` in the conversation, from 1, its length ``whole`` and running hash sums a, b, c."""
     h, g = F.xxhash64("turn", "role", "text"), F.xxhash64(F.lit("second"), "text", "turn", "role")
     (a, b), (c, _) = _halves(h), _halves(g)
-    light = turns.select("conv_id", "turn", _block(block).alias("block"), a.alias("a"), b.alias("b"), c.alias("c"))
-    light = common.materialize(light, "turns")
-    sums = light.groupBy("conv_id", "block").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in "abc"])
-    over = Window.partitionBy("conv_id").orderBy("block")
-    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sums.select(
-        "conv_id",
-        "block",
-        F.col("n").alias("size"),
-        *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}0") for x in KEY],
-        F.lead("block").over(over).isNull().alias("last"),
-        *[F.col(x).alias(f"{x}1") for x in "abc"],
-    )
-    blocks = common.materialize(blocks, "turn-blocks")
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "a", "b", "c").rowsBetween(Window.unboundedPreceding, 0)
-    running = light.select("conv_id", "block", F.count("*").over(within).alias("n"), *[F.sum(x).over(within).alias(x) for x in "abc"])
-    keyed = running.withColumnsRenamed({"conv_id": "__conv", "block": "__block"})
-    met = keyed.join(blocks, keyed["__conv"].eqNullSafe(blocks["conv_id"]) & (keyed["__block"] == blocks["block"]))
-    prefixes = met.filter(~(F.col("last") & (F.col("n") == F.col("size")))).select(*[(F.col(x) + F.col(f"{x}0")).alias(x) for x in KEY]).distinct()
-    whole = blocks.filter("last").select("conv_id", (F.col("n0") + F.col("size")).alias("n"), *[(F.col(f"{x}0") + F.col(f"{x}1")).alias(x) for x in "abc"])
-    equal = whole.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    cut = F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / block)
+    own = turns.select("conv_id", "turn", "role", "text").distinct().select("*", cut.alias("block"), a.alias("a"), b.alias("b"), c.alias("c"))
+    own = common.materialize(own.withColumn("cell", F.shiftright("a", 16)), "turns")
+    cells = own.groupBy("conv_id", "block", "turn", "cell").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in "abc"])
+    cells = common.materialize(cells, "turn-cells")
+    blocks = cells.groupBy("conv_id", "block").agg(*[F.sum(x).alias(x) for x in KEY])
+    every = Window.partitionBy("conv_id")
+    blocks = blocks.select("conv_id", "block", *[_earlier(x, every.orderBy("block")).alias(f"{x}0") for x in KEY], F.sum("n").over(every).alias("whole"))
+    within = Window.partitionBy("conv_id", "block").orderBy("turn", "cell")
+    inner = cells.select("conv_id", "block", "turn", "cell", *[_earlier(x, within).alias(f"{x}1") for x in KEY])
+    inner = _met(inner, blocks, "conv_id", "block").select("conv_id", "block", "turn", "cell", "whole", *[(F.col(f"{x}0") + F.col(f"{x}1")).alias(f"{x}0") for x in KEY])
+    inner = common.materialize(inner, "turn-offsets")
+    order = Window.partitionBy("conv_id", "block", "turn", "cell").orderBy("a", "b", "c").rowsBetween(Window.unboundedPreceding, 0)
+    rows = own.select("conv_id", "block", "turn", "cell", "role", "text", F.count("*").over(order).alias("n1"), *[F.sum(x).over(order).alias(f"{x}1") for x in "abc"])
+    return _met(rows, inner, "conv_id", "block", "turn", "cell").select("conv_id", "turn", "role", "text", "whole", *[(F.col(f"{x}0") + F.col(f"{x}1")).alias(x) for x in KEY])
+
+
+def _earlier(x: str, over: Window) -> Column:
+    return F.coalesce(F.sum(x).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Equal keys, null ones too; the left side's names."""
+    right = right.withColumnsRenamed({k: f"other_{k}" for k in keys})
+    met = [left[k].eqNullSafe(right[f"other_{k}"]) for k in keys]
+    return left.join(right, met).drop(*[f"other_{k}" for k in keys])
+
+
+def maximal(rows: DataFrame) -> DataFrame:
+    """Conversations of ``numbered`` rows that no longer one continues: conv_id, n turns, copies (logs with equal turns)."""
+    prefixes = rows.filter("n < whole").select(*KEY).distinct()
+    equal = rows.filter("n = whole").groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     return equal.join(prefixes, KEY, "left_anti").select("conv_id", "n", "copies")
 
 
-def _block(block: int) -> Column:
-    return F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / block)
-
-
 def format_chats(turns: DataFrame, *, block: int = 256) -> DataFrame:
     """Rendered text of maximal conversations: conv_id, part, n_turns in the part, copies, text.
 
-    Conversations of up to ``block`` consecutive turns have one part; parts join end to end in their
-    order. Extra columns of ``turns`` are left out. An empty table gives no rows.
+    ``turns`` has conv_id, turn, role, text. Fully repeated rows count once; rows without conv_id make
+    up one conversation; turns may start anywhere, be null or have gaps; ties are ordered by content.
+    Conversations of up to ``block`` rows have one part; parts join end to end in their order. Other
+    columns are left out. An empty table gives no rows.
     """
-    own = turns.select("conv_id", "turn", "role", "text").distinct()
-    own = common.materialize(own, "chats")
-    kept = common.materialize(maximal(own, block=block), "maximal").withColumnRenamed("conv_id", "__conv")
-    rows = own.join(kept, own["conv_id"].eqNullSafe(kept["__conv"]))
+    rows = common.materialize(numbered(turns, block=block), "numbered-turns")
+    kept = common.materialize(maximal(rows), "maximal").select(F.col("conv_id").alias("conv_id"), "copies")
+    rows = _met(rows, kept, "conv_id").withColumn("part", F.floor((F.col("n") - 1) / block))
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    parts = rows.groupBy("conv_id", _block(block).alias("part"), "copies").agg(F.count("*").alias("n_turns"), lines.alias("lines"))
+    parts = rows.groupBy("conv_id", "part", "copies").agg(F.count("*").alias("n_turns"), lines.alias("lines"))
     return parts.select("conv_id", "part", "n_turns", "copies", F.array_join(F.transform("lines", lambda x: render_turn(x["role"], x["text"])), "").alias("text"))

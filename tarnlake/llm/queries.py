@@ -124,9 +124,8 @@ ORACLES = {
         logs AS (SELECT conv_id, list(struct_pack(turn, role, text) ORDER BY turn, role, text) AS l, count(*) AS n FROM own GROUP BY 1),
         prefixes AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM logs)),
         kept AS (SELECT min(conv_id) AS conv_id, count(*) AS copies FROM logs WHERE l NOT IN (SELECT l FROM prefixes) GROUP BY l)
-        SELECT conv_id, turn // 256 AS part, count(*) AS n_turns, copies,
-               string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
-        FROM own JOIN kept USING (conv_id) GROUP BY conv_id, turn // 256, copies
+        SELECT conv_id, part, count(*) AS n_turns, copies, string_agg('<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+        FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 256 AS part FROM own JOIN kept USING (conv_id)) GROUP BY conv_id, part, copies
     """,
     "op10_near_dedup": """
         WITH RECURSIVE doc AS (
