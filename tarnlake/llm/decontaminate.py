@@ -5,9 +5,10 @@ not none, is one pattern. Each document is read once, as a sequence of word numb
 mapped back to character offsets of the original text. The automaton works on words, not bytes, so
 that it never matches within a word and stays ten times smaller.
 
-The patterns reach the tasks as a broadcast of at most ``block_chars`` characters of items; a larger
-set of items is dealt into blocks by hash, each with an automaton of its own, and what they hit is
-merged per document: the size of the benchmark never meets a fixed limit. Documents are not shuffled.
+The patterns reach the tasks as a broadcast of at most ``block_chars`` characters of items. All usual
+benchmarks fit one automaton. A larger set of items is dealt into blocks by hash, one pass over the
+documents each, whose results are written before the next block's automaton is built: memory, on the
+driver and in tasks, follows the block, and time the number of blocks. Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -118,23 +119,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str
     """Add ``column``: words of the text, words inside item windows, ids of the items, merged spans.
 
     A span gives the first and one-past-last word and the same as character offsets of the original
-    text. Null and empty texts have no words and no hits; repeated rows are judged one by one; an
-    empty table of items hits nothing; repeated items count once. An existing column of that name is
-    replaced, others pass through.
+    text. Null and empty texts have no words and no hits; texts of any length are scanned whole; repeated
+    rows are judged one by one; an empty table of items hits nothing, of documents gives no rows;
+    repeated items count once, and of an item of several texts each is looked for. An existing column of
+    that name is replaced, others pass through, whatever their names.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
     kept = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
     blocks = common.sum_chars(kept, ["text"]) // block_chars + 1
     out = common.without(docs, column)
+    other = common.fresh([*out.columns, column], "leak_block")[0]
     for k in range(blocks):
+        if k:
+            out = common.materialize(out, "leaks")
+            shared.broadcast.unpersist()
         rows = kept.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         shared = _Shared(spark.sparkContext.broadcast([(w, sorted(ids)) for w, ids in patterns(rows, window).items()]), next(_numbers))
         found = _scan(shared)(F.col(text))
         if k == 0:
             out = out.withColumn(column, found)
         else:
-            out = out.withColumn("__leak_block", found).withColumn(column, _union(column, "__leak_block")).drop("__leak_block")
+            out = out.withColumn(other, found).withColumn(column, _union(column, other)).drop(other)
     return out
 
 
@@ -143,4 +149,5 @@ _numbers = itertools.count()
 
 def drop_leaked(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Only the documents in which no item window occurs, columns unchanged."""
-    return find_leaks(docs, items, column="__leak", **options).filter(F.col("__leak.n_hit") == 0).drop("__leak")
+    leak = common.fresh(docs.columns, "leak")[0]
+    return find_leaks(docs, items, column=leak, **options).filter(F.col(f"{leak}.n_hit") == 0).drop(leak)

@@ -5,8 +5,8 @@ before it. A byte's probability comes from the longest context seen; a byte new
 escape probability (distinct followers over all followers and distinct followers, method C) and is
 looked up in the next shorter one, down to 1/256. The language with the shortest code wins.
 
-Counts come from Spark, over a sample of labelled texts bounded by ``train_chars`` per language, and
-then stand still, so that every code length can be written out beforehand: one sorted table of byte
+Counts come from Spark, over a sample of labelled texts bounded by ``train_chars`` characters for each
+of at most ``max_langs`` languages and ``all_chars`` in all, and then stand still, so that every code length can be written out beforehand: one sorted table of byte
 strings of each order with a cost per language. A text is scored by looking up its bytes' longest
 strings; strings no language has seen pay the escape and go one order down.
 """
@@ -108,18 +108,22 @@ def build(counts: pd.DataFrame) -> Model:
     return Model(langs, strings, costs, contexts, escapes)
 
 
-def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", train: Column | None = None, train_chars: int = 3_000_000) -> Model | None:
+def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", train: Column | None = None, train_chars: int = 3_000_000, max_langs: int = 256, all_chars: int = 60_000_000) -> Model | None:
     """Count strings of up to ORDERS bytes per language. None where there is nothing to learn from.
 
     The sample takes rows by hash of their text, so that about ``train_chars`` characters of each
-    language remain, all where there are fewer. Rows with a null language or text teach nothing.
+    language remain, all where there are fewer, and less of each where that comes to more than
+    ``all_chars``. Of more than ``max_langs`` languages those with the most characters are learned. Rows
+    with a null language or an empty text teach nothing; repeated rows count each time.
     """
     common.bound_batches(docs.sparkSession)
     rows = docs if train is None else docs.filter(train)
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    chars = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n")).collect()}  # a row per language
+    most = rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    chars = {r["lang"]: r["n"] for r in most.collect()}  # max_langs rows
     if not chars:
         return None
+    train_chars = min(train_chars, all_chars // len(chars))
     share = F.create_map(*[F.lit(x) for k, n in chars.items() for x in (k, min(1_000_000, train_chars * 1_000_000 // n + 1))])
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
 
@@ -136,7 +140,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", train: Colum
                     yield pd.DataFrame({"lang": name, "n": n, "code": code.astype(np.int64), "count": count.astype(np.int64)})
 
     counted = sample.mapInPandas(run, "lang string, n int, code long, count long").groupBy("lang", "n", "code").agg(F.sum("count").alias("count"))
-    found = counted.toPandas()  # bounded by the sample: train_chars a language
+    found = counted.toPandas()  # bounded by the sample: all_chars
     return build(found) if len(found) else None
 
 
@@ -153,7 +157,9 @@ def _guess(model: Model, text: str | None, block: int = 1 << 18) -> tuple[str, f
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", column: str = "guess") -> DataFrame:
     """Add ``column``: language, its share of the probability of all, its code length in bits.
 
-    Texts that are null or hold no letter, and all texts without a model, get ``und`` and 0.
+    Texts that are null or hold no letter, and all texts without a model, get ``und`` and 0. Texts of any
+    length are scored whole, in blocks; repeated rows get the same; an empty table stays empty. An
+    existing column of that name is replaced, others pass through, whatever their names.
     """
     common.bound_batches(docs.sparkSession)
     out = common.without(docs, column)

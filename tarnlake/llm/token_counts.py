@@ -76,7 +76,8 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", chunk: int =
     """Add ``column``: UTF-8 bytes and tokens of the text, without added tokens.
 
     Null counts as empty, with no tokens. ``path`` names the model on every machine, as an installed
-    library gives it. An existing column of that name is replaced, others pass through.
+    library gives it. Repeated rows are counted one by one; an empty table stays empty. An existing
+    column of that name is replaced, others pass through, whatever their names.
     """
     common.bound_batches(docs.sparkSession)
 

@@ -149,7 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "toxicity") -> DataFrame:
-    """Add ``column``, the model's score of the whole text; null and empty texts get the bias alone."""
+    """Add ``column``, the model's score of the whole text; null and empty texts get the bias alone.
+
+    Repeated rows get the same score; an empty table stays empty. An existing column of that name is
+    replaced, others pass through, whatever their names.
+    """
     common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n_features weights
 
@@ -175,9 +179,12 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "t
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
-    """Fit on the labelled documents and keep those that score below the threshold, columns unchanged."""
-    model = fit(docs, labels, **options)
-    return score(docs, model, column="__toxicity").filter(F.col("__toxicity") < threshold).drop("__toxicity")
+    """Fit on the labelled documents and keep those that score below the threshold, columns unchanged.
+
+    Rows with null or empty texts, repeated rows and rows without id are scored like any other.
+    """
+    name = common.fresh(docs.columns, "toxicity")[0]
+    return score(docs, fit(docs, labels, **options), column=name).filter(F.col(name) < threshold).drop(name)
 
 
 def predicted(score_column: str, threshold: float = 0.5) -> Column:
