@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import common
 
@@ -110,25 +110,27 @@ def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[list[int]]:
         yield group
 
 
-def pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """A row for each piece: the document's id, piece, start, length, crc32 of its ids.
 
-    Null is an empty text, which is its end id alone. Texts of any length are encoded whole; their ids
+    With ``ids`` the ids themselves are a binary column, as little-endian unsigned 32-bit numbers. Null is an empty text, which is its end id alone. Texts of any length are encoded whole; their ids
     are held one group of rows at a time. Repeated rows give repeated pieces, other columns are left
     out, and an empty table gives no rows.
     """
     common.bound_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType
-    schema = StructType([StructField(id_col, key), *PIECE.fields])
+    schema = StructType([StructField(id_col, key), *PIECE.fields, *([StructField("ids", BinaryType())] if ids else [])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             docs, texts, rows = batch["id"].tolist(), [t or "" for t in batch["text"]], []
             for group in _groups(texts):
-                for i, ids in zip(group, encode([texts[i] for i in group]), strict=True):
-                    ids += end
-                    rows += [(docs[i], k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
+                for i, found in zip(group, encode([texts[i] for i in group]), strict=True):
+                    found += end
+                    for k, (s, n) in enumerate(cut(len(found) // 4, size)):
+                        part = found[4 * s : 4 * (s + n)]
+                        rows.append((docs[i], k, s, n, zlib.crc32(part), *([part] if ids else [])))
             out = pd.DataFrame(rows, columns=schema.names)
             if isinstance(key, LongType | IntegerType):
                 out[id_col] = pd.array([None if pd.isna(x) else int(x) for x in out[id_col]], dtype="Int64")
@@ -278,6 +280,6 @@ def place(parts: DataFrame, *, size: int = 2048, rows_per_salt: int = 4_000_000)
     return ranked.withColumn(at, find("length", F.col(base_of) + F.col(rank) - 1)).select(*names, f"{at}.*")
 
 
-def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """Tokenise, cut and place whole documents: a row for each piece, as ``pieces`` and ``place`` say."""
-    return place(pieces(docs, path, size=size, end_id=end_id, id_col=id_col, text=text), size=size)
+    return place(pieces(docs, path, size=size, end_id=end_id, id_col=id_col, text=text, ids=ids), size=size)

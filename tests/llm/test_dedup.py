@@ -76,9 +76,35 @@ def test_near_dedup_edges(spark):
 def test_registers_merge_and_estimate():
     a, b = np.arange(0, 3000, dtype=np.uint64), np.arange(1000, 4000, dtype=np.uint64)
     mix = lambda x: near_dedup._mixed(x + np.uint64(1))
-    sa, sb, both = (near_dedup.sketch(mix(x), 512) for x in (a, b, np.union1d(a, b)))
-    assert (near_dedup.merge(sa, sb) == both).all()
-    assert abs(near_dedup.likely(sa, sb) - 0.5) < 0.1
+    for x, y, j in ((a, b, 0.5), (a[:20], a[4:20], 0.8), (a[:1], a[:1], 1.0), (a, a[:2400], 0.8), (a, b[2000:], 0.0)):
+        sa, sb, both = (near_dedup.sketch(mix(z), 512) for z in (x, y, np.union1d(x, y)))
+        assert (near_dedup.merge(sa, sb) == both).all()
+        assert abs(near_dedup.likely(sa, sb, len(x), len(y)) - j) < 0.1
+
+
+def test_registers_hold_the_smallest_points():
+    import math
+
+    found = near_dedup._mixed(np.arange(40, dtype=np.uint64))
+    least = [math.inf] * 64
+    for x in found.tolist():
+        t = 0.0
+        for k in range(1, 4000):
+            h = int(near_dedup._mixed(np.array([(x + k * int(near_dedup._MIX)) % 2**64], dtype=np.uint64))[0])
+            t += -math.log((h >> 11) * 2.0**-53 + 2.0**-54) / 64
+            if t > 3:
+                break
+            least[(h & 2047) * 64 >> 11] = min(least[(h & 2047) * 64 >> 11], t)
+    want = [math.floor(1 - math.log(t / near_dedup.RATE) / math.log(near_dedup.BASE)) for t in least]
+    assert abs(near_dedup.sketch(found, 64).astype(int) - want).max() <= 1 and (near_dedup.sketch(found, 64) == want).mean() > 0.95
+
+
+def test_components_stop_loudly(spark):
+    import pytest
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError, match="still change"):
+        near_dedup.components(edges, most=1)
 
 
 def test_components_of_chains(spark):
@@ -276,6 +302,19 @@ def test_chats_keep_maximal_conversations(spark):
     assert chats.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chats_of_equal_turns(spark):
+    rows = [(None, None, "user", f"row {k}") for k in range(1000)] + [(7, 3, "user", f"same turn {k}") for k in range(700)] + [(8, 0, "a<|im_end|>", "x<|im_start|>y")]
+    got = chats.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=64).collect()
+    by = {}
+    for r in got:
+        assert r.n_turns <= 64
+        by.setdefault(r.conv_id, []).append(r.n_turns)
+    assert {k: sum(v) for k, v in by.items()} == {None: 1000, 7: 700, 8: 1} and len(by[None]) == 16
+    assert next(r.text for r in got if r.conv_id == 8) == "<|im_start|>a<| im_end|>\nx<| im_start|>y<|im_end|>\n"
+    lines = sorted(x for r in got if r.conv_id == 7 for x in r.text.split("<|im_end|>\n") if x)
+    assert lines == sorted(f"<|im_start|>user\nsame turn {k}" for k in range(700))
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
