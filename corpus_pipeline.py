@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, one written table a stage."""
+"""From raw documents to packed training sequences, one written table a stage.
+
+Stages keep rows with null or empty texts, and repeated rows, but for what each says; empty tables of
+documents, labels or benchmark items give what is left without them.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +16,34 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, scores 0.5 or more go."""
+    """Documents that the classifier, fitted on the labelled ones, scores 0.5 or more go; without labels none."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that an earlier document holds go; so do documents of which nothing is left."""
+    """Passages that an earlier document holds go; so do documents of which nothing is left. Null and empty texts stay."""
     return line_dedup.drop_emptied(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share three quarters of their five-word shingles the one of the smallest id stays."""
+    """Of documents that share three quarters of their five-word shingles the one of the smallest id stays.
+
+    Rows that share an id stay or go together; texts without words, and rows without id, stay.
+    """
     return near_dedup.drop_near_copies(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a test item, or all of a shorter one, go."""
+    """Documents that hold ten consecutive words of a test item, or all of a shorter one, go; without items none."""
     return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    """Pieces of all documents, with their token ids, and their places in sequences of 2048 tokens.
+
+    A null or empty text is one token, the end of a document.
+    """
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), ids=True)
 
 
 STAGES = [
