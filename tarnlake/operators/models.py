@@ -34,11 +34,12 @@ def train(df: DataFrame, symbols: Iterable[str], *, features: Sequence[str] = FE
     spark, root = df.sparkSession, scratch(df.sparkSession, "models")
     _prepared(df, features, test_share).select(*KEPT, "features", "is_test").write.parquet(f"{root}/rows")
     rows = spark.read.parquet(f"{root}/rows")
-    found = {r["symbol"] for r in rows.filter(F.col("symbol").isin(list(symbols))).groupBy("symbol").count().filter(F.col("count") >= least_rows).collect()}  # a row a symbol
+    found = {r["symbol"]: r["count"] for r in rows.filter(F.col("symbol").isin(list(symbols))).groupBy("symbol").count().filter(F.col("count") >= least_rows).collect()}  # a row a symbol
 
     def fit(symbol: str) -> str:
         own = rows.filter(F.col("symbol") == symbol)
-        known, held = own.filter("NOT is_test").persist(), own.filter("is_test")
+        # each tree level is a job over these partitions: as many as the rows are worth
+        known, held = own.filter("NOT is_test").repartition(1 + found[symbol] // 100_000, "timestamp").persist(), own.filter("is_test")
         try:
             forest = RandomForestClassifier(labelCol="target_up_next", numTrees=trees, maxDepth=6, minInstancesPerNode=20, seed=seed, probabilityCol="probability").fit(known)
             boosted = GBTRegressor(labelCol="target_return_next", maxIter=boosts, maxDepth=3, stepSize=0.05, seed=seed, predictionCol="pred_return").fit(known)
