@@ -115,3 +115,37 @@ def test_pipeline_with_odd_tables(spark, tmp_path):
     ids = [r.doc_id for r in packed.select("doc_id").distinct().collect()]
     assert {1, 2, 3, 5, 8, None} <= set(ids) and not {4, 6} & set(ids)
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/1").count() == 0
+
+
+def test_pipeline_matches_brute_force(spark, sf_dir):
+    """Every stage in plain Python, one document against all others."""
+    import re
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    from .test_dedup import brute_components, plain_dedup
+    from .test_text_operators import _leak
+
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    model = toxicity.fit(read("documents"), read("labels"))
+    docs = {r.doc_id: r.text for r in read("documents").collect()}
+    items = [(r.item_id, r.text) for r in read("benchmark").collect()]
+    left = {i: t for i, t in docs.items() if model.score(t) < 0.5}
+    cut = plain_dedup(sorted(left.items()))
+    left = {i: cut[i] for i, t in left.items() if cut[i] == t or re.search(r"\S", cut[i])}
+    groups = brute_components(sorted(left.items()))
+    left = {i: t for i, t in left.items() if groups[i] == i}
+    left = {i: t for i, t in left.items() if not _leak(t, items, 10)[1]}
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*exact.encode(t or "", add_special_tokens=False).ids, 0] for i, t in left.items()}
+    got, places = {}, {}
+    for r in sorted(corpus_pipeline.run(spark, sf_dir).collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, dtype="<u4").tolist())
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == want and 0 < len(want) < len(docs)
+    for found in places.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(found)]).tolist()]
+        assert [a for a, _ in sorted(found)] == ends[:-1] and ends[-1] <= 2048

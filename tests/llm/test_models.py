@@ -19,6 +19,21 @@ def test_toxicity_held_out(spark, sf_dir):
     assert got.score.between(0, 1).all()
 
 
+def test_toxicity_scores_are_the_model(spark, sf_dir):
+    """Scores recomputed from the weights, word by word."""
+    import re
+
+    docs = queries.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
+    assert len(model.weights) > 100
+    for r in toxicity.score(docs, model, column="score").collect():
+        held = set()
+        for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            held |= {w, f"*{w[-4:]}" if len(w) > 4 else w, *(f"{w[:n]}*" for n in (3, 4, 5, 6) if len(w) > n)}
+        z = model.bias + sum(x for f, x in model.weights.items() if f in held)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_counterfactuals_free_groups_of_blame():
     rng = random.Random(1)
     neutral = ["market", "city", "music", "garden", "school"]
