@@ -111,6 +111,20 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: str, tie_break: Sequ
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def running_count(df: DataFrame, keys: Sequence[str], order: Column, out: str) -> DataFrame:
+    """Rows of a key up to a row's place in the order, its peers included.
+
+    The window runs over one row a key and place, so that a key with a large share of all rows isn't
+    one task; null keys and places count like any other.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    placed = df.withColumn("__place", order)
+    counted = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__place").alias("__at")).agg(F.count("*").alias("__n"))
+    so_far = counted.withColumn(out, F.sum("__n").over(Window.partitionBy(*names).orderBy("__at"))).drop("__n")
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], F.col("__place").eqNullSafe(F.col("__at")))
+    return placed.join(so_far, met).drop("__place", "__at", *names)
+
+
 def cumprod(col: Column, w) -> Column:
     """Running product along the window's order."""
     return F.product(col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -296,7 +296,7 @@ def running_totals_window(spark, d):
 
 @query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY CAST(o_orderdate AS DATE)) AS n_to_day FROM orders")
 def running_peers(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.count("*").over(Window.partitionBy("o_orderstatus").orderBy(F.to_date("o_orderdate"))).alias("n_to_day"))
+    return relational.running_count(table(spark, d, "orders"), ["o_orderstatus"], F.to_date("o_orderdate"), "n_to_day").select("o_orderkey", "n_to_day")
 
 
 @query("SELECT y, n, CAST(sum(n) OVER (ORDER BY y) AS BIGINT) AS total FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY 1)")
