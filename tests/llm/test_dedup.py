@@ -181,7 +181,8 @@ def plain_dedup(rows, least=120):
             before, behind = roll[k - 1] if k else None, roll[k + 1] if k + 1 < len(roll) else None
             if x is not None and (long[k] or before is not None and x <= before or behind is not None and x < behind or len(h) == 2):
                 found.setdefault(i, []).append((x, k))
-                first.setdefault(x, (i, k))
+                if first.get(x, (i,))[0] == i:
+                    first[x] = i, k  # the last place in its first document
                 several[x] = i
     out = {i: t for i, t in rows}
     for i, own in found.items():
