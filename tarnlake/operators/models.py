@@ -42,6 +42,7 @@ def train(df: DataFrame, symbols: Iterable[str], *, features: Sequence[str] = FE
         known, held = own.filter("NOT is_test").repartition(1 + found[symbol] // 100_000, "timestamp").persist(), own.filter("is_test")
         try:
             forest = RandomForestClassifier(labelCol="target_up_next", numTrees=trees, maxDepth=6, minInstancesPerNode=20, seed=seed, probabilityCol="probability").fit(known)
+            forest = forest.copy()  # without the training summary, which holds the session and can't go to tasks once that has observations
             boosted = GBTRegressor(labelCol="target_return_next", maxIter=boosts, maxDepth=3, stepSize=0.05, seed=seed, predictionCol="pred_return").fit(known)
         finally:
             known.unpersist()

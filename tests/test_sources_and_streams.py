@@ -301,6 +301,7 @@ def test_long_series_are_blocks(spark):
 
 
 def test_models_and_backtest(spark):
+    sinks.observed(spark.range(3), "id > 0", lambda df: df.count())  # a session with observations
     built = features.indicators(_series(spark, 160))
     pred = models.train(built, ["A", "missing"], trees=5, boosts=3)
     assert pred.count() > 20 and set(pred.columns) >= {"pred_proba_up", "pred_return"}
