@@ -55,15 +55,15 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Write to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The write's shuffle files go at its end, as nothing reads them again.
+    ``by`` names columns, the last ones, to partition the folder by. The write's shuffle files go at its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnlake-{name}-{uuid.uuid4().hex}"
     with _setting(spark, SHUFFLE_CLEANUP, "true"):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _tables[table] = path
     if (open_ := _scope.get()) is not None:

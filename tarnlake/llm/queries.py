@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chats, common, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, spotsigs, token_counts, toxicity
+from . import alignment, chats, collocations, common, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, spotsigs, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +102,11 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_spot_signatures, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op7_line_dedup, op8_chat_format, op9_language_id, op10_near_dedup, op11_align_tokenizers)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_spot_signatures, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op7_line_dedup, op8_chat_format, op9_language_id, op10_near_dedup, op11_align_tokenizers, op12_collocations)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
