@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chats, collocations, common, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, spotsigs, token_counts, toxicity
+from . import alignment, chats, collocations, common, decontaminate, language_id, licenses, line_dedup, near_dedup, ngram_join, packing, spotsigs, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +106,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_spot_signatures, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op7_line_dedup, op8_chat_format, op9_language_id, op10_near_dedup, op11_align_tokenizers, op12_collocations)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_spot_signatures, op3_pack, op4_token_counts, op5_licence_scan, op6_toxicity, op7_line_dedup, op8_chat_format, op9_language_id, op10_near_dedup, op11_align_tokenizers, op12_collocations, op13_ngram_join)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -149,4 +153,18 @@ ORACLES = {
         SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(label) AS component_id, doc.doc_id = min(label) AS kept
         FROM doc LEFT JOIN size USING (doc_id) JOIN reach ON node = doc.doc_id GROUP BY doc.doc_id, n
     """,
+    "op13_ngram_join": """
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingle AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+        met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT u, v FROM met JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 100 * met.n >= 90 * (x.n + y.n - met.n)),
+        edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+        reach AS (SELECT doc_id AS node, doc_id AS label FROM doc UNION SELECT v, label FROM reach JOIN edge ON u = node WHERE label < v)
+        SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(label) AS component_id
+        FROM doc LEFT JOIN size USING (doc_id) JOIN reach ON node = doc.doc_id GROUP BY doc.doc_id, n
+    """,
 }
