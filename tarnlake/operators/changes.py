@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cdc
+from .hashing import content_hash
+
 START, END = "__START_AT", "__END_AT"
 
 
@@ -78,7 +81,7 @@ def merge(
 def insert_new(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Append the source rows whose key the target lacks, one for each key."""
     fresh = source.join(target.select(*keys).distinct(), list(keys), "left_anti")
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(*source.columns))
+    w = Window.partitionBy(*keys).orderBy(content_hash(source))
     one = fresh.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
     return target.unionByName(one.select(*target.columns))
 
@@ -88,7 +91,7 @@ def _latest(events: DataFrame, keys: Sequence[str], sequence_by: Sequence[str])
 
     Of equal sequences the content decides, so that the result never depends on the row order.
     """
-    row = F.max_by(F.struct(*events.columns), F.struct(*sequence_by, F.xxhash64(*events.columns))).alias("__row")
+    row = F.max_by(F.struct(*events.columns), F.struct(*sequence_by, content_hash(events))).alias("__row")
     return events.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(row).select("__row.*")
 
 
@@ -98,10 +101,6 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(other, [left[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)], how)
 
 
-def _names(df: DataFrame, columns: Sequence[str] | None, except_columns: Sequence[str]) -> list[str]:
-    return [c for c in (columns or df.columns) if c not in except_columns]
-
-
 def apply_changes(
     events: DataFrame,
     keys: Sequence[str],
@@ -112,32 +111,16 @@ def apply_changes(
     columns: Sequence[str] | None = None,
     except_columns: Sequence[str] = (),
     ignore_nulls: bool = False,
-    target: DataFrame | None = None,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Current rows after all events (SCD type 1): only the event of the highest sequence decides.
 
-    ``sequence_by`` names the sequence and its tie-breaks. ``target`` holds earlier results with the
-    same columns and takes part as events do. ``ignore_nulls`` keeps a column's last value that isn't
-    null since the last delete. A truncate clears what its sequence or an earlier one wrote.
+    ``state`` is what ``cdc.fold_changes`` gave for earlier events; it alone remembers deletes and truncates, so
+    rows of an earlier result can't stand for it.
     """
-    if target is not None:
-        events = target.unionByName(events, allowMissingColumns=True)
-    order = F.struct(*sequence_by)
-    if truncates is not None:
-        last = events.filter(F.coalesce(_expr(truncates), F.lit(False))).agg(F.max(order).alias("__last"))
-        events = events.crossJoin(F.broadcast(last)).filter(F.col("__last").isNull() | (order > F.col("__last"))).drop("__last")  # one row
-    gone = F.coalesce(_expr(deletes), F.lit(False)) if deletes is not None else F.lit(False)
-    if ignore_nulls:
-        w = Window.partitionBy(*keys).orderBy(*sequence_by).rowsBetween(Window.unboundedPreceding, 0)
-        lives = events.withColumn("__life", F.sum(gone.cast("int")).over(w))
-        own = Window.partitionBy(*keys, "__life").orderBy(*sequence_by).rowsBetween(Window.unboundedPreceding, 0)
-        fixed = {*keys, *sequence_by}
-        values = {c: F.last(F.when(~gone, F.col(c)), ignorenulls=True).over(own) for c in events.columns if c not in fixed}
-        events = lives.withColumn("__gone", gone).withColumns(values).drop("__life")
-        gone = F.col("__gone")
-    current = _latest(events, keys, sequence_by).filter(~gone)
-    names = _names(events.drop("__gone"), columns, except_columns)
-    return current.select(*names)
+    folded = cdc.fold_changes(events, keys, sequence_by, deletes=deletes, truncates=truncates, ignore_nulls=ignore_nulls, state=state)
+    # in the order of the events' columns
+    return cdc.current_rows(folded, keys, columns or events.columns, except_columns)
 
 
 def scd2(

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hashing import content_hash
+
 
 def band(col: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """The label of the first edge that the value lies below, the last label beyond; null stays null."""
@@ -33,20 +35,47 @@ def typed(df: DataFrame, spec: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(kind) for c, kind in spec.items()})
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16, how: str = "inner", hot_rows: int = 1_000_000) -> DataFrame:
-    """Equi-join that deals keys with more than ``hot_rows`` rows in ``big`` to ``salts`` tasks.
+def hot_keys(df: DataFrame, key: str, share: float, tracked: int = 10_000) -> DataFrame:
+    """Keys that hold at least this share of the rows, found in one pass with a sketch of bounded size.
+
+    There are fewer than 1 / share of them. The sketch never counts too few, so none is missed; one that is
+    a little below the share may be among them.
+    """
+    most = max(1, int(1 / share))
+    if most > tracked:
+        raise ValueError(f"a share of at least {1 / tracked} is needed")
+    named = df.filter(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top"), F.count("*").alias("n"))
+    found = named.select(F.explode("top").alias("t"), "n").filter(F.col("t.count") >= F.col("n") * share)
+    return found.select(F.col("t.item").alias(key))
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16, how: str = "inner", share: float = 0.01) -> DataFrame:
+    """Equi-join that deals keys with at least this share of the rows of ``big`` to ``salts`` tasks.
 
-    Only the rows of ``small`` with such a key are repeated. The salt comes from a row's content, so
-    that a task that runs again gives the same rows.
+    Fewer than 1 / share keys are hot, so they are held as literals, and the big side is read once more, for its
+    key alone. Only the rows of ``small`` with such a key are repeated. The salt comes from a row's
+    content, so that a task that runs again gives the same rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on this side")
-    hot = big.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).select(F.col(key).alias("__hot"))
-    dealt = big.join(hot, F.col(key) == F.col("__hot"), "left")
-    dealt = dealt.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
-    last = F.when(F.col("__hot").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
-    copies = small.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__hot")
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    salt = fresh_names([*big.columns, *small.columns], "salt")[0]
+    hot = [r[0] for r in hot_keys(big, key, share).collect()]  # fewer than 1 / share
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    dealt = big.withColumn(salt, F.when(is_hot, F.pmod(content_hash(big), F.lit(salts))).otherwise(F.lit(0).cast("long")))
+    copies = small.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return dealt.join(copies, [key, salt], how).drop(salt)
+
+
+def fresh_names(taken: Sequence[str], *stems: str) -> list[str]:
+    """A column name for each stem that none of the taken ones has, in any case."""
+    low, out = {c.lower() for c in taken}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str | None, lt: str, rt: str, lo: str, hi: str, how: str = "inner") -> DataFrame:
@@ -102,13 +131,17 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int =
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], order: str, tie_break: Sequence[str] = (), ties: bool = False) -> DataFrame:
-    """The latest row of each key. ``ties`` keeps all rows of the latest value; else ``tie_break``,
-    and at last the content, decides, so that the result never depends on the row order."""
+    """The latest row of each key: a partial maximum, no sort. ``ties`` keeps all rows of the latest value; else
+    ``tie_break``, and at last the content, decides, so that the result never depends on the row order.
+    A row without a value in ``order`` comes before all others."""
     if ties:
+        name = fresh_names(df.columns, "r")[0]
         w = Window.partitionBy(*keys).orderBy(F.desc(order))
-        return df.withColumn("__r", F.rank().over(w)).filter("__r = 1").drop("__r")
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), *[F.desc(c) for c in tie_break], F.xxhash64(*df.columns))
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+        return df.withColumn(name, F.rank().over(w)).filter(F.col(name) == 1).drop(name)
+    names = fresh_names(df.columns, *[f"k{i}" for i in range(len(keys))], "row")
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(order, *tie_break, content_hash(df)))
+    by = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=False)]).agg(last.alias(names[-1]))
+    return by.select(f"{names[-1]}.*")
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Column, out: str) -> DataFrame:

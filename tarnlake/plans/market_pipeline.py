@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import backtest, changes, features, models, monitoring, quality, relational
 from ..sources import files
 from ..sources.ingest import read_or_none
-from ..streaming.sinks import BatchTable
+from ..streaming.sinks import BucketTable
 
 #: By table: its rules and its keys.
 TABLES: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] = {
@@ -27,12 +27,13 @@ class Market:
 
     spark: SparkSession
     root: str
+    buckets: int = 8
 
     def path(self, layer: str, name: str) -> str:
         return f"{self.root.rstrip('/')}/{layer}/{name}"
 
-    def silver(self, name: str) -> BatchTable:
-        return BatchTable(self.spark, self.path("silver", name))
+    def silver(self, name: str) -> BucketTable:
+        return BucketTable(self.spark, self.path("silver", name), TABLES[name][1], self.buckets)
 
     def stage(self, name: str):
         return monitoring.timed_stage(self.spark, self.path("log", "runs"), name)
@@ -57,10 +58,8 @@ def to_silver(m: Market, names: Iterable[str] = tuple(TABLES)) -> None:
                 good, bad = quality.split(flagged)
                 bad.write.mode("overwrite").parquet(m.path("quarantine", name))
                 table = m.silver(name)
-                old = table.read()
-                rows = good.drop("_ingested_at", "_source")
                 # the source is unique by now
-                table.write(rows if old is None else changes.merge(old, rows, keys, check=False), table.next_batch())
+                table.merge(good.drop("_ingested_at", "_source"), table.next_batch(), lambda old, rows: changes.merge(old, rows, keys, check=False))
                 counts |= {"rows_in": rate["n_rows"], "rows_out": rate["n_rows"] - rate["n_bad"], "rows_quarantined": rate["n_bad"]}
             finally:
                 flagged.unpersist()

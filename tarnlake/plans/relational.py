@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import udfs
-from ..operators import features, relational
+from ..operators import features, ordered, relational
 from . import query
 from .data import table
 
@@ -162,7 +162,8 @@ def star_revenue(spark, d):
 def salted_join(spark, d):
     big = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("l_partkey")).alias("k"), "l_orderkey", "l_linenumber")
     small = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_brand")
-    return relational.salted_join(big, small, "k", 16).groupBy("p_brand").agg(F.count("*").alias("n"))
+    # a third of the rows have one key, which the sketch finds at any size
+    return relational.salted_join(big, small, "k", 16, share=0.05).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 _CLICKS = "clicks AS (SELECT event_id, user_id, ts AS click_ts FROM events WHERE event_type = 'click'), buys AS (SELECT event_id AS buy_id, user_id, ts AS buy_ts FROM events WHERE event_type = 'purchase')"
@@ -324,9 +325,33 @@ def latest_per_key(spark, d):
        SELECT event_id, round(equity, 6) AS equity, round(equity / max(equity) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM e"""
 )
 def equity_drawdown(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, d, "events").withColumn("equity", relational.cumprod(1 + (F.col("value") - 50) / 10000, w))
-    return e.select("event_id", F.round("equity", 6).alias("equity"), F.round(relational.drawdown(F.col("equity"), w), 6).alias("drawdown"))
+    """By blocks of the order, so that a user with most of the events is many tasks."""
+    grown = table(spark, d, "events").select("user_id", "event_id", (1 + (F.col("value") - 50) / 10000).alias("growth"))
+    out = ordered.drawdowns(grown, ["user_id"], "event_id", "growth", blocks=8)
+    return out.select("event_id", F.round("equity", 6).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER w AS quantity, max(l_extendedprice) OVER w AS dearest, row_number() OVER w AS n
+       FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)"""
+)
+def running_over_all(spark, d):
+    """A window over all rows without partitions, at row level: one series, many tasks."""
+    tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+    rows = table(spark, d, "lineitem").select("l_orderkey", *tie)
+    total = ordered.running(rows, [], "l_orderkey", {"quantity": ("sum", "l_quantity"), "dearest": ("max", "l_extendedprice"), "n": ("count", "l_orderkey")}, tie_break=tie, blocks=16)
+    return total.select("l_orderkey", "l_linenumber", "quantity", "dearest", "n")
+
+
+@query(
+    """SELECT o_orderkey, sum(CAST(o_custkey AS BIGINT)) OVER w AS keys, min(o_totalprice) OVER w AS cheapest
+       FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)"""
+)
+def running_by_status(spark, d):
+    """Three keys hold all rows, and each is as many tasks as there are blocks."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", F.col("o_custkey").cast("long").alias("o_custkey"), "o_totalprice")
+    out = ordered.running(rows, ["o_orderstatus"], "o_orderdate", {"keys": ("sum", "o_custkey"), "cheapest": ("min", "o_totalprice")}, tie_break=["o_orderkey"], blocks=16)
+    return out.select("o_orderkey", "keys", "cheapest")
 
 
 # sorting, limits, sets

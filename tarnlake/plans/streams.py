@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import changes, layout
+from ..operators import cdc, changes, layout
 from ..sources import files, ingest, kafka
 from ..sources.scratch import scratch
 from ..streaming import sinks, state, windows
 from . import declared, query
-from .data import stamped, table
+from .data import CHANGES, stamped, table
+from .data import changes as change_events
 
 _T = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -105,11 +106,11 @@ def stream_join(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
 def stream_merge(spark, d):
-    """foreachBatch into a table of which each batch makes the next state: the latest event of each user."""
+    """foreachBatch into a table by buckets: the latest event of each user."""
     to = scratch(spark, "stream-merge")
-    out = sinks.BatchTable(spark, f"{to}/table")
+    out = sinks.BucketTable(spark, f"{to}/table", ["user_id"], buckets=8)
     rows = _stream(spark, d).select("user_id", "event_id", "event_type", "ts")
-    rows.writeStream.foreachBatch(sinks.merge_batch(out, ["user_id"], "ts")).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.foreachBatch(sinks.merge_batch(out, "ts")).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return out.read().select("user_id", "event_id", "event_type")
 
 
@@ -121,12 +122,25 @@ def stream_merge(spark, d):
 def stream_sessions(spark, d):
     """Custom state: bounds and numbers of events of all ended and still active sessions."""
     to = scratch(spark, "stream-sessions")
-    sinks.run_to_end(state.session_state(_stream(spark, d), "user_id", "ts", 3600), sink=f"{to}/out", checkpoint=f"{to}/checkpoint")
+    with state.state_store(spark):
+        sinks.run_to_end(state.session_state(_stream(spark, d), "user_id", "ts", 3600), sink=f"{to}/out", checkpoint=f"{to}/checkpoint")
     out = spark.read.parquet(f"{to}/out")
     last = out.groupBy("key", "started").agg(F.max("n_events").alias("n_events"), F.max("last_seen").alias("last_seen"))
     return last.select("key", "n_events", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "last_seen")])
 
 
+@query(f"WITH {CHANGES} SELECT user_id, seq, value, k FROM changes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1 AND op <> 'error'")
+def stream_cdc(spark, d):
+    """Change events in many batches, in no order, into a state by buckets that remembers deletes."""
+    to = scratch(spark, "stream-cdc")
+    change_events(spark, d).repartition(4, "seq").write.parquet(f"{to}/feed")
+    rows = spark.readStream.schema(spark.read.parquet(f"{to}/feed").schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/feed")
+    state = sinks.BucketTable(spark, f"{to}/state", ["user_id"], buckets=4)
+    step = sinks.cdc_batch(state, ["seq"], deletes="op = 'error'")
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return cdc.current_rows(state.read(), ["user_id"], ["user_id", "seq", "value", "k"])
+
+
 @query("SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")
 def stream_enriched(spark, d):
     """A stream joined to a table."""
@@ -140,9 +154,9 @@ def stream_enriched(spark, d):
 def stream_updates(spark, d):
     """Output mode update: each batch gives the totals that changed, which replace the earlier ones."""
     to = scratch(spark, "stream-updates")
-    out = sinks.BatchTable(spark, f"{to}/table")
+    out = sinks.BucketTable(spark, f"{to}/table", ["user_id"], buckets=8)
     totals = windows.running_totals(_stream(spark, d), ["user_id"], {"n_events": F.count("*")})
-    totals.writeStream.outputMode("update").foreachBatch(sinks.merge_batch(out, ["user_id"], "n_events")).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    totals.writeStream.outputMode("update").foreachBatch(sinks.merge_batch(out, "n_events")).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return out.read()
 
 
@@ -153,10 +167,10 @@ def stream_feed(spark, d):
     old = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     new = old.filter("c_acctbal > 0").withColumn("c_mktsegment", F.when(F.col("c_nationkey") > 9, "X").otherwise(F.col("c_mktsegment")))
     changes.change_feed(old, new, ["c_custkey"], 1).write.parquet(f"{to}/feed")
-    out = sinks.BatchTable(spark, f"{to}/table")
-    out.write(old, 0)
+    out = sinks.BucketTable(spark, f"{to}/table", ["c_custkey"], buckets=8)
+    out.merge(old, 0, lambda _, rows: rows)
     feed = spark.readStream.schema(spark.read.parquet(f"{to}/feed").schema).parquet(f"{to}/feed")
-    step = sinks.feed_batch(out, ["c_custkey"])
+    step = sinks.feed_batch(out)
     feed.writeStream.foreachBatch(lambda batch, k: step(batch, k + 1)).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return out.read().select("c_custkey", "c_mktsegment")
 
@@ -216,10 +230,26 @@ def file_stream_ingest(spark, d):
 def copy_ledger(spark, d):
     to = scratch(spark, "copy")
     for _ in range(2):
-        ingest.copy_into(spark, f"{d}/customer.parquet", f"{to}/t", "parquet", schema=table(spark, d, "customer").schema)
+        ingest.copy_into(spark, f"{d}/customer.parquet", f"{to}/t", "parquet", schema=table(spark, d, "customer").schema)  # the second call finds nothing new
     return spark.read.parquet(f"{to}/t").agg(F.count("*").alias("n_rows"), F.countDistinct("c_custkey").alias("n_keys"))
 
 
+@query("SELECT event_id, event_type, CASE WHEN event_id % 2 = 1 THEN round(value, 2) END AS value FROM events")
+def evolving_stream(spark, d):
+    """JSON files, of which later ones have one more column: the stream stops, and goes on with the wider schema."""
+    to = scratch(spark, "evolving")
+    e = table(spark, d, "events").withColumn("value", F.round("value", 2))
+    e.filter("event_id % 2 = 0").select("event_id", "event_type").write.json(f"{to}/in")
+    run = lambda: ingest.stream_evolving(spark, f"{to}/in", "json", f"{to}/out", f"{to}/checkpoint", f"{to}/schema", hints="event_id long, event_type string")
+    run()
+    e.filter("event_id % 2 = 1").select("event_id", "event_type", "value").write.mode("append").json(f"{to}/in")
+    try:
+        run()
+    except ingest.SchemaChanged:
+        run()
+    return spark.read.option("mergeSchema", True).parquet(f"{to}/out").select("event_id", "event_type", "value")
+
+
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN '{\"extra\":\"x\"}' END AS _rescued_data FROM events")
 def rescued_fields(spark, d):
     e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
@@ -241,13 +271,14 @@ def zorder_rewrite(spark, d):
     return whole.crossJoin(F.broadcast(by)).select("n_rows", "quantity", (F.col("o") / F.col("all_o") * F.col("p") / F.col("all_p") < 0.5).alias("narrow"))  # one row each
 
 
-@query("SELECT count(*) AS n_rows, true AS fewer FROM orders")
+@query("SELECT o_orderstatus, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total, o_orderstatus <> 'F' AS one_file FROM orders GROUP BY 1")
 def compacted(spark, d):
+    """Small files of the chosen partitions become one each; the other partition keeps its files, and all keep their rows."""
     to = scratch(spark, "compact")
-    layout.cluster(table(spark, d, "orders"), ["o_orderdate"], 16).write.parquet(f"{to}/small")
-    n = layout.compact(spark, f"{to}/small", f"{to}/large")
-    detail = layout.table_detail(spark, f"{to}/large").select(((F.col("n_files") == n) & (F.col("n_files") < 16)).alias("fewer"))
-    return spark.read.parquet(f"{to}/large").agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(detail))  # one row each
+    layout.cluster(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus"), ["o_orderdate"], 16).write.partitionBy("o_orderstatus").parquet(to)
+    layout.compact(spark, to, where="o_orderstatus <> 'F'")
+    rows = spark.read.parquet(to).groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.countDistinct("_metadata.file_path").alias("n_files"))
+    return rows.select("o_orderstatus", "n_rows", "total", (F.col("n_files") == 1).alias("one_file"))
 
 
 @query("SELECT o_custkey % 8 AS bucket, count(*) AS n, 0 AS n_unsorted FROM orders GROUP BY 1")

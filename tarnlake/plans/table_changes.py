@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes, relational
+from ..operators import cdc, changes, ordered, relational
 from . import query
 from .data import CHANGES, table
 from .data import changes as change_events
@@ -145,6 +145,25 @@ def scd2_as_of(spark, d):
     return relational.as_of(history(spark, d), F.lit(5000)).select("user_id", "value", changes.START)
 
 
+@query(
+    f"""WITH {CHANGES}, h AS (SELECT user_id, value, k, "__START_AT" AS s, "__END_AT" AS e FROM ({_HISTORY}))
+        SELECT o_orderkey, h.value, h.k, h.s AS since FROM orders LEFT JOIN h ON user_id = o_custkey AND s <= o_orderkey % 10000 AND (e IS NULL OR e > o_orderkey % 10000)"""
+)
+def facts_as_of(spark, d):
+    """Each order with the version of its customer that held at its own time."""
+    facts = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 10000).alias("at"))
+    met = ordered.as_of_join(facts, history(spark, d), "user_id", "at", blocks=16)
+    return met.select("o_orderkey", "value", "k", F.col(changes.START).alias("since"))
+
+
+@query(f"WITH {CHANGES} SELECT user_id, seq, value, k FROM ({_LAST}) WHERE op <> 'error' AND seq > (SELECT max(seq) FROM changes WHERE op = 'signup' AND user_id % 50 = 0)")
+def cdc_batches(spark, d):
+    """The same as one pass, from two batches of which the second holds the earlier half too: deletes and truncates are remembered."""
+    e, how = change_events(spark, d), {"deletes": "op = 'error'", "truncates": "op = 'signup' AND user_id % 50 = 0"}
+    first = cdc.fold_changes(e.filter("seq % 3 = 0"), ["user_id"], ["seq"], **how)
+    return changes.apply_changes(e.filter("seq % 3 <> 0"), ["user_id"], ["seq"], state=first, **how, columns=["user_id", "seq", "value", "k"])
+
+
 @query(
     f"""WITH {CHANGES}, m AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR op IS DISTINCT FROM lag(op) OVER w OR k IS DISTINCT FROM lag(k) OVER w THEN 1 ELSE 0 END AS fresh FROM changes WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
         g AS (SELECT * FROM m WHERE fresh = 1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, NumericType, StructType, TimestampType
 
 Schema = str | StructType | None
 
@@ -38,11 +40,27 @@ def sql_path(spark: SparkSession, fmt: str, path: str, where: Column | str = "tr
     return spark.sql(f"SELECT * FROM {fmt}.`{path}`").filter(where)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, predicates: Sequence[str] | None = None, **properties) -> DataFrame:
-    """A database table, a partition for each predicate; filters on the result are pushed to the database."""
+def read_jdbc(spark: SparkSession, url: str, table: str, predicates: Sequence[str] | None = None, *, by: str | None = None, partitions: int = 8, **properties) -> DataFrame:
+    """A database table; filters on the result are pushed to the database.
+
+    It is read in a partition for each predicate, or in ranges of the column ``by``, a number, date or timestamp:
+    its least and greatest value are asked first, by a query that the database answers itself, and
+    rows without a value are in the first range. A column of one value, or of none, is one partition.
+    """
+    if predicates and by:
+        raise ValueError("predicates or a column, not both")
     if predicates:
         return spark.read.jdbc(url, table, predicates=list(predicates), properties=dict(properties))
-    return spark.read.jdbc(url, table, properties=dict(properties))
+    if by is None:
+        return spark.read.jdbc(url, table, properties=dict(properties))
+    whole = spark.read.jdbc(url, table, properties=dict(properties))
+    if not isinstance(whole.schema[by].dataType, NumericType | DateType | TimestampType):
+        raise ValueError(f"{by} has no ranges")
+    low, high = whole.agg(F.min(by), F.max(by)).first()
+    if low is None or low == high:
+        return whole
+    text = lambda x: str(math.floor(x)) if isinstance(x, int | float | Decimal) else str(x)
+    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=by, lowerBound=text(low), upperBound=text(high), numPartitions=partitions, **properties).load()
 
 
 def with_file_lineage(df: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from ..operators import changes
+from ..operators import cdc, changes
+from ..sources.ingest import once_per_batch, read_or_none
 
 TRIGGERS = {"processingTime", "availableNow", "once", "continuous"}
 
@@ -35,71 +38,104 @@ def stream_table(spark: SparkSession, src: str, sink: str, checkpoint: str, tran
     out.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
 
 
-def once_per_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a batch into its own part of a table: a batch that runs again, whole or in part, replaces itself."""
-    df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+class BucketTable:
+    """A table in folders by a hash of its keys, of which a batch rewrites only the buckets that it has keys of.
 
-
-class BatchTable:
-    """A table of which each batch makes the next state, in a folder of its own.
-
-    A batch that runs again overwrites its own folder from the state before it, so that a crash at any
-    point leaves the last state as it was and nothing is merged twice. Older states than the one before
-    are deleted.
+    The rewrite is Spark's own dynamic partition overwrite. Each bucket holds, in a row beside its own, the last
+    batch that wrote it, so a batch that runs again, whole or after a crash that left some buckets
+    written, leaves those as they are: nothing is merged twice, whatever the merge. Take as many buckets as make
+    a bucket about a file; a number once chosen stays. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    BUCKET, BATCH, ROW = "__bucket", "__batch", "__row"
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/state-{batch_id:020d}"
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
 
-    def _states(self) -> list[int]:
-        """The batches whose state is whole, ascending."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state-*/_SUCCESS")
-        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root) or []
-        return sorted(int(f.getPath().getParent().getName().removeprefix("state-")) for f in found)
+    def _stored(self) -> DataFrame | None:
+        return read_or_none(self.spark, self.path)
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The latest state, or the latest that an earlier batch than ``before`` made."""
-        states = [k for k in self._states() if before is None or k < before]
-        return self.spark.read.parquet(self._folder(states[-1])) if states else None
+    def read(self) -> DataFrame | None:
+        """The rows; none where no batch was written."""
+        stored = self._stored()
+        return None if stored is None else stored.filter(F.col(self.ROW).isNotNull()).select(f"{self.ROW}.*")
 
     def next_batch(self) -> int:
-        return max(self._states(), default=-1) + 1
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(batch_id))
-        for k in self._states()[:-2]:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(k))
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def merge_batch(table: BatchTable, keys: Sequence[str], order: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merge the latest row of each key into a table, once for each batch id.
-
-    One full outer join a batch; large batches, as availableNow takes them, keep that rare.
-    """
+        stored = self._stored()
+        last = None if stored is None else stored.filter(F.col(self.ROW).isNull()).agg(F.max(self.BATCH)).first()[0]
+        return 0 if last is None else last + 1
+
+    def bucket(self) -> Column:
+        return F.pmod(_place(self.keys), F.lit(self.buckets)).cast("int")
+
+    def merge(self, batch: DataFrame, batch_id: int, how: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Replace the touched buckets' rows by ``how(rows, batch)``; which buckets that were.
+
+        Both sides are the touched buckets' alone, and ``how`` keeps rows in the bucket of their keys. The first
+        batch of an empty table gets no rows but the batch's columns.
+        """
+        placed = batch.withColumn(self.BUCKET, self.bucket())
+        touched = [r[0] for r in placed.select(self.BUCKET).distinct().collect()]  # no more than there are buckets
+        stored = self._stored()
+        if stored is not None and touched:
+            marks = stored.filter(F.col(self.ROW).isNull() & F.col(self.BUCKET).isin(touched))
+            done = {r[0] for r in marks.filter(F.col(self.BATCH) >= batch_id).select(self.BUCKET).collect()}
+            touched = sorted(set(touched) - done)
+        if not touched:
+            return []
+        rows = placed.filter(F.col(self.BUCKET).isin(touched)).drop(self.BUCKET)
+        if stored is None:
+            old = rows.limit(0)
+        else:
+            old = stored.filter(F.col(self.BUCKET).isin(touched) & F.col(self.ROW).isNotNull()).select(f"{self.ROW}.*")
+        new = how(old, rows)
+        held = new.select(F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias(self.ROW), F.lit(batch_id).cast("long").alias(self.BATCH), self.bucket().alias(self.BUCKET))
+        kind = held.schema[self.ROW].dataType
+        marks = self.spark.createDataFrame([(batch_id, k) for k in touched], f"{self.BATCH} long, {self.BUCKET} int")
+        out = held.unionByName(marks.select(F.lit(None).cast(kind).alias(self.ROW), self.BATCH, self.BUCKET))
+        # a bucket is one task and one file, unless it outgrows what a task should write
+        out.repartition(min(len(touched), self.buckets), self.BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000).partitionBy(self.BUCKET).parquet(self.path)
+        return touched
+
+
+def _place(keys: Sequence[str]) -> Column:
+    """The hash of key columns that places a row."""
+    return F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+
+
+def merge_batch(table: BucketTable, order: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merge the latest row of each key into a table, once for each batch id."""
     from ..operators.relational import dedup_latest
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = dedup_latest(transform(batch) if transform else batch, keys, order)
-        old = table.read(before=batch_id)
-        table.write(rows if old is None else changes.merge(old, rows, keys, check=False), batch_id)
+        rows = dedup_latest(transform(batch) if transform else batch, table.keys, order)
+        table.merge(rows, batch_id, lambda old, new: changes.merge(old, new, table.keys, check=False))
 
     return run
 
 
-def feed_batch(table: BatchTable, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def feed_batch(table: BucketTable) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: apply a change feed's rows to a table, once for each batch id."""
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        old = table.read(before=batch_id)
-        cols = [c for c in batch.columns if not c.startswith("_")]
-        empty = batch.select(*cols).limit(0) if old is None else old
-        table.write(changes.apply_feed(empty, batch, keys), batch_id)
+    def apply(old: DataFrame, feed: DataFrame) -> DataFrame:
+        cols = [c for c in feed.columns if not c.startswith("_")]
+        return changes.apply_feed(old.select(*cols), feed, table.keys)
 
-    return run
+    return lambda batch, batch_id: table.merge(batch, batch_id, apply) and None
+
+
+def cdc_batch(table: BucketTable, sequence_by: Sequence[str], **options) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: fold change events into the state of a table (``cdc.fold_changes``), once for each batch id.
+
+    Truncates reach all buckets, so with them a state is one bucket, or folded by ``cdc.fold_changes`` itself.
+    """
+    if options.get("truncates") is not None and table.buckets > 1:
+        raise ValueError("truncates reach every key: use a table of one bucket")
+
+    def fold(old: DataFrame, events: DataFrame) -> DataFrame:
+        return cdc.fold_changes(events, table.keys, sequence_by, state=old if cdc.MARK in old.columns else None, **options)
+
+    return lambda batch, batch_id: table.merge(batch, batch_id, fold) and None
 
 
 def fan_out(sinks: Mapping[str, tuple[str, str]]) -> Callable[[DataFrame, int], None]:
@@ -133,13 +169,46 @@ def run_to_end(df: DataFrame, *, sink: str, checkpoint: str, mode: str = "append
 
 
 def progress_table(spark: SparkSession, progress: Iterable) -> DataFrame:
-    """A row per batch of a query: rows in, rates, duration, rows and bytes of state, rows dropped late."""
+    """A row per batch of a query: its ids, time, rows in, rates, duration, rows and bytes of state, rows dropped late."""
     rows = []
     for p in progress:
         p = p if isinstance(p, dict) else json.loads(p.json)
         state = p.get("stateOperators", [])
         rows.append((
-            p["batchId"], p.get("numInputRows", 0), float(p.get("inputRowsPerSecond") or 0), float(p.get("processedRowsPerSecond") or 0), p.get("durationMs", {}).get("triggerExecution", 0),
+            str(p.get("id", "")), str(p.get("runId", "")), p.get("name"), p.get("timestamp"), p["batchId"], p.get("numInputRows", 0), float(p.get("inputRowsPerSecond") or 0), float(p.get("processedRowsPerSecond") or 0), p.get("durationMs", {}).get("triggerExecution", 0),
             sum(s.get("numRowsTotal", 0) for s in state), sum(s.get("memoryUsedBytes", 0) for s in state), sum(s.get("numRowsDroppedByWatermark", 0) for s in state),
         ))
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, input_rate double, process_rate double, duration_ms long, state_rows long, state_bytes long, late_rows long")
+    return spark.createDataFrame(rows, "query_id string, run_id string, name string, at string, batch_id long, input_rows long, input_rate double, process_rate double, duration_ms long, state_rows long, state_bytes long, late_rows long")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Appends each progress of every query of a session to a table, which a query's own memory of the last hundred doesn't.
+
+    Rows are written ``every`` so many and when a query ends; ``flush`` writes what is left.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 50):
+        self.spark, self.path, self.every, self.held = spark, path, every, []
+        self.lock = threading.Lock()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self.lock:
+            self.held.append(json.loads(event.progress.json))
+            full = len(self.held) >= self.every
+        if full:
+            self.flush()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.flush()
+
+    def flush(self) -> None:
+        with self.lock:
+            rows, self.held = self.held, []
+        if rows:
+            progress_table(self.spark, rows).coalesce(1).write.mode("append").parquet(self.path)

@@ -1,46 +1,92 @@
-"""State of one's own per key: user sessions that an event-time timer ends."""
+"""State of one's own per key: user sessions that event-time timers end."""
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "key string, status string, n_events long, started timestamp, last_seen timestamp"
 STATE = "n_events long, started long, last_seen long"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def session_state(df: DataFrame, key: str, ts: str, gap_seconds: int, delay: str = "1 minute") -> DataFrame:
-    """ACTIVE after each batch in which a key had events, ENDED once the watermark is ``gap_seconds`` past the last.
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within it keep their state in RocksDB, off the heap, as ``session_state`` needs."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
-    An event later than the gap after the last one ends the session and starts another.
-    """
 
-    def row(name: str, status: str, n: int, first: int, last: int) -> dict:
-        return {"key": name, "status": status, "n_events": n, "started": pd.Timestamp(first, unit="us"), "last_seen": pd.Timestamp(last, unit="us")}
-
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name = str(group[0])
-        if state.hasTimedOut:
-            n, first, last = state.get
-            state.remove()
-            yield pd.DataFrame([row(name, "ENDED", n, first, last)])
-            return
-        n, first, last = state.get if state.exists else (0, None, None)
-        times = sorted(int(t.value // 1000) for b in batches for t in b[ts])
-        out = []
-        for t in times:
-            if last is not None and t - last > gap_seconds * 1_000_000:
-                out.append(row(name, "ENDED", n, first, last))
-                n, first, last = 0, None, None
-            n, first, last = n + 1, t if first is None else first, t if last is None else max(last, t)
+def cut_sessions(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each session in ascending times: a new one begins more than ``gap`` after a time."""
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(times) > gap]))
+    return begins, np.append(begins[1:], len(times)) - 1
+
+
+class Sessions(StatefulProcessor):
+    """A key's open session: number of events, first and last time in microseconds. Late events count in it, but move no bound back."""
+
+    def __init__(self, ts: str, gap_seconds: int, ttl_ms: int | None):
+        self.ts, self.gap, self.ttl_ms = ts, gap_seconds * 1_000_000, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", STATE, self.ttl_ms)
+
+    def _rows(self, key: tuple, found: list[tuple[str, int, int, int]]) -> pd.DataFrame:
+        status, n, first, last = zip(*found, strict=True)
+        return pd.DataFrame({"key": str(key[0]), "status": status, "n_events": n, "started": pd.to_datetime(first, unit="us"), "last_seen": pd.to_datetime(last, unit="us")})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([b[self.ts].to_numpy("datetime64[us]").astype(np.int64) for b in rows]))
+        n, first, last = self.open.get() if self.open.exists() else (0, None, None)
+        # events up to a gap after the open session's end belong to it, late ones too
+        own = int(np.searchsorted(times, last + self.gap, "right")) if n else 0
+        if own:
+            apart = np.flatnonzero(np.diff(times[own - 1 :]) > self.gap)
+            own = own + int(apart[0]) if len(apart) else len(times)
+        found = []
         if n:
-            state.update((n, first, last))
-            mark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(last // 1000 + gap_seconds * 1000, mark + 1))
-            out.append(row(name, "ACTIVE", n, first, last))
-        yield pd.DataFrame(out, columns=["key", "status", "n_events", "started", "last_seen"])
+            n, last = n + own, max(last, int(times[own - 1])) if own else last
+            if own < len(times):
+                found.append(("ENDED", n, first, last))
+        if own < len(times):
+            rest = times[own:]
+            begins, ends = cut_sessions(rest, self.gap)
+            each = [(int(e - b + 1), int(rest[b]), int(rest[e])) for b, e in zip(begins, ends, strict=True)]
+            found += [("ENDED", *x) for x in each[:-1]]
+            n, first, last = each[-1]
+        self.open.update((n, first, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last // 1000 + self.gap // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._rows(key, [*found, ("ACTIVE", n, first, last)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            n, first, last = self.open.get()
+            self.open.clear()
+            yield self._rows(key, [("ENDED", n, first, last)])
+
+    def close(self) -> None:
+        pass
+
 
-    return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def session_state(df: DataFrame, key: str, ts: str, gap_seconds: int, delay: str = "1 minute", ttl_ms: int | None = None) -> DataFrame:
+    """ACTIVE after each batch in which a key had events, ENDED once the watermark is ``gap_seconds`` past the last.
+
+    An event later than the gap after the last one ends the session and starts another. State lives in the store of
+    ``state_store``, which the stream must start with; a timer removes it, or ``ttl_ms`` of processing time where
+    that is given. A batch's events of a key are cut into sessions as arrays, not row by row.
+    """
+    sessions = Sessions(ts, gap_seconds, ttl_ms)
+    return df.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(sessions, OUTPUT, "Append", "EventTime")

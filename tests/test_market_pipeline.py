@@ -43,5 +43,12 @@ def test_jdbc_and_federated_join(spark, tmp_path):
         pytest.skip(str(e)[:80])
     got = files.read_jdbc(spark, url, "T", ["ID < 10", "ID >= 10"], **options)
     assert got.count() == 20 and got.rdd.getNumPartitions() == 2
+    ranged = files.read_jdbc(spark, url, "T", by="ID", partitions=4, **options)
+    assert ranged.rdd.getNumPartitions() == 4 and sorted(r.ID for r in ranged.collect()) == list(range(20))
+    assert ranged.filter("K = 1").count() == 7 and "PushedFilters" in ranged.filter("K = 1")._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        files.read_jdbc(spark, url, "T", ["ID < 1"], by="ID", **options)
+    spark.range(3).selectExpr("CAST(NULL AS INT) AS ID", "DATE'2024-01-01' + CAST(id AS INT) AS D").write.jdbc(url, "N", properties=options)
+    assert files.read_jdbc(spark, url, "N", by="ID", **options).count() == 3 and files.read_jdbc(spark, url, "N", by="D", partitions=2, **options).count() == 3
     dim = spark.createDataFrame([(0, "zero")], "K int, name string")
     assert files.read_jdbc(spark, url, "T", **options).filter("ID > 5").join(dim, "K").count() == 5

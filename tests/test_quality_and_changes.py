@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnlake.operators import changes, quality, relational
+from tarnlake.operators import cdc, changes, features, layout, ordered, quality, relational
+from tarnlake.operators.hashing import content_hash
 
 T = dt.datetime
 
@@ -134,10 +137,147 @@ def test_feed_turns_old_into_new(spark):
 def test_salted_join_equals_plain(spark):
     big = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id % 50 END AS k", "id AS v")
     small = spark.range(60).selectExpr("id AS k", "id * 2 AS w")
-    a, b = relational.salted_join(big, small, "k", 8, hot_rows=100), big.join(small, "k")
+    a, b = relational.salted_join(big, small, "k", 8, share=0.1), big.join(small, "k")
     assert a.exceptAll(b.select(a.columns)).isEmpty() and a.count() == b.count()
 
 
+def test_hot_keys_are_found_and_dealt(spark):
+    big = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 1 ELSE id END AS k", "id AS v", "map('a', id) AS m")
+    assert [r.k for r in relational.hot_keys(big, "k", 0.2).collect()] == [1]
+    small = spark.createDataFrame([(1, "x"), (5, "y"), (None, "n")], "k long, __salt string")
+    got = relational.salted_join(big, small, "k", 8, share=0.2, how="left")
+    assert got.count() == 3000 and got.filter("__salt = 'x'").count() == 1000 and got.filter("__salt = 'n'").isEmpty()
+    with pytest.raises(ValueError, match="share"):
+        relational.hot_keys(big, "k", 1e-9)
+
+
+def _cut(rng, rows):
+    """Rows in a random order, in a random number of batches."""
+    rows = rng.sample(rows, len(rows))
+    cuts = sorted(rng.sample(range(1, len(rows)), min(rng.randrange(4), len(rows) - 1)))
+    return [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("ignore_nulls", [False, True])
+def test_any_split_into_batches_is_one_pass(spark, seed, ignore_nulls):
+    """Deletes, truncates, null keys, equal sequences and maps, in any order and any batches."""
+    rng = random.Random(seed)
+    schema = "k int, seq int, op string, v string, w int, m map<string,int>"
+    rows = [
+        (rng.choice([None, 1, 2, 3, 4]), rng.randrange(30), "TRUNCATE" if rng.random() < 0.04 else rng.choice(["UP", "UP", "UP", "DEL"]), rng.choice([None, "a", "b"]), rng.choice([None, 1, 2]), rng.choice([None, {"x": 1, "y": 2}]))
+        for _ in range(40)
+    ]
+    how = {"deletes": "op = 'DEL'", "truncates": "op = 'TRUNCATE'", "ignore_nulls": ignore_nulls}
+    state = None
+    for batch in _cut(rng, rows):
+        state = cdc.fold_changes(spark.createDataFrame(batch, schema).repartition(2), ["k"], ["seq"], state=state, **how)
+        state = spark.createDataFrame(state.collect(), state.schema)
+    whole = cdc.fold_changes(spark.createDataFrame(rows, schema), ["k"], ["seq"], **how)
+    got, want = cdc.current_rows(state, ["k"]), cdc.current_rows(whole, ["k"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and cdc.same_state(got, want)
+    # what one pass gives is what a plain reading of the events gives
+    clear = max((r[1] for r in rows if r[2] == "TRUNCATE"), default=-1)
+    live = [r for r in rows if r[2] != "TRUNCATE" and r[1] > clear]
+    for r in want.collect():
+        own = [x for x in live if x[0] == r.k]
+        top = max(x[1] for x in own)
+        assert r.seq == top and any(x[1] == top and x[2] != "DEL" for x in own)
+        if ignore_nulls and sum(x[1] == top for x in own) == 1:
+            dead = max((x[1] for x in own if x[2] == "DEL"), default=-1)
+            later = [x for x in own if x[1] > dead and x[3] is not None]
+            last = max((x[1] for x in later), default=None)
+            assert r.v in ({x[3] for x in later if x[1] == last} or {None})
+    keys = {x[0] for x in live if x[1] == max(y[1] for y in live if y[0] == x[0]) and x[2] != "DEL"}
+    sure = {k for k in keys if len({x[2] == "DEL" for x in live if x[0] == k and x[1] == max(y[1] for y in live if y[0] == k)}) == 1}
+    assert sure <= {r.k for r in want.collect()} <= keys
+
+
+def test_tombstones_are_forgotten_by_retention(spark):
+    e = lambda *rows: spark.createDataFrame(rows, "k int, seq int, op string, v string")
+    how = {"deletes": "op = 'DEL'"}
+    state = cdc.fold_changes(e((1, 1, "UP", "a"), (1, 10, "DEL", None), (2, 20, "DEL", None), (3, 2, "UP", "c")), ["k"], ["seq"], **how)
+    late = e((1, 5, "UP", "late"))
+    assert [r.k for r in changes.apply_changes(late, ["k"], ["seq"], state=state, **how).collect()] == [3]
+    kept = cdc.forget(state, F.lit(15), "seq")
+    assert sorted(r.k for r in kept.collect()) == [2, 3]
+    with pytest.raises(TypeError):
+        changes.apply_changes(late, ["k"], ["seq"], target=late)
+
+
+def test_map_columns_are_content(spark):
+    df = spark.sql("SELECT 1 AS k, 1 AS seq, map('a', 1, 'b', 2) AS m, array(struct(map('x', array(1)) AS n)) AS d UNION ALL SELECT 1, 1, map('b', 2, 'a', 1), array(struct(map('x', array(1)) AS n))")
+    assert df.select(content_hash(df).alias("h")).distinct().count() == 1
+    assert relational.dedup_latest(df, ["k"], "seq").count() == changes.apply_changes(df, ["k"], ["seq"]).count() == 1
+    assert changes.insert_new(df.limit(0), df, ["k"]).count() == 1 and changes.scd2(df, ["k"], "seq").count() == 1
+
+
+def test_running_values_are_windows(spark):
+    """By blocks as by one window, with null keys, places and values, and any number of blocks."""
+    df = spark.range(500).selectExpr("CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS k", "CASE WHEN id % 11 = 0 THEN NULL ELSE CAST((id * 37) % 101 AS INT) END AS t", "CASE WHEN id % 7 <> 0 THEN (id * 13) % 29 END AS v", "id", "1 + (id % 3 - 1) / 100 AS g", "'own' AS __block")
+    values = {"s": ("sum", "v"), "c": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "p": ("product", "g")}
+    for keys in ([], ["k"]):
+        w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("t"), "id").rowsBetween(Window.unboundedPreceding, 0)
+        want = df.select("*", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("c"), F.min("v").over(w).alias("lo"), F.max("v").over(w).alias("hi"), F.round(F.product("g").over(w), 9).alias("p"))
+        for blocks in (1, 2, 16):
+            got = ordered.running(df, keys, "t", values, tie_break=["id"], blocks=blocks).withColumn("p", F.round("p", 9))
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = ordered.numbered(df, "id", "n", blocks=8)
+    assert got.filter("n <> id + 1").isEmpty()
+    days = spark.range(40).selectExpr("date_add(DATE'2024-01-01', CAST(id % 10 AS INT)) AS d", "timestamp_seconds(id * 1000) AS ts", "id")
+    for order in ("d", "ts"):
+        assert ordered.running(days, [], order, {"s": ("sum", "id")}, tie_break=["id"], blocks=4).agg(F.max("s")).first()[0] == 780
+    with pytest.raises(ValueError, match="no such"):
+        ordered.running(df, [], "t", {"x": ("median", "v")})
+
+
+def test_running_values_of_one_key_are_many_tasks(spark):
+    df = spark.range(20_000).selectExpr("1 AS k", "id AS t", "1 AS v")
+    got = ordered.running(df, ["k"], "t", {"s": ("sum", "v")}, blocks=16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 20_000 and got.filter("s <> t + 1").isEmpty()
+
+
+def test_facts_meet_the_version_of_their_time(spark):
+    rng = random.Random(4)
+    versions = []
+    for k in (1, 2, 3, None):
+        t = 0
+        for _ in range(30):
+            t += rng.randrange(1, 9)
+            end = t + rng.randrange(1, 9)
+            versions.append((k, f"{k}-{t}", t, end))
+            t = end + rng.choice([0, 0, 5])
+        versions[-1] = (*versions[-1][:3], None)
+    facts = [(i, rng.choice([1, 1, 1, 1, 2, 3, 9, None]), rng.choice([None, *range(400)])) for i in range(600)]
+    h = spark.createDataFrame(versions, f"k int, v string, {changes.START} int, {changes.END} int")
+    f = spark.createDataFrame(facts, "id int, k int, at int")
+    want = {i: next((v for kk, v, s, e in versions if k is not None and at is not None and kk == k and s <= at and (e is None or at < e)), None) for i, k, at in facts}
+    for blocks in (1, 3, 32):
+        got = ordered.as_of_join(f, h, "k", "at", blocks=blocks)
+        assert {r.id: r.v for r in got.collect()} == want and got.count() == len(facts)
+        assert ordered.as_of_join(f, h, "k", "at", how="inner", blocks=blocks).count() == sum(v is not None for v in want.values())
+    plan = layout.explain_facts(ordered.as_of_join(f, h, "k", "at"))
+    assert not [j for j in plan["joins"] if "NestedLoop" in j or "Cartesian" in j]
+    with pytest.raises(ValueError, match="both sides"):
+        ordered.as_of_join(f.withColumn("v", F.lit(1)), h, "k", "at")
+
+
+def test_long_blocks_raise(spark):
+    bars = spark.range(5).selectExpr("'A' AS symbol", "timestamp_seconds(id * 86400) AS timestamp", "1.0 AS close", "1.0 AS open", "1.0 AS high", "1.0 AS low", "1L AS volume")
+    for call in (features.recursive, features.indicators):
+        with pytest.raises(ValueError, match="rows"):
+            call(bars, block=8000)
+    most = features.longest_block() - 600
+    long = spark.range(most + 300).selectExpr("'A' AS symbol", "timestamp_seconds(id * 86400) AS timestamp", "CAST(100 + id % 7 AS DOUBLE) AS close")
+    got = features.recursive(long, block=most)
+    assert got.filter("macd_signal IS NULL OR isnan(macd_signal) OR isnan(ema_12)").isEmpty() and got.count() == most + 300
+
+
 def test_schema_changes(spark):
     df = spark.createDataFrame([(1, "a")], "id int, v string")
     assert changes.alter(df, add={"n": "double"}, rename={"v": "w"}).columns == ["id", "w", "n"]
