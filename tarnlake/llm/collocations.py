@@ -5,8 +5,8 @@ after that in which both its subphrases (without its last, without its first wor
 at whichever shard that is, so lengths interleave; it is counted until it has met each shard once, which is
 one full cycle. Words begin at the first step. The scans end when no phrase is left in its cycle.
 
-What the scans pass on are 64-bit hashes of phrases and their counts, combined within a task over about a
-million words; sums are hash aggregates. Which phrases reached the threshold in a step goes to the tasks as a
+The corpus is cut into words once, and kept as blocks of word numbers; a scan is array work over them. What the scans
+pass on are 64-bit hashes of phrases and their counts, combined over a block; sums are aggregates. Which phrases reached the threshold in a step goes to the tasks as a
 Bloom filter of a fixed size, built from bits that are or-ed in an aggregate. A filter never loses a phrase;
 one that it takes in by chance is counted in vain. As all tasks see the same filters, a phrase begins
 everywhere at the same step. At last the phrases that completed their cycle with enough occurrences
@@ -33,7 +33,7 @@ FOLD = bytes(0xFF if chr(b) in ".,;:!?\n\v\f\r" else b + 32 * (65 <= b <= 90) fo
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PROBES = 4
 _WINDOW = 1 << 20
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,20 +45,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _bits(found: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """The places of each hash in a filter of ``size`` bits, a power of two."""
-    for k in range(_PROBES):
-        yield _mixed(found + np.uint64(k + 1) * _PRIME) & np.uint64(size - 1)
+    return (_place(found, k, size) for k in range(_PROBES))
+
+
+def _place(found: np.ndarray, k: int, size: int) -> np.ndarray:
+    return _mixed(found + np.uint64((k + 1) * int(_PRIME) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(size - 1)
 
 
 def within(found: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which hashes a filter, as 64-bit words, may hold."""
-    hit = np.ones(len(found), bool)
-    for at in _bits(found, 64 * len(bits)):
-        hit &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    open_ = np.arange(len(found))
+    for k in range(_PROBES):
+        at = _place(found[open_], k, 64 * len(bits))
+        open_ = open_[(bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    hit = np.zeros(len(found), bool)
+    hit[open_] = True
     return hit
 
 
 class Words:
-    """Numbers and hashes of a language's words, for a worker's life and within a bound of words."""
+    """Numbers and hashes of a language's words, within a bound of words."""
 
     def __init__(self, lang: str):
         import xxhash
@@ -66,10 +72,12 @@ class Words:
         self.hash, self.seed = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace"))
         self.number: dict[bytes, int] = {}
         self.names: list[bytes] = []
-        self.hashes = np.zeros(0, np.uint64)
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        return _mixed(np.fromiter((self.hash(w, self.seed) for w in words), np.uint64, len(words)))
 
     def ids(self, texts: list[str], block: int = 1 << 20) -> np.ndarray:
-        """The words of texts by number, -1 where a piece ends; a text is cut into words one block at a time."""
+        """The words of texts by number, -1 where a piece or a text ends; a text is cut into words one block at a time."""
         out = []
         for t in texts:
             data = t.encode("utf-8", "replace").translate(FOLD)
@@ -85,128 +93,132 @@ class Words:
                     self.names.append(w)
                 out.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
                 at = end
-            out.append(np.full(1, -2))
+            out.append(np.full(1, -1))
         flat = np.concatenate(out) if out else np.zeros(0, np.int64)
         flat[flat == self.number.get(_BREAK, -1)] = -1
-        flat[flat < 0] = -1
-        fresh = [self.hash(w, self.seed) for w in self.names[len(self.hashes) :]]
-        self.hashes = np.concatenate([self.hashes, _mixed(np.array(fresh, dtype=np.uint64))])
         return flat
 
 
-def _levels(words: Words, ids: np.ndarray, reached) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For lengths 1 to 4: the length, where such phrases begin, their own numbers, and per number its hash and begin of counting.
+def _blocks(docs: DataFrame, shards: int) -> DataFrame:
+    """The corpus in blocks of about a million words of one language and shard, with the words by number.
 
-    A place is left out as soon as a subphrase there hasn't reached the threshold yet.
+    A phrase that begins among a block's first ``size`` places is whole in it: blocks overlap by three.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict[str, Words] = {}
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        sizes: dict[tuple[str, int], int] = {}
+
+        def flush(key: tuple[str, int]) -> Iterator[pd.DataFrame]:
+            ids, words = np.concatenate(held.pop(key)), tables[key[0]]
+            del sizes[key]
+            for at in range(0, len(ids), _WINDOW):
+                part = ids[at : at + _WINDOW + LONGEST - 1]
+                used = np.unique(part[part >= 0])
+                names = [words.names[i] for i in used.tolist()]
+                own = np.where(part >= 0, np.searchsorted(used, part), -1).astype("<i4")
+                yield pd.DataFrame({"lang": [key[0]], "size": [min(_WINDOW, len(ids) - at)], "ids": [own.tobytes()], "words": [b" ".join(names)], "hashes": [words.hashes(names).tobytes()], "shard": [key[1]]})
+
+        for batch in batches:
+            for key, texts in batch.groupby(["lang", "shard"], sort=False)["text"]:
+                texts = texts.tolist()
+                begin = 0
+                while begin < len(texts):
+                    end, chars = begin, 0
+                    while end < len(texts) and chars < 1 << 20:
+                        chars += len(texts[end])
+                        end += 1
+                    if key[0] not in tables:
+                        tables[key[0]] = Words(key[0])
+                    ids = tables[key[0]].ids(texts[begin:end])
+                    held.setdefault(key, []).append(ids)
+                    sizes[key] = sizes.get(key, 0) + len(ids)
+                    begin = end
+                    if sizes[key] >= _WINDOW:
+                        yield from flush(key)
+                    elif sum(sizes.values()) >= 4 * _WINDOW:
+                        yield from flush(max(sizes, key=sizes.get))
+            if sum(len(t.names) for t in tables.values()) > _KEPT_WORDS:
+                for key in list(held):
+                    yield from flush(key)
+                tables.clear()
+        for key in list(held):
+            yield from flush(key)
+
+    return docs.mapInPandas(run, "lang string, size long, ids binary, words binary, hashes binary, shard int")
+
+
+def levels(ids: np.ndarray, hashes: np.ndarray, reached) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For lengths 2 to 4: the length, where such phrases begin, and at each place the hash and the begin of counting.
+
+    A place is left out as soon as a subphrase there hasn't reached the threshold yet. A phrase's hash is made of that of
+    its first subphrase and its last word's, so that it is one whichever way it is met.
     """
     where = np.flatnonzero(ids >= 0)
-    held = np.bincount(ids[where], minlength=len(words.names)) > 0
-    codes, own = np.flatnonzero(held), (np.cumsum(held) - 1)[ids[where]]
-    hashes, begins = words.hashes[codes], np.zeros(len(codes), np.int64)
-    for length in range(1, LONGEST + 1):
-        yield length, where, own, hashes, begins
-        if length == LONGEST:
-            return
-        # subphrases that reached the threshold, and in which step; neighbours make the longer phrase
-        step = reached(hashes)
-        at = np.full(len(ids), -1)
-        at[where] = own
-        left = where[step[own] >= 0]
+    step = np.full(len(ids), -1)
+    step[where] = reached(hashes, np.zeros(len(hashes), np.int64))[ids[where]]
+    own = np.zeros(len(ids), np.uint64)
+    own[where] = hashes[ids[where]]
+    for length in range(1, LONGEST):
+        left = where[step[where] >= 0]
         left = left[left + length < len(ids)]
-        right = at[left + 1]
-        good = right >= 0
-        left, right = left[good], right[good]
-        good = step[right] >= 0
-        left, right = left[good], right[good]
-        codes, own = np.unique(at[left] * np.int64(len(hashes)) + right, return_inverse=True)
-        a, b = codes // max(1, len(hashes)), codes % max(1, len(hashes))
-        begins = 1 + np.maximum(step[a], step[b])
-        # of the first subphrase's hash and the last word's, so that a phrase has one hash whichever way it is met
-        first = np.zeros(len(codes), np.int64)
-        first[own] = left
-        last = words.hashes[ids[first + length]] if len(codes) else np.zeros(0, np.uint64)
-        hashes = _mixed(hashes[a] * _PRIME + last + np.uint64(length))
-        where = left
+        left = left[step[left + 1] >= 0]
+        begins = 1 + np.maximum(step[left], step[left + 1])
+        found = _mixed(own[left] * _PRIME + hashes[ids[left + length]] + np.uint64(length))
+        yield length + 1, left, found, begins
+        if length + 1 < LONGEST:
+            step = np.full(len(ids), -1)
+            step[left] = reached(found, begins)
+            own[left] = found
+            where = left
 
 
 def _reached(filters: list[np.ndarray | None]):
-    """The first step whose filter holds a hash, else -1."""
+    """The first step whose filter holds a hash, from the one on in which it began to be counted; else -1."""
 
-    def of(hashes: np.ndarray) -> np.ndarray:
+    def of(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         step = np.full(len(hashes), -1)
+        open_ = np.arange(len(hashes))
         for k, bits in enumerate(filters):
-            open_ = np.flatnonzero(step < 0)
             if bits is not None and len(open_):
-                step[open_[within(hashes[open_], bits)]] = k
+                due = open_[begins[open_] <= k]
+                step[due[within(hashes[due], bits)]] = k
+                open_ = open_[step[open_] < 0]
         return step
 
     return of
 
 
-def _windows(batches: Iterator[pd.DataFrame], take) -> Iterator[pd.DataFrame]:
-    """Give a language's words to ``take`` about a million at a time; phrases that begin in a window are whole in it.
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray, bytes, np.ndarray]]:
+    for batch in batches:
+        for lang, size, ids, words, hashes in zip(batch["lang"], batch["size"], batch["ids"], batch["words"], batch["hashes"], strict=True):
+            yield lang, size, np.frombuffer(ids, "<i4").astype(np.int64), words, np.frombuffer(hashes, np.uint64)
 
-    A worker holds a window a language, and at most two windows' words of all languages.
-    """
-    tables: dict[str, Words] = {}
-    held: dict[str, list[np.ndarray]] = {}
-    sizes: dict[str, int] = {}
-
-    def flush(lang: str) -> Iterator[pd.DataFrame]:
-        ids = np.concatenate(held.pop(lang))
-        del sizes[lang]
-        for at in range(0, len(ids), _WINDOW):
-            part = ids[at : at + _WINDOW + LONGEST - 1]
-            yield take(lang, tables[lang], part, min(_WINDOW, len(ids) - at))
-        if len(tables[lang].names) > _KEPT_WORDS:
-            del tables[lang]
-
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for lang, texts in batch.groupby("lang", sort=False)["text"]:
-                texts = texts.tolist()
-                begin = 0
-                while begin < len(texts):
-                    end, chars = begin, 0
-                    while end < len(texts) and chars < 1 << 20:
-                        chars += len(texts[end])
-                        end += 1
-                    if lang not in tables:
-                        tables[lang] = Words(lang)
-                    ids = tables[lang].ids(texts[begin:end])
-                    held.setdefault(lang, []).append(ids)
-                    sizes[lang] = sizes.get(lang, 0) + len(ids)
-                    begin = end
-                    if sizes[lang] >= _WINDOW:
-                        yield from flush(lang)
-                    elif sum(sizes.values()) >= 2 * _WINDOW:
-                        yield from flush(max(sizes, key=sizes.get))
-            if sum(len(t.names) for t in tables.values()) > 2 * _KEPT_WORDS:
-                for lang in list(held):
-                    yield from flush(lang)
-                tables.clear()
-        for lang in list(held):
-            yield from flush(lang)
+
+def _opened(filters: list[Broadcast | None]) -> list[np.ndarray | None]:
+    return [b and np.frombuffer(b.value, np.uint64) for b in filters]
 
 
-def _scan(docs: DataFrame, filters: list[Broadcast | None], step: int, shards: int) -> DataFrame:
+def _scan(blocks: DataFrame, filters: list[Broadcast | None], step: int, shards: int) -> DataFrame:
     """Counts of the phrases in their cycle at this step: hash, begin of counting and length, count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reached = _reached([b and np.frombuffer(b.value, np.uint64) for b in filters])
-
-        def take(lang: str, words: Words, ids: np.ndarray, size: int) -> pd.DataFrame:
-            rows = []
-            for length, where, own, hashes, begins in _levels(words, ids, reached):
-                n = np.bincount(own[where < size], minlength=len(hashes))
-                due = np.flatnonzero((begins > step - shards) & (begins <= step) & (n > 0))
-                rows.append((hashes[due].view(np.int64), begins[due] * 8 + length, n[due]))
-            h, tag, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-            return pd.DataFrame({"h": h, "tag": tag.astype(np.int32), "n": n})
-
-        yield from _windows(batches, take)
+        reached = _reached(_opened(filters))
+        with np.errstate(over="ignore"):
+            for _, size, ids, _, hashes in _each(batches):
+                rows = []
+                if step < shards:
+                    n = np.bincount(ids[:size][ids[:size] >= 0], minlength=len(hashes))
+                    rows.append((hashes[n > 0], np.full((n > 0).sum(), 1), n[n > 0]))
+                for length, where, found, begins in levels(ids, hashes, reached) if step else ():
+                    due = (begins > step - shards) & (begins <= step) & (where < size)
+                    h, first, n = np.unique(found[due], return_index=True, return_counts=True)
+                    rows.append((h, begins[due][first] * 8 + length, n))
+                h, tag, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pd.DataFrame({"h": h.view(np.int64), "tag": tag.astype(np.int32), "n": n})
 
-    return docs.mapInPandas(run, "h long, tag int, n long")
+    return blocks.select("lang", "size", "ids", "words", "hashes").mapInPandas(run, "h long, tag int, n long")
 
 
 def _filter(found: DataFrame, size: int) -> Broadcast | None:
@@ -229,59 +241,80 @@ def _filter(found: DataFrame, size: int) -> Broadcast | None:
     return found.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
-def _recount(docs: DataFrame, chosen: Broadcast | None, filters: list[Broadcast | None]) -> DataFrame:
-    """Occurrences, by their words, of the phrases that a filter may hold; an empty phrase stands for all words."""
+def _spelt(blocks: DataFrame, chosen: Broadcast | None, filters: list[Broadcast | None] | None) -> DataFrame:
+    """Occurrences, by their words, of what a filter may hold: phrases of several words, or where no steps' filters are given
+    single words, and all words as an empty phrase."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = chosen and np.frombuffer(chosen.value, np.uint64)
-        reached = _reached([b and np.frombuffer(b.value, np.uint64) for b in filters])
-
-        def take(lang: str, words: Words, ids: np.ndarray, size: int) -> pd.DataFrame:
-            phrases, counts = [""], [int((ids[:size] >= 0).sum())]
-            for length, where, own, hashes, _ in _levels(words, ids, reached):
-                n = np.bincount(own[where < size], minlength=len(hashes))
-                first = np.zeros(len(hashes), np.int64)
-                first[own] = where
-                due = np.flatnonzero((n > 0) & (within(hashes, bits) if bits is not None else False))
-                spelt = zip(*([words.names[i] for i in ids[first[due] + k].tolist()] for k in range(length)), strict=True)
-                phrases += [b" ".join(x).decode("utf-8", "replace") for x in spelt]
-                counts += n[due].tolist()
-            return pd.DataFrame({"lang": lang, "phrase": phrases, "n": counts})
+        reached = None if filters is None else _reached(_opened(filters))
+        with np.errstate(over="ignore"):
+            for lang, size, ids, text, hashes in _each(batches):
+                words, phrases, counts = text.split(b" "), [], []
+                if reached is None:
+                    n = np.bincount(ids[:size][ids[:size] >= 0], minlength=len(hashes))
+                    due = np.flatnonzero((n > 0) & within(hashes, bits)) if bits is not None else []
+                    phrases += ["", *(words[i].decode("utf-8", "replace") for i in due)]
+                    counts += [int(n.sum()), *n[due].tolist()] if len(due) else [int(n.sum())]
+                elif bits is not None:
+                    for length, where, found, _ in levels(ids, hashes, reached):
+                        due = np.flatnonzero(where < size)
+                        due = due[within(found[due], bits)]
+                        # each phrase by the words at its first place, so that no two of one hash are mixed up
+                        spelt = np.stack([ids[where[due] + k] for k in range(length)], axis=1)
+                        own, n = np.unique(spelt, axis=0, return_counts=True) if len(due) else (spelt, [])
+                        phrases += [b" ".join([words[i] for i in row]).decode("utf-8", "replace") for row in own.tolist()]
+                        counts += list(n)
+                yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": counts}).astype({"n": "int64"})
+
+    return blocks.select("lang", "size", "ids", "words", "hashes").mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+
+
+def _word_hashes(phrases: DataFrame) -> DataFrame:
+    """Hashes of all words of phrases."""
 
-        yield from _windows(batches, take)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for lang, words in batch.groupby("lang", sort=False)["word"]:
+                    yield pd.DataFrame({"h": Words(lang).hashes([w.encode() for w in words]).view(np.int64)})
 
-    return docs.mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    words = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("word")).distinct()
+    return words.mapInPandas(run, "h long")
 
 
 def count_phrases(docs: DataFrame, *, least: int = 30, shards: int = 2, filter_bits: int = 1 << 25) -> DataFrame:
-    """(lang, phrase, f) of all words and phrases of up to four words with ``least`` occurrences; an empty phrase counts all words.
+    """(lang, phrase, f) of all phrases of two to four words with ``least`` occurrences, and of their words; an empty phrase
+    counts all words of a language.
 
     ``docs`` has lang and text, neither null. ``filter_bits``, a power of two, bounds what is broadcast a step;
     where there are more phrases than that serves, more are counted in vain, and the result is the same.
     """
-    own = [c for c in ("lang", "text")]
-    shard = F.pmod(F.xxhash64(*own), F.lit(shards)).cast("int")
-    dealt = common.materialize(docs.select(*own, shard.alias("shard")), "shards", by=["shard"])
+    shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards)).cast("int")
+    blocks = common.materialize(_blocks(docs.select("lang", "text", shard.alias("shard")), shards), "word-blocks", by=["shard"], codec="zstd")
     filters: list[Broadcast | None] = []
     whole: list[DataFrame] = []
     table, step = None, 0
     # nothing is in its cycle any more once no filter of the last steps opened anything
     while step < shards or any(b is not None for b in filters[-shards:]):
-        counts = _scan(dealt.filter(F.col("shard") == step % shards).select(*own), filters, step, shards).withColumn("reached", F.lit(None).cast("int"))
+        counts = _scan(blocks.filter(F.col("shard") == step % shards), filters, step, shards).withColumn("reached", F.lit(None).cast("int"))
         begun = F.shiftright("tag", 3)
         if table is not None:
             counts = table.filter(begun > step - shards).unionByName(counts)
-        summed = counts.groupBy("h").agg(F.min("tag").alias("tag"), F.sum("n").alias("n"), F.min("reached").alias("reached"))
+        # counts are combined within the tasks' blocks, so a hash has a row a block at most
+        summed = counts.repartition("h").groupBy("h").agg(F.min("tag").alias("tag"), F.sum("n").alias("n"), F.min("reached").alias("reached"))
         often, over = F.col("n") >= least, begun <= step - shards + 1
         summed = summed.withColumn("reached", F.coalesce("reached", F.when(often, F.lit(step)))).filter(~over | often)
-        before, table = table, common.materialize(summed, "phrase-counts")
+        before, table = table, common.materialize(summed, "phrase-counts", batch=1)
         if before is not None:
             common.release(before)
         filters.append(_filter(table.filter((F.col("reached") == step) & (F.col("tag") % 8 < LONGEST)), filter_bits))
-        whole.append(common.materialize(table.filter(over & often).select("h"), "whole-phrases"))
+        whole.append(common.materialize(table.filter(over & often & (F.col("tag") % 8 > 1)).select("h"), "whole-phrases"))
         step += 1
     chosen = _filter(functools.reduce(DataFrame.union, whole), filter_bits)
-    return common.materialize(_recount(dealt.select(*own), chosen, filters).filter((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    phrases = common.materialize(_spelt(blocks, chosen, filters).filter(F.col("f") >= least), "phrases", batch=1)
+    words = common.materialize(_spelt(blocks, _filter(_word_hashes(phrases), filter_bits), None), "phrase-words", batch=1)
+    return phrases.unionByName(words)
 
 
 def _cuts(found: DataFrame) -> DataFrame:
@@ -308,8 +341,9 @@ def collocations(docs: DataFrame, *, least: int = 30, most: int = 2000, share: i
         own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         found = count_phrases(own, least=least, shards=shards, filter_bits=filter_bits)
         named = found.filter("phrase <> ''")
+        several = named.filter("phrase LIKE '% %'")
         total = found.filter("phrase = ''").select("lang", F.col("f").alias("n"))
-        cuts = _cuts(named)
+        cuts = _cuts(several)
         heads = named.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
         tails = named.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r"))
         exact = F.expr("CAST((CAST(f AS DECIMAL(28,0)) * CAST(2000000 AS DECIMAL(10,0))) DIV CAST(l + r AS DECIMAL(20,0)) AS BIGINT)")
@@ -317,7 +351,7 @@ def collocations(docs: DataFrame, *, least: int = 30, most: int = 2000, share: i
         best = met.groupBy("lang", "phrase", "f", "m").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
         # the largest count of a longer phrase around each phrase
         words = F.split("phrase", " ")
-        longer = named.select("lang", "f", words.alias("w")).filter("size(w) > 2")
+        longer = several.select("lang", "f", words.alias("w")).filter("size(w) > 2")
         inner = longer.select("lang", "f", "w", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("m")).select("lang", "f", "w", "m", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)).alias("i"))
         around = inner.groupBy("lang", F.array_join(F.slice("w", F.col("i"), F.col("m")), " ").alias("phrase")).agg(F.max("f").alias("around"))
         left = best.join(around, ["lang", "phrase"], "left").filter(~F.coalesce(F.col("around") * 100 >= F.col("f") * share, F.lit(False)))

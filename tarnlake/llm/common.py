@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: A word is a run of ASCII letters and digits or of any characters beyond ASCII.
@@ -55,15 +56,16 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: Sequence[str] = (), codec: str | None = None, batch: int | None = None) -> DataFrame:
     """Write to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``by`` names columns, the last ones, to partition the folder by. The write's shuffle files go at its end, as nothing reads them again.
+    ``by`` names columns, the last ones, to partition the folder by; ``batch`` bounds the rows of an Arrow batch, for rows that
+    are large; ``codec`` is the files' compression. The write's shuffle files go at its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnlake-{name}-{uuid.uuid4().hex}"
-    with _setting(spark, SHUFFLE_CLEANUP, "true"):
-        df.write.partitionBy(*by).parquet(path)
+    with _setting(spark, SHUFFLE_CLEANUP, "true"), _setting(spark, BATCH_ROWS, str(batch)) if batch else contextlib.nullcontext():
+        df.write.options(**({"compression": codec} if codec else {})).partitionBy(*by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _tables[table] = path
     if (open_ := _scope.get()) is not None:
@@ -114,10 +116,9 @@ def fresh(taken: Iterable[str], *stems: str) -> list[str]:
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most this many rows, so that a worker's memory follows the batch, not the partition."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    now = int(spark.conf.get(BATCH_ROWS, "10000"))
     if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def ascii_lower(text: Column) -> Column:
