@@ -116,28 +116,30 @@ def prefixes(members: DataFrame, percent: int, verify: float = 0.25) -> DataFram
     return ranked.join(chosen, ["node", "part"]).filter("r <= last AND f > 1").select("token", "node", "n", "own", "k")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets resemble each other enough."""
-    left, right = sets.select(F.col("node").alias("u"), F.col("held").alias("a")), sets.select(F.col("node").alias("v"), F.col("held").alias("b"))
+def _packed(sets: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Each document's whole set and its prefix in one row: node, held, head, k."""
+    heads = prefix.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("head"), F.min("k").alias("k"))  # no more than the set
+    return sets.select("node", "held").join(heads, "node")
+
+
+def _linked(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that share as many prefix members as the smaller of their two k, and whose full sets resemble each other enough."""
+    left, right = (packed.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("held", "head", "k")]) for n in ("u", "v"))
 
     @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    def alike(k_u: pd.Series, k_v: pd.Series, head_u: pd.Series, head_v: pd.Series, held_u: pd.Series, held_v: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * same >= percent * (len(x) + len(y) - same))
+        for k, m, x, y, a, b in zip(k_u, k_v, head_u, head_v, held_u, held_v, strict=True):
+            if len(np.intersect1d(x, y, assume_unique=True)) < min(k, m):
+                out.append(False)
+                continue
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            same = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(100 * same >= percent * (len(a) + len(b) - same))
         return pd.Series(out, dtype=bool)
 
-    return pairs.join(left, "u").join(right, "v").filter(alike("a", "b")).select("u", "v").distinct()
-
-
-def _matching(pairs: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix members as the smaller of their two k."""
-    left = prefix.select(F.col("node").alias("u"), "token", F.col("k").alias("k_u"))
-    right = prefix.select(F.col("node").alias("v"), "token", F.col("k").alias("k_v"))
-    met = pairs.join(left, "u").join(right, ["v", "token"])
-    return met.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min(F.least("k_u", "k_v")).alias("k")).filter("shared >= k").select("u", "v")
+    met = pairs.join(left, "u").join(right, "v")
+    return met.filter(alike("k_u", "k_v", "head_u", "head_v", "held_u", "held_v")).select("u", "v").distinct()
 
 
 def _possible(n: str, own: str, m: str, other_own: str, percent: int) -> Column:
@@ -180,7 +182,7 @@ def differences(met: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("hub", "node", "a", "b").mapInPandas(run, "hub long, node long, token long, lacks boolean")
 
 
-def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id.
 
     A set holds the distinct shingles of ``width`` words, A-Z lower-cased; fewer words are one shingle. Documents link
@@ -206,9 +208,10 @@ def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 2,
         alive = tokens.join(twice, "token").groupBy("node", "part", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= asked).select("node").distinct()
         alive = common.materialize(alive, "screened")
         texts = own.join(alive, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text").dropDuplicates()
-        sets = common.materialize(_full_sets(texts, width).filter("n > 0"), "full-sets")
+        sets = common.materialize(_full_sets(texts, width), "full-sets")
         members = common.materialize(_members(sets), "members")
         prefix = common.materialize(prefixes(members, percent), "prefixes")
+        packed = common.materialize(_packed(sets, prefix), "packed-sets")
 
         tested = None
         links = common.materialize(same, "links")
@@ -222,8 +225,7 @@ def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 2,
             if fresh.isEmpty():
                 return
             tested = fresh if tested is None else tested.union(fresh)
-            candidates = common.materialize(_matching(fresh, prefix), "candidates")
-            found = common.materialize(_verified(candidates, sets, percent), "links")
+            found = common.materialize(_linked(fresh, packed, percent), "links")
             if not found.isEmpty():
                 labels = components(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).union(found))
 
