@@ -265,7 +265,7 @@ def _spelt(blocks: DataFrame, chosen: Broadcast | None, filters: list[Broadcast
                         own, n = np.unique(spelt, axis=0, return_counts=True) if len(due) else (spelt, [])
                         phrases += [b" ".join([words[i] for i in row]).decode("utf-8", "replace") for row in own.tolist()]
                         counts += list(n)
-                yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": counts}).astype({"n": "int64"})
+                yield pd.DataFrame({"lang": pd.Series([lang] * len(phrases), dtype=object), "phrase": pd.Series(phrases, dtype=object), "n": np.array(counts, dtype=np.int64)})
 
     return blocks.select("lang", "size", "ids", "words", "hashes").mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
