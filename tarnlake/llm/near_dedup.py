@@ -12,8 +12,8 @@ dropped, all others are confirmed on full sets.
 
 Documents with the same words form one class first, so copies never pair. Within a bucket candidates
 are pairs with one hub, not all pairs. As resemblance isn't transitive, buckets whose members are
-then still in different components get other hubs, and at last the pairs across components that shared
-rare shingles and sizes leave possible, so that no candidate link is lost. Every step is a join or an aggregate with partial sums; big
+then still in different components get other hubs, and at last the pairs across components that share a
+difference from a hub (``differences``), so that no candidate link is lost and no group gives all its pairs. Every step is a join or an aggregate with partial sums; big
 buckets and groups meet only in joins that adaptive execution splits.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from . import common
+from . import common, differences
 
 SKETCH = StructType([StructField("digest", BinaryType()), StructField("n_shingles", LongType()), StructField("bands", ArrayType(LongType())), StructField("registers", BinaryType())])
 BASE, RATE = 1.02, 20.0  # of the logarithmic scale; 16 bits then reach far beyond any set's size
@@ -243,47 +243,26 @@ def _open_buckets(inside: DataFrame, labels: DataFrame, hubs: int) -> tuple[Data
     return marked, common.materialize(by.filter("a < b").select("bucket", "picks", "n"), "split-buckets")
 
 
-def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int, rare: int = 8, step: float = 1.02) -> DataFrame:
-    """All pairs across components that share a bucket and can still be links, without trying all.
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node and its whole set as sorted 64-bit hashes."""
 
-    Shingles that at most ``rare`` of these documents hold are listed outright: pairs that share one
-    are few for each. A pair that shares none overlaps in common shingles only, so that each document
-    bounds the size its partner can have; sizes are dealt into classes of a factor ``step``, and a
-    document meets only the classes within its bound, and another one in the first bucket they share.
-    Both parts together lose no link.
-    """
-    nodes = open_.groupBy("node").agg(F.min("label").alias("label"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = _Words()
         for batch in batches:
-            for node, label, text in zip(batch["node"], batch["label"], batch["text"], strict=True):
-                found = shingles(words_of(text), hashes, width)
-                yield pd.DataFrame({"node": node, "label": label, "n": len(found), "token": found.view(np.int64)})
-
-    tokens = texts.join(nodes, "node").select("node", "label", "text").mapInPandas(run, "node long, label long, n long, token long")
-    tokens = common.materialize(tokens, "tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token", "f")
-    often = common.materialize(often, "token-counts")
-    held = tokens.join(often, "token", "left")
-    few = common.materialize(tokens.join(often.filter(F.col("f") <= rare), "token").select("node", "label", "token"), "rare-tokens")
-    other = few.select("token", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    pairs = _ordered(few.join(other, "token").filter("node < other AND label <> other_label").select("node", "other"))
-
-    sizes = held.groupBy("node").agg(F.min("n").alias("n"), F.count(F.when(F.col("f") > rare, 1)).alias("r"))
-    shared = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # no more than there are bands
-    known = common.materialize(open_.join(sizes.join(shared, "node"), "node"), "sized-members")
-    # the picked member's component stands aside: of two components in a bucket one is another
-    main = known.filter("picked").select("bucket", F.col("label").alias("main"))
-    level = lambda x: F.floor(F.log(x) / math.log(step)).cast("int")
-    most = F.floor(F.col("r") * (100 + percent) / F.lit(percent)) - F.col("n")
-    least = F.ceil(F.col("n") * F.lit(percent) / 100)
-    seeking = known.join(common.materialize(main, "main-components"), "bucket").filter("label <> main").withColumn("most", most).filter(F.col("most") >= least)
-    seeking = seeking.withColumn("level", F.explode(F.sequence(level(least), level(F.col("most")))))
-    there = known.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("buckets").alias("other_buckets"), level(F.col("n")).alias("level"))
-    can = (F.least("r", "s") * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (F.col("label") != F.col("other_label"))
-    once = F.array_min(F.array_intersect("buckets", "other_buckets")) == F.col("bucket")
-    return pairs.union(_ordered(seeking.join(there, ["bucket", "level"]).filter(can & once).select("node", "other"))).distinct()
+            yield pd.Series([shingles(words_of(t), hashes, width).tobytes() for t in batch], dtype=object)
+
+    return texts.select("node", run("text").alias("held"))
+
+
+def _last_pairs(open_: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """Pairs of different components of a bucket that can still be links: with the picked document, its hub, and
+    those that share a difference from it. Documents that have only what all of a bucket have in common never meet."""
+    hubs = common.materialize(open_.filter("picked").select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
+    met = common.materialize(open_.join(hubs, "bucket").select("hub", "hub_label", "node", "label").distinct(), "open-members")
+    sets = common.materialize(full_sets(texts.join(met.select("node").distinct(), "node", "left_semi"), width), "full-sets")
+    with_hubs = _ordered(met.filter("label <> hub_label").select("node", F.col("hub").alias("other")))
+    return with_hubs.union(differences.pairs_apart(met, sets, percent)).distinct()
 
 
 def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 7.0, hubs: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,10 +13,8 @@ are held elsewhere too, as those of every document that has a link are. What sta
 
 Documents of one set form a class first, so copies never pair. A prefix member's documents meet a hub, the one with
 the fewest members of its own, not each other. Resemblance isn't transitive, so members with documents in
-several components get other hubs. Then the rest is exact: if two documents link, either both link with
-a given hub, or they have a difference from it in common, a member that both hold and the hub doesn't, or the other
-way round. So documents of different components meet only by such differences, and by what sizes and
-members of their own leave possible.
+several components get other hubs. Then the rest is exact: what is still apart meets by its differences from a hub
+(``differences``), so that no group gives all its pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .near_dedup import _Words, components, shingles, words_of
+from . import common, differences
+from .near_dedup import _Words, components, full_sets, shingles, words_of
 
 SETS = "digest binary, n_shingles long, screen array<long>"
 
@@ -70,18 +68,6 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.withColumn("s", run("text")).select("id", "s.*")
 
 
-def _full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """node, n and the whole set as little-endian 64-bit hashes."""
-
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = _Words()
-        for batch in batches:
-            yield pd.Series([shingles(words_of(t), hashes, width).tobytes() for t in batch])
-
-    return texts.select("node", run("text").alias("held")).withColumn("n", (F.octet_length("held") / 8).cast("long"))
-
-
 def _members(sets: DataFrame) -> DataFrame:
     """A row for each member of each set."""
 
@@ -142,12 +128,6 @@ def _linked(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     return met.filter(alike("k_u", "k_v", "head_u", "head_v", "held_u", "held_v")).select("u", "v").distinct()
 
 
-def _possible(n: str, own: str, m: str, other_own: str, percent: int) -> Column:
-    """Whether sizes and members of their own leave a link between two sets: they are in the union, and not shared."""
-    shared = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other_own))
-    return (100 * shared >= percent * (shared + F.col(own) + F.col(other_own))) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
@@ -168,20 +148,6 @@ def _apart(met: DataFrame, labels: DataFrame) -> DataFrame:
     return met.filter("node <> hub").join(hub_label, "hub", "left").filter(F.col("label") != F.coalesce("hub_label", "hub"))
 
 
-def differences(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """For each (hub, node): a row for each member that just one of the two holds; ``lacks`` where it is the hub's."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for hub, node, a, b in zip(batch["hub"], batch["node"], batch["a"], batch["b"], strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                for found, lacks in ((np.setdiff1d(x, y, assume_unique=True), True), (np.setdiff1d(y, x, assume_unique=True), False)):
-                    yield pd.DataFrame({"hub": hub, "node": node, "token": found.view(np.int64), "lacks": lacks})
-
-    both = met.join(sets.select(F.col("node").alias("hub"), F.col("held").alias("a")), "hub").join(sets.select("node", F.col("held").alias("b")), "node")
-    return both.select("hub", "node", "a", "b").mapInPandas(run, "hub long, node long, token long, lacks boolean")
-
-
 def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id.
 
@@ -208,7 +174,7 @@ def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 1,
         alive = tokens.join(twice, "token").groupBy("node", "part", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= asked).select("node").distinct()
         alive = common.materialize(alive, "screened")
         texts = own.join(alive, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text").dropDuplicates()
-        sets = common.materialize(_full_sets(texts, width), "full-sets")
+        sets = common.materialize(full_sets(texts, width).withColumn("n", (F.octet_length("held") / 8).cast("long")), "full-sets")
         members = common.materialize(_members(sets), "members")
         prefix = common.materialize(prefixes(members, percent), "prefixes")
         packed = common.materialize(_packed(sets, prefix), "packed-sets")
@@ -240,7 +206,7 @@ def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 1,
         met = common.materialize(_open(_labelled(prefix, labels), F.col("own")), "open-members")
         if not met.isEmpty():
             hubs = _ordered(_apart(met, labels).select("node", F.col("hub").alias("other")))
-            linked(hubs.union(_rest(met, sets, percent)).distinct())
+            linked(hubs.union(differences.pairs_apart(met.select("hub", "node", "label"), sets, percent)).distinct())
 
         named = member.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
         named = common.materialize(named, "components")
@@ -249,15 +215,3 @@ def join(docs: DataFrame, *, width: int = 3, percent: int = 90, rounds: int = 1,
     result = rest.join(named, rest["__id"] == named["id"], "left")
     return result.select(F.col("__id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
 
-
-def _rest(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that can still be links, by a difference from the hub of a member that both hold."""
-    apart = common.materialize(met.filter("node <> hub").groupBy("hub", "node").agg(F.min("label").alias("label"), F.min("n").alias("n"), F.min("own").alias("own")), "apart")
-    found = differences(apart.select("hub", "node"), sets)
-    held = common.materialize(found.join(apart, ["hub", "node"]), "differences")
-    by = held.groupBy("hub", "token", "lacks").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub", "token", "lacks")
-    several = common.materialize(by, "several")
-    held = common.materialize(held.join(several, ["hub", "token", "lacks"]), "held-differences")
-    other = held.select("hub", "token", "lacks", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("m"), F.col("own").alias("other_own"))
-    pairs = held.join(other, ["hub", "token", "lacks"]).filter("node < other AND label <> other_label").filter(_possible("n", "own", "m", "other_own", percent))
-    return _ordered(pairs)

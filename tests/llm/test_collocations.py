@@ -94,9 +94,9 @@ def test_phrases_across_windows(spark):
 
 def test_exact_scores_of_large_counts(spark):
     """Products beyond 64 bits stay exact."""
-    f, l, r = 9 * 10**15 + 7, 3, 4  # noqa: E741
-    got = spark.sql(f"SELECT {f}L AS f, {l}L AS l, {r}L AS r").selectExpr("CAST((CAST(f AS DECIMAL(28,0)) * CAST(2000000 AS DECIMAL(10,0))) DIV CAST(l + r AS DECIMAL(20,0)) AS DECIMAL(38,0)) AS s").first().s
-    assert int(got) == 2_000_000 * f // (l + r) > 2**63
+    f, l, r = 9 * 10**15 + 7, 9 * 10**15 + 1234567, 10**16 + 3  # noqa: E741
+    got = spark.sql(f"SELECT {f}L AS f, {l}L AS l, {r}L AS r").selectExpr("CAST((CAST(f AS DECIMAL(28,0)) * CAST(2000000 AS DECIMAL(10,0))) DIV CAST(l + r AS DECIMAL(20,0)) AS BIGINT) AS s").first().s
+    assert int(got) == 2_000_000 * f // (l + r) and 2_000_000 * f > 2**63
 
 
 def test_empty_table(spark):
