@@ -99,11 +99,27 @@ def test_code_lengths_are_exact(spark):
                 x = data[i - k : i + 1]
                 counts[lang][x] = counts[lang].get(x, 0) + 1
     for text in ("the hat", "le tapis", "zzz été", "été 中"):
-        got = model.bits(language_id.padded(text)).sum(axis=0)
+        got = model.bits([language_id.padded(text)])[0]
         want = [slow_bits(counts, lang, language_id._PAD + text.encode()) for lang in model.langs]
         assert np.allclose(got, want, atol=1e-3)
 
 
+def test_many_languages_are_all_learned(spark):
+    """Three hundred languages with letters of their own: each is learned and told, and the model follows the sample."""
+    rng = random.Random(2)
+    own = [["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(12)] for _ in range(300)]
+    rows = [(f"l{i:03d}", " ".join(rng.choices(words, k=60))) for i, words in enumerate(own) for _ in range(3)]
+    docs = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, lang string, text string")
+    for chars in (24_000_000, 3_000):
+        model = language_id.fit(docs, all_chars=chars)
+        assert model.langs == sorted({x for x, _ in rows})
+        entries = sum(len(x.lang) for x in [*model.strings, *model.escapes])
+        assert entries < 8 * sum(len(t) + 1 for _, t in rows)
+        told = {r.doc_id: r.guess.lang for r in language_id.identify(docs, model).collect()}
+        assert sum(told[k] == x for k, (x, _) in enumerate(rows)) > 0.95 * len(rows)
+    assert language_id.build(pd.DataFrame([("a", n, 32, 1) for n in range(1, 5)], columns=["lang", "n", "code", "count"])).bits([language_id.padded("a b")]).shape == (1, 1)
+
+
 def test_language_held_out_and_edges(spark):
     got = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
