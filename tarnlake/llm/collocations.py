@@ -260,9 +260,12 @@ def _spelt(blocks: DataFrame, chosen: Broadcast | None, filters: list[Broadcast
                     for length, where, found, _ in levels(ids, hashes, reached):
                         due = np.flatnonzero(where < size)
                         due = due[within(found[due], bits)]
-                        # each phrase by the words at its first place, so that no two of one hash are mixed up
+                        # by hash, unless two phrases of one hash stand in the block: so none are ever mixed up
                         spelt = np.stack([ids[where[due] + k] for k in range(length)], axis=1)
-                        own, n = np.unique(spelt, axis=0, return_counts=True) if len(due) else (spelt, [])
+                        _, first, at, n = np.unique(found[due], return_index=True, return_inverse=True, return_counts=True)
+                        own = spelt[first]
+                        if not np.array_equal(own[at], spelt):
+                            own, n = np.unique(spelt, axis=0, return_counts=True)
                         phrases += [b" ".join([words[i] for i in row]).decode("utf-8", "replace") for row in own.tolist()]
                         counts += list(n)
                 yield pd.DataFrame({"lang": pd.Series([lang] * len(phrases), dtype=object), "phrase": pd.Series(phrases, dtype=object), "n": np.array(counts, dtype=np.int64)})
