@@ -60,6 +60,16 @@ def merge(
     """
     if check and not source.dropna(subset=list(on)).groupBy(*on).count().filter("count > 1").isEmpty():
         raise AmbiguousMerge(f"the source has several rows for one of {list(on)}")
+    # null keys match nothing: they stay out of the join, where they would be one task
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in on])
+    loose = [] if delete_missing else [target.filter(~whole)]
+    if insert:
+        extra = source.filter(~whole).alias("s")
+        if delete_if is not None:
+            # conditions may name the target's columns, which are null here
+            extra = extra.join(target.limit(0).alias("t"), F.lit(False), "left").filter(~F.coalesce(_expr(delete_if), F.lit(False)))
+        loose.append(extra.select(*[(F.col(f"s.{c}") if c in source.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in target.columns]))
+    target, source = target.filter(whole), source.filter(whole)
     shared = [c for c in target.columns if c in source.columns and c not in on]
     values = {c: F.col(f"s.{c}") for c in shared} if update is None else {c: _expr(e) for c, e in update.items()}
     t = target.withColumn("__t", F.lit(True)).alias("t")
@@ -75,7 +85,7 @@ def merge(
         fresh = F.col(f"s.{c}") if c in source.columns else F.lit(None)
         return F.when(only_source, fresh).when(change, values[c] if c in values else F.col(f"t.{c}")).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c)
 
-    return joined.filter(keep).select(*[column(c) for c in target.columns])
+    return reduce(DataFrame.unionByName, loose, joined.filter(keep).select(*[column(c) for c in target.columns]))
 
 
 def insert_new(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

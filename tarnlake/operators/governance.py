@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import redact
@@ -50,6 +50,29 @@ def describe_columns(df: DataFrame, comments: Mapping[str, str], never_features:
     return df
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def comment_table(spark: SparkSession, table: str, comment: str | None = None, columns: Mapping[str, str] | None = None) -> None:
+    """Comments of a table of the catalog and of its columns, as DESCRIBE shows them."""
+    name = ".".join(f"`{part}`" for part in table.split("."))
+    known = {c.lower() for c in spark.table(table).columns}
+    missing = [c for c in columns or {} if c.lower() not in known]
+    if missing:
+        raise ValueError(f"{table} has no columns {missing}")
+    if comment is not None:
+        spark.sql(f"COMMENT ON TABLE {name} IS {_quoted(comment)}")
+    for c, text in (columns or {}).items():
+        spark.sql(f"ALTER TABLE {name} ALTER COLUMN `{c}` COMMENT {_quoted(text)}")
+
+
+def table_comments(spark: SparkSession, table: str) -> DataFrame:
+    """(column, comment) of a table's columns, for a catalog report; null where there is none."""
+    rows = [(c.name, c.description) for c in spark.catalog.listColumns(table)]
+    return spark.createDataFrame(rows, "column string, comment string")
+
+
 def access_report(log: DataFrame, since: Column, *, ts: str = "ts", user: str = "user_id", action: str = "event_type", failed: Column | None = None) -> DataFrame:
     """Per user and action since a time: number, how many of them failed, the last time."""
     failures = F.count_if(failed) if failed is not None else F.lit(0).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import content_hash
@@ -189,10 +189,10 @@ def star_revenue(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column]], keys
     return joined.groupBy(*keys).agg(F.round(F.sum(measure), 4).alias("revenue"))
 
 
-def run_sql(df_or_spark, text: str, **args) -> DataFrame:
-    """A query with named parameters, bound as literals and never spliced into the text."""
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    return spark.sql(text, args=args)
+def run_sql(spark: SparkSession, text: str, frames: Mapping[str, DataFrame] | None = None, **args) -> DataFrame:
+    """A query with named parameters (``:name``), bound as literals and never spliced into the text, over frames
+    (``{name}``), which leave no view in the session."""
+    return spark.sql(text, args=args, **(frames or {}))
 
 
 def skew(df: DataFrame, keys: Sequence[str]) -> DataFrame:

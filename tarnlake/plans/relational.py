@@ -65,14 +65,14 @@ def transform_chain(spark, d):
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice >= 100000 AND o_orderpriority = '1-URGENT' GROUP BY 1")
 def parameterised_sql(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("orders_in")
-    return relational.run_sql(spark, "SELECT o_orderstatus, count(*) AS n FROM orders_in WHERE o_totalprice >= :least AND o_orderpriority = :priority GROUP BY 1", least=100000, priority="1-URGENT")
+    text = "SELECT o_orderstatus, count(*) AS n FROM {orders} WHERE o_totalprice >= :least AND o_orderpriority = :priority GROUP BY 1"
+    return relational.run_sql(spark, text, {"orders": table(spark, d, "orders")}, least=100000, priority="1-URGENT")
 
 
 @query("WITH per AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1) SELECT count(*) AS n, round(max(s), 2) AS top FROM per WHERE s > (SELECT avg(s) FROM per)")
 def cte_above_average(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("orders_in")
-    return spark.sql("WITH per AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders_in GROUP BY 1) SELECT count(*) AS n, round(max(s), 2) AS top FROM per WHERE s > (SELECT avg(s) FROM per)")
+    text = "WITH per AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY 1) SELECT count(*) AS n, round(max(s), 2) AS top FROM per WHERE s > (SELECT avg(s) FROM per)"
+    return relational.run_sql(spark, text, {"orders": table(spark, d, "orders")})
 
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
@@ -121,15 +121,13 @@ def semi_join(spark, d):
     return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
-_EXISTS = "SELECT c_custkey, c_mktsegment FROM customer{0} c WHERE EXISTS (SELECT 1 FROM orders{0} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 AND o.o_totalprice > 20 * c.c_acctbal)"
+_EXISTS = "SELECT c_custkey, c_mktsegment FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 AND o.o_totalprice > 20 * c.c_acctbal)"
 
 
-@query(_EXISTS.format(""))
+@query(_EXISTS.format(customer="customer", orders="orders"))
 def exists_subquery(spark, d):
     """A correlated subquery in SQL, with a condition on both sides."""
-    for name in ("customer", "orders"):
-        table(spark, d, name).createOrReplaceTempView(f"{name}_in")
-    return spark.sql(_EXISTS.format("_in"))
+    return relational.run_sql(spark, _EXISTS, {name: table(spark, d, name) for name in ("customer", "orders")})
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -236,9 +234,9 @@ def pivot_events(spark, d):
     return out.select("user_id", *[F.round(c, 2).alias(c) for c in ("click", "view", "purchase")])
 
 
-@query("SELECT l_orderkey, l_linenumber, metric, value FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_orderkey < 500) UNPIVOT (value FOR metric IN (l_discount, l_tax))")
+@query("SELECT l_orderkey, l_linenumber, metric, value FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR metric IN (l_discount, l_tax))")
 def unpivot_rates(spark, d):
-    return relational.unpivot(table(spark, d, "lineitem").filter("l_orderkey < 500"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
+    return relational.unpivot(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, CAST(count(DISTINCT n_name) AS BIGINT) AS n FROM nation GROUP BY 1")

@@ -123,6 +123,13 @@ def test_merge_rules(spark):
         changes.merge(t, s.union(s.filter("id = 2")), ["id"])
     assert changes.merge(t, keyed, ["id"], delete_missing=True).count() == 2
     assert changes.delete(t, "v = 'a' AND id > 0").count() == 2
+    # null keys of either side stay apart, and conditions hold for those of the source as well
+    rows = lambda df: sorted((str(r.id), r.v) for r in df.collect())
+    assert rows(changes.merge(t, s, ["id"], delete_if="s.v = 'm' OR t.v = 'b'")) == [("1", "a"), ("3", "y"), ("None", "n")]
+    assert rows(changes.merge(t, s, ["id"], insert=False)) == [("1", "a"), ("2", "x"), ("None", "n")]
+    assert rows(changes.merge(t, s, ["id"], delete_missing=True)) == [("2", "x"), ("3", "y"), ("None", "m")]
+    assert changes.merge(t.withColumn("w", F.lit(1)), s, ["id"]).filter("w IS NULL").count() == 2
+    assert not [j for j in layout.explain_facts(changes.merge(t, s, ["id"], check=False))["joins"] if "NestedLoop" in j]
 
 
 def test_feed_turns_old_into_new(spark):

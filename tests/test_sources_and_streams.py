@@ -444,6 +444,19 @@ def test_governance(spark):
     assert tuple(row) == ("***@x.org", "j***@x.org", "jo***", "***")
 
 
+def test_comments_in_the_catalog(spark):
+    spark.range(2).selectExpr("id", "'x' AS name").write.mode("overwrite").saveAsTable("tarn_commented")
+    try:
+        governance.comment_table(spark, "tarn_commented", "people's \\ names", {"name": "isn't \"free\""})
+        assert {r.column: r.comment for r in governance.table_comments(spark, "tarn_commented").collect()} == {"id": None, "name": "isn't \"free\""}
+        shown = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED tarn_commented").collect()}
+        assert shown["Comment"] == "people's \\ names"
+        with pytest.raises(ValueError, match="no columns"):
+            governance.comment_table(spark, "tarn_commented", columns={"nobody": "x"})
+    finally:
+        spark.sql("DROP TABLE tarn_commented")
+
+
 def test_monitoring(spark, root):
     with monitoring.timed_stage(spark, f"{root}/log", "ok") as counts:
         counts["rows_in"] = 5
