@@ -32,6 +32,7 @@ _BREAK = b"\xff"  # never in UTF-8
 FOLD = bytes(0xFF if chr(b) in ".,;:!?\n\v\f\r" else b + 32 * (65 <= b <= 90) for b in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PROBES = 4
+_SEGMENT = 1 << 12  # 64-bit words of a filter that travel together
 _WINDOW = 1 << 20
 _KEPT_WORDS = 500_000
 
@@ -233,12 +234,19 @@ def _filter(found: DataFrame, size: int) -> Broadcast | None:
         place = np.flatnonzero(bits)
         yield pd.DataFrame({"at": place.astype(np.int32), "bits": bits[place].view(np.int64)})
 
-    rows = found.select("h").mapInPandas(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    if not len(rows):
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(_SEGMENT, np.int64)
+        bits[rows["at"].to_numpy() % _SEGMENT] = rows["bits"].to_numpy()
+        return pd.DataFrame({"at": [int(rows["at"].iloc[0]) // _SEGMENT], "bits": [bits.tobytes()]})
+
+    rows = found.select("h").mapInPandas(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    parts = rows.groupBy(F.floor(F.col("at") / _SEGMENT)).applyInPandas(packed, "at int, bits binary").collect()  # no more than the filter's bytes
+    if not parts:
         return None
-    bits = np.zeros(size // 64, np.int64)
-    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return found.sparkSession.sparkContext.broadcast(bits.tobytes())
+    bits = np.zeros(max(size // 64, _SEGMENT), np.int64)
+    for r in parts:
+        bits[r["at"] * _SEGMENT : (r["at"] + 1) * _SEGMENT] = np.frombuffer(r["bits"], np.int64)
+    return found.sparkSession.sparkContext.broadcast(bits[: size // 64].tobytes())
 
 
 def _spelt(blocks: DataFrame, chosen: Broadcast | None, filters: list[Broadcast | None] | None) -> DataFrame:
