@@ -56,11 +56,16 @@ TEMPLATES = (
     ("cc-by-sa", ("creative commons attribution sharealike",), "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc", ("cc by nc",), "licensed under CC BY-NC 4.0"),
     ("cc-by-nc", ("creative commons attribution noncommercial",), "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-sa", ("cc by nc sa",), "licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa", ("creative commons attribution noncommercial sharealike",), "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     ("unlicense", ("released into the public domain",), "This is free and unencumbered software released into the public domain"),
     ("wtfpl", ("do what the fuck you want to public license",), "Do what the fuck you want to public license"),
     ("proprietary", ("all rights reserved",), "all rights reserved"),
 )
 
+#: A reservation of rights that licences carry too: it stands alone or not at all.
+RESERVED = "proprietary"
+
 #: A word is a run of these; as ranges, which the matcher tests fastest.
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 
@@ -96,11 +101,24 @@ def phrase_pattern(phrases) -> str:
     return f"(?<!{WORD})(?i:{'|'.join(parts)})(?!{WORD})"
 
 
+def _stands(padded: Column, key: str, longer: list[str]) -> Column:
+    """Whether a key phrase stands in a line of words, somewhere not as the beginning of a longer one."""
+    if not longer:
+        return F.contains(padded, F.lit(f" {key} "))
+    # with spaces of its own on both sides of each word, so that what stands beside a longer phrase stays whole
+    wide = lambda p: f" {p.replace(' ', '  ')} "
+    own = F.replace(padded, F.lit(" "), F.lit("  "))
+    for q in sorted(longer, key=lambda q: (-len(q), q)):
+        own = F.replace(own, F.lit(wide(q)), F.lit(" "))
+    return F.contains(own, F.lit(wide(key)))
+
+
 def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHRASES, templates=TEMPLATES, rarest: int = 24, least: float = 0.5, column: str = "licence") -> DataFrame:
     """Add ``column`` in place of the text: n_words, places of base phrases, base_labels, labels, score.
 
     A template counts when at least ``least`` of its indexed positions, and two or all of them, meet
-    at one distance and all its key phrases stand in the text. The score is the best template's share,
+    at one distance and all its key phrases stand in the text, somewhere not as the beginning of a longer
+    key phrase (so that "CC BY-NC-SA" is no "CC BY-NC"). ``RESERVED`` goes where there is another label. The score is the best template's share,
     1 where a base phrase stands, else 0. Null is an empty text, without words; texts of any length
     are scanned whole; repeated rows are judged one by one; an empty table gives no rows. The text
     column is left out, an existing column of that name replaced; others pass through, whatever their names.
@@ -138,7 +156,8 @@ def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHR
     )
     # the key phrases of the templates that were met
     padded = F.concat(F.lit(" "), F.col("line"), F.lit(" "))
-    stands = [(k, F.contains(padded, F.lit(f" {' '.join(p)} "))) for p, k in phrases]
+    every = {" ".join(p) for p, _ in phrases}
+    stands = [(k, _stands(padded, key, [q for q in every if q.startswith(f"{key} ")])) for key, k in ((" ".join(p), k) for p, k in phrases)]
     lacking = F.array(*[F.when(F.array_contains("met", k) & ~test, F.lit(k)) for k, test in stands]) if stands else F.array().cast("array<int>")
     checked = held.join(met, "id").select("id", "places", "shares", lacking.alias("lacking"))
     label = lambda k: F.element_at(F.array(*[F.lit(t[0]) for t in templates]), k + 1) if templates else F.lit("")
@@ -150,7 +169,10 @@ def scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE_PHR
         F.struct(
             F.array_sort(F.transform("places", lambda x: x["at"])).alias("places"),
             F.array_sort(F.array_distinct(F.transform("places", lambda x: base_label(x["entry"])))).alias("base_labels"),
-            F.array_sort(F.array_distinct(F.concat(F.transform("places", lambda x: base_label(x["entry"])), F.transform("named", lambda x: label(x["template"]))))).alias("labels"),
+            let(
+                F.array_sort(F.array_distinct(F.concat(F.transform("places", lambda x: base_label(x["entry"])), F.transform("named", lambda x: label(x["template"]))))),
+                lambda x: F.when(F.size(x) > 1, F.array_remove(x, RESERVED)).otherwise(x),
+            ).alias("labels"),
             F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("named", lambda x: x["share"])), F.lit(0.0))).alias("score"),
         ).alias("of"),
     )

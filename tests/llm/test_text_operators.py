@@ -350,16 +350,20 @@ def test_a_file_with_every_licence_has_every_label(spark):
     rows = [(1, text), (2, "all rights reserved"), *((10 + k, "Rights of the reserved public") for k in range(5))]
     rows += [(100 + k, f"Some code. {t[2]} The end.") for k, t in enumerate(licenses.TEMPLATES)]
     got = {r.doc_id: r.licence for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].labels == sorted({t[0] for t in licenses.TEMPLATES}) and got[1].score == 1
+    # rights reserved beside a licence are no licence of their own
+    assert got[1].labels == sorted({t[0] for t in licenses.TEMPLATES} - {licenses.RESERVED}) and got[1].score == 1
     assert got[2].labels == ["proprietary"] and got[10].labels == [] and got[10].score == 0
     assert all(t[0] in got[100 + k].labels for k, t in enumerate(licenses.TEMPLATES) if all(p in " ".join(words(t[2])) for p in t[1]))
+    bsd = "Copyright (c) 2020, A. Person. All rights reserved. " + next(t[2] for t in licenses.TEMPLATES if t[0] == "bsd")
+    told = {"bsd": bsd, "cc-by-nc-sa": "licensed under CC BY-NC-SA 4.0", "cc-by-nc": "licensed under CC BY-NC 4.0.", "cc-by-nc,cc-by-nc-sa": "licensed under CC BY-NC 4.0, once licensed under CC BY-NC-SA 4.0", "cc-by-sa": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"}
+    rows = spark.createDataFrame([(k, t) for k, t in told.items()], "want string, text string")
+    assert {r.want: ",".join(r.licence.labels) for r in licenses.scan(rows).collect()} == {k: k for k in told}
     assert licenses.scan(spark.createDataFrame([("x", 1)], "text string, licence int")).first().licence.n_words == 1
 
 
 def plain_licences(text):
     """Labels and score by trying every template at every place."""
     w, labels, best = words(text), set(), 0.0
-    line = f" {' '.join(w)} "
     at = {}
     for i, x in enumerate(w):
         at.setdefault(x, []).append(i)
@@ -370,11 +374,18 @@ def plain_licences(text):
             for i in at.get(x, ()):
                 counts[i - p] = counts.get(i - p, 0) + 1
         most = max(counts.values(), default=0)
-        if most >= 0.5 * len(index) and (most >= 2 or most == len(index)) and all(f" {' '.join(words(p))} " in line for p in keys):
+        if most >= 0.5 * len(index) and (most >= 2 or most == len(index)) and all(key_stands(words(p), w) for p in keys):
             labels.add(label)
             best = max(best, most / len(index))
     base = {x for p, x in PHRASES.items() if any(tuple(w[i : i + len(p)]) == p for i in range(len(w)))}
-    return sorted(labels | base), 1.0 if base else best
+    every = labels | base
+    return sorted(every - {licenses.RESERVED} if len(every) > 1 else every), 1.0 if base else best
+
+
+def key_stands(key, w):
+    """Somewhere in the words, not as the beginning of a longer key phrase."""
+    longer = [q for _, keys, _ in licenses.TEMPLATES for q in map(words, keys) if len(q) > len(key) and q[: len(key)] == key]
+    return any(w[i : i + len(key)] == key and not any(w[i : i + len(q)] == q for q in longer) for i in range(len(w)))
 
 
 def test_licence_labels_match_brute_force(spark):
