@@ -56,8 +56,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each reads what the one before it wrote."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents; each reads what the one before it wrote.
+
+    What a stage wrote for itself goes at its end, and its documents once the next stage is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with common.cleared() as kept:
+            docs = common.materialize(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+        if before is not None:
+            common.release(before)
+        before = docs
+    with common.cleared() as kept:
+        packed = common.materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+        kept.append(packed)
+    common.release(docs)
+    return packed
