@@ -84,7 +84,7 @@ def byte_alphabet() -> dict[str, int]:
 class Aligner:
     """Words to their tokens, groups and links, remembered within ``most`` bytes."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 160 << 20):
+    def __init__(self, a_path: str, b_path: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
         from .token_counts import model
@@ -265,7 +265,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, chars: int) -> DataFrame:
             begin = 0
             while begin < len(texts):
                 end, taken = begin, 0
-                while end < len(texts) and (end == begin or taken < 1 << 20):
+                while end < len(texts) and (end == begin or taken < 1 << 19):
                     taken += len(texts[end] or "")
                     end += 1
                 held += [(i, *x) for i, x in zip(ids[begin:end], align_texts(found, texts[begin:end]), strict=True)]
@@ -289,7 +289,7 @@ def _pair_rows(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "pairs", "held").mapInPandas(run, "block long, at int, pair long, held long")
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text: str = "text", block_chars: int = 8 << 20) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text: str = "text", block_chars: int = 4 << 20) -> DataFrame:
     """Per row: its id, tokens of both sides, groups, links, and how its links rank in the corpus.
 
     ``n_best`` are links whose pair of ids is held by as many documents as the A id's commonest pair,
