@@ -84,7 +84,7 @@ def byte_alphabet() -> dict[str, int]:
 class Aligner:
     """Words to their tokens, groups and links, remembered within ``most`` bytes."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 64 << 20):
+    def __init__(self, a_path: str, b_path: str, most: int = 112 << 20):
         from tokenizers import Tokenizer
 
         from .token_counts import model
