@@ -5,7 +5,8 @@ words chosen by their hash. A rolling hash runs over the hashes of two consecuti
 is long. Where it is the smaller one of two neighbours, and at long lines, a chunk begins, so that the
 boundaries follow the content, not the position: any three lines that two documents share, and any long
 one, hold a boundary that is the same in both. Chunks meet by the rolling hash at their boundary, over
-all documents.
+all documents. Where every passage is wanted, all shortest runs of lines that are enough are chunks
+as well: from each line on, and up to each line.
 
 Of the documents that hold a chunk the one of the smallest id keeps it. Chunks of one document that the
 same keeper holds at the same distance form a chain. The keeper's lines of a chain, and a few around
@@ -61,20 +62,56 @@ def lines(text: Column, *, long: int = 300) -> Column:
     return let(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), whole)
 
 
-def chunks(text: Column) -> Column:
-    """Where chunks begin: struct of the rolling hash and the line's number."""
-    # the last bit of a line's hash says whether the line is long
-    hashed = F.transform(lines(text), lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR((F.octet_length(x) >= LONG).cast("long")))
+def _reach(sizes: Column, least: int) -> Column:
+    """For each line the number of lines, two at least, that from it on have ``least`` bytes; null where the text ends before."""
+    unit = 1 << 24
+
+    def counted(i: Column, n: int, rest) -> Column:
+        # bytes and lines in one number
+        total = F.aggregate(F.slice(sizes, i + 1, n), F.lit(0).cast("long"), lambda acc, x: F.when(acc >= least * unit, acc).otherwise(acc + x * unit + 1))
+        return let(total, lambda t: F.when(t >= least * unit, t.bitwiseAND(F.lit(unit - 1)).cast("int")).otherwise(rest(i)))
+
+    def of(_: Column, i: Column) -> Column:
+        more = counted(i, 5, lambda i: counted(i, max(least, 2), lambda i: F.lit(None).cast("int")))
+        return F.when(i + 1 < F.size(sizes), F.when(F.get(sizes, i) + F.get(sizes, i + 1) >= least, F.lit(2)).otherwise(more))
+
+    return F.transform(sizes, of)
+
+
+def chunks(text: Column, every: int | None = None) -> Column:
+    """Where chunks begin: struct of the hash, the line's number and the number of lines.
+
+    With ``every`` there are also all runs of two lines or more that have so many bytes and would not have
+    them without their first or without their last line.
+    """
+
+    def hashed(found: Column) -> Column:
+        # the last bit of a line's hash says whether the line is long
+        each = F.transform(found, lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR((F.octet_length(x) >= LONG).cast("long")))
+        if every is None:
+            return let(each, lambda h: rolled(h, None))
+        return let(each, lambda h: let(F.transform(found, lambda x: F.octet_length(x).cast("long")), lambda sizes: let(_reach(sizes, every), lambda n: rolled(h, n))))
+
     long = lambda h: h.bitwiseAND(F.lit(1)) == 1
 
-    def rolled(h: Column) -> Column:
+    def rolled(h: Column, n: Column | None) -> Column:
         roll = F.transform(h, lambda x, i: F.when(long(x), F.xxhash64(x)).when(i + 1 < F.size(h), F.xxhash64(x, F.get(h, i + 1))))
-        return let(roll, lambda r: F.filter(F.transform(r, lambda x, i: F.when(begins(h, r, x, i), F.struct(x.alias("key"), i.alias("at")))), lambda x: x.isNotNull()))
+        chosen = lambda r: F.filter(F.transform(r, lambda x, i: F.when(begins(h, n, r, x, i), F.struct(x.alias("key"), i.alias("at"), F.lit(2).alias("n")))), lambda x: x.isNotNull())
+        if n is None:
+            return let(roll, chosen)
+        return F.concat(let(roll, chosen), F.flatten(F.filter(F.transform(n, lambda x, i: F.when(x.isNotNull(), windows(h, n, x, i))), lambda x: x.isNotNull())))
+
+    def begins(h: Column, n: Column | None, r: Column, x: Column, i: Column) -> Column:
+        # two lines that have the bytes by themselves are a window
+        short = F.lit(True) if n is None else F.coalesce(F.get(n, i) != 2, F.lit(True))
+        return F.coalesce(long(F.get(h, i)) | short & ((x <= F.get(r, i - 1)) | (x < F.get(r, i + 1)) | (x.isNotNull() & (F.size(h) == 2))), F.lit(False))
 
-    def begins(h: Column, r: Column, x: Column, i: Column) -> Column:
-        return F.coalesce(long(F.get(h, i)) | (x <= F.get(r, i - 1)) | (x < F.get(r, i + 1)) | (x.isNotNull() & (F.size(h) == 2)), F.lit(False))
+    def windows(h: Column, n: Column, x: Column, i: Column) -> Column:
+        # from its shortest one on, up to where the next line's shortest one ends
+        most = F.greatest(x, F.coalesce(F.get(n, i + 1), F.size(n) - i))
+        return F.transform(F.sequence(x, most), lambda k: F.struct(F.xxhash64(F.slice(h, i + 1, k)).alias("key"), i.alias("at"), k.alias("n")))
 
-    return let(hashed, rolled)
+    return let(lines(text), hashed)
 
 
 def _number(id_col: str, text: str) -> Column:
@@ -83,27 +120,30 @@ def _number(id_col: str, text: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), own)
 
 
-def chains(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def chains(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", every: int | None = None) -> DataFrame:
     """Stretches that an earlier document may hold too: doc, keeper, first, last, shift.
 
     ``first`` and ``last`` are lines of the document, and ``shift`` is by how many lines they stand
-    behind the keeper's.
+    behind the keeper's. With ``every`` no run of whole lines of so many bytes is missed.
     """
     body = F.col(text)
-    own = docs.select(_number(id_col, text).alias("doc"), F.when(F.length(body) > 0, chunks(body)).alias("chunks"))
+    own = docs.select(_number(id_col, text).alias("doc"), F.when(F.length(body) > 0, chunks(body, every)).alias("chunks"))
     own = common.materialize(own.filter(F.size("chunks") > 0), "chunks")
     rows = own.select("doc", F.explode("chunks").alias("c")).select("doc", "c.*")
     # fixed-size buffers, so that partial aggregates hash; a chunk that the keeper repeats counts where it stands last
     often = rows.groupBy("key").agg(F.min("doc").alias("keeper"), F.min_by("at", "doc").alias("there"), F.max("doc").alias("other")).filter("keeper < other")
     often = common.materialize(often.drop("other"), "repeated")
     again = rows.join(often.hint("merge"), "key").filter("doc <> keeper").repartition("doc")
-    # a chunk that a document repeats counts where it stands first
-    again = again.groupBy("doc", "keeper", "there").agg(F.min("at").alias("at")).withColumn("shift", F.col("at") - F.col("there"))
+    if every is None:
+        # a chunk that a document repeats counts where it stands first
+        again = again.groupBy("doc", "keeper", "there").agg(F.min("at").alias("at"), F.max("n").alias("n")).withColumn("shift", F.col("at") - F.col("there"))
+    else:
+        again = again.groupBy("doc", "keeper", (F.col("at") - F.col("there")).alias("shift"), "at").agg(F.max("n").alias("n"))
     order = Window.partitionBy("doc").orderBy("keeper", "shift", "at")
     before = F.lag(F.struct("keeper", "shift", "at")).over(order)
     same = (before["keeper"] == F.col("keeper")) & (before["shift"] == F.col("shift")) & (F.col("at") - before["at"] <= GAP)
     parted = again.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    made = parted.groupBy("doc", "keeper", "shift", "chain").agg(F.min("at").alias("first"), (F.max("at") + 1).alias("last")).drop("chain")
+    made = parted.groupBy("doc", "keeper", "shift", "chain").agg(F.min("at").alias("first"), F.max(F.col("at") + F.col("n") - 1).alias("last")).drop("chain")
     made = common.materialize(made, "chains")
     common.release(own, often)
     return made
@@ -191,15 +231,17 @@ def _rest(found: Column, runs: Column) -> Column:
     return let(F.array_distinct(F.flatten(F.transform(runs, lambda x: F.sequence(x["first"], x["last"])))), built)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_bytes: int = 120, removed: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_bytes: int = 120, removed: str | None = None, every: bool = False) -> DataFrame:
     """``docs`` with passages cut out of ``text`` that an earlier document keeps; ``removed`` names a column for the stretches.
 
     Null and empty texts stay as they are, and an empty table stays empty. Texts of any length and any
     characters are cut in the same way. Rows that share an id are one document, of several texts maybe,
     which never take from each other. A null id stands for a document of its own, after all others. A repeat within one document stays. Other columns pass through, whatever their
     names; an existing column ``removed`` is replaced.
+    ``every`` takes all runs of two whole lines or more that have ``min_bytes`` bytes and that any earlier
+    document holds, wherever they stand and however often; without it, those that hold a chosen boundary.
     """
-    made = chains(docs, id_col=id_col, text=text)
+    made = chains(docs, id_col=id_col, text=text, every=max(min_bytes, 1) if every else None)
     doc, views = common.fresh(docs.columns, "doc", "views")
     gone = common.materialize(_views(docs, made, id_col, text), "views").withColumnsRenamed({"doc": doc, "views": views})
     common.release(made)

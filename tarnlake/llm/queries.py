@@ -79,7 +79,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("chars_before"))
-    cut = line_dedup.dedup_lines(docs, removed="runs")
+    cut = line_dedup.dedup_lines(docs, removed="runs", every=True)
     return cut.select("doc_id", "chars_before", F.length("text").cast("long").alias("chars_after"), F.size("runs").cast("long").alias("n_runs"), "text")
 
 

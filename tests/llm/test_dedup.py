@@ -365,3 +365,31 @@ def test_inline_passages_go_as_a_whole(spark):
     got = {r.doc_id: r.text for r in line_dedup.drop_emptied(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i].split() == t.split() for i, t in want.items())
     assert sum(got[i].split() != t.split() for i, t in plain.items()) <= 1
+
+
+def test_every_run_of_lines_goes(spark):
+    rng = random.Random(21)
+    pool = [" ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(rng.choice([1, 2, 5, 9, 14, 30]))) + ".\n" for _ in range(14)]
+    rows = [(i, "".join(rng.choices(pool, k=rng.randrange(2, 25)))) for i in range(70)]
+    short = ["aa bb.\n", "cc dd ee.\n"] * 20
+    rows += [(100, "".join(short)), (101, "x.\n" + "".join(short[:30]) + own_words(rng, 30) + "\n" + "".join(short[3:25]))]
+    cut = {i: plain_lines(t) for i, t in rows}
+    must = {}
+    for i, c in cut.items():
+        gone = must[i] = set()
+        for j in (j for j in cut if j < i):
+            for shift in range(1 - len(cut[j]), len(c)):
+                run = []
+                for k in range(len(c) + 1):
+                    if k < len(c) and 0 <= k - shift < len(cut[j]) and c[k] == cut[j][k - shift]:
+                        run.append(k)
+                        continue
+                    if len(run) > 1 and len("".join(c[x] for x in run).encode()) >= 120:
+                        gone.update(run)
+                    run = []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, removed="runs", every=True).collect()}
+    assert sum(map(len, must.values())) > 300
+    for i, c in cut.items():
+        went = {k for r in got[i].runs for k in range(r.first, r.last + 1)}
+        assert must[i] <= went, (i, sorted(must[i] - went))
