@@ -137,6 +137,9 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: str, tie_break: Sequ
     if ties:
         name = fresh_names(df.columns, "r")[0]
         w = Window.partitionBy(*keys).orderBy(F.desc(order))
+        if keys:
+            # the sorts read all partitions as they are: joined to a few, as adaptive execution does, they grow with the input
+            df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
         return df.withColumn(name, F.rank().over(w)).filter(F.col(name) == 1).drop(name)
     names = fresh_names(df.columns, *[f"k{i}" for i in range(len(keys))], "row")
     last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(order, *tie_break, content_hash(df)))

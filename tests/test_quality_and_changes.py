@@ -309,3 +309,12 @@ def test_null_keys_and_equal_sequences(spark):
     for part in (events, events[::-1]):
         now = changes.apply_changes(spark.createDataFrame(part, schema).repartition(3), ["k"], ["seq"])
         assert sorted(map(str, now.collect())) == sorted(map(str, changes.apply_changes(spark.createDataFrame(events, schema), ["k"], ["seq"]).collect()))
+
+
+def test_ties_are_sorted_in_all_partitions(spark):
+    """Adaptive execution would join these few rows to one partition, as it joins many to a task for each core."""
+    df = spark.range(4000).selectExpr("id % 900 AS k", "id % 7 AS t", "id")
+    kept = relational.dedup_latest(df, ["k"], "t", ties=True)
+    assert kept.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = {k: max(i % 7 for i in range(k, 4000, 900)) for k in range(900)}
+    assert {r.id for r in kept.collect()} == {i for i in range(4000) if i % 7 == top[i % 900]}
