@@ -56,7 +56,10 @@ def fold_changes(
         value = lambda c: F.when(~gone & F.col(f"`{c}`").isNotNull(), F.struct(at.alias("at"), F.col(f"`{c}`").alias("v")))
     else:
         value = lambda c: F.struct(at.alias("at"), F.col(f"`{c}`").alias("v"))
-    rows = events.select(
+    # dealt out by the sequence, which no key with many events makes uneven: a row with its places is wide, and the
+    # partial aggregate sorts all that its task reads
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.repartition(parts, *sequence_by).select(
         *[F.when(~clears, F.col(f"`{k}`")).alias(k) for k in keys],
         clears.alias(MARK),
         at.alias(ORDER),

@@ -318,3 +318,14 @@ def test_ties_are_sorted_in_all_partitions(spark):
     assert kept.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     top = {k: max(i % 7 for i in range(k, 4000, 900)) for k in range(900)}
     assert {r.id for r in kept.collect()} == {i for i in range(4000) if i % 7 == top[i % 900]}
+
+
+def test_wide_changes_are_dealt_out_before_the_aggregate(spark, capsys):
+    """The partial aggregate sorts rows with their places: it gets a part of a file's rows, also of one key's."""
+    e = spark.range(2000).selectExpr("1 AS k", "id AS seq", "CAST(id AS STRING) AS v").coalesce(1)
+    folded = cdc.fold_changes(e, ["k"], ["seq"])
+    folded.explain()
+    plan = capsys.readouterr().out
+    dealt, partial = plan.index("REPARTITION_BY_NUM"), plan.rindex("partial_max")
+    assert partial < dealt  # below it in the plan
+    assert cdc.current_rows(folded, ["k"], ["v"]).first().v == "1999"
