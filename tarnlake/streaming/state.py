@@ -7,10 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "key string, status string, n_events long, started timestamp, last_seen timestamp"
+#: The same with times in microseconds, as the processor gives them.
+MICROS = "key string, status string, n_events long, started long, last_seen long"
+NAMES = ("key", "status", "n_events", "started", "last_seen")
 STATE = "n_events long, started long, last_seen long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -46,9 +50,16 @@ class Sessions(StatefulProcessor):
         status, n, first, last = zip(*found, strict=True)
         return pd.DataFrame({"key": str(key[0]), "status": status, "n_events": n, "started": pd.to_datetime(first, unit="us"), "last_seen": pd.to_datetime(last, unit="us")})
 
+    def _out(self, key: tuple, found: list[tuple[str, int, int, int]]) -> Iterator[pd.DataFrame]:
+        yield self._rows(key, found)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([b[self.ts].to_numpy("datetime64[us]").astype(np.int64) for b in rows]))
-        n, first, last = self.open.get() if self.open.exists() else (0, None, None)
+        yield from self._out(key, self._step(np.concatenate([b[self.ts].to_numpy("datetime64[us]").astype(np.int64) for b in rows]), timerValues))
+
+    def _step(self, times: np.ndarray, timerValues) -> list[tuple[str, int, int, int]]:
+        """Status, number and bounds of the sessions that these times end or leave open."""
+        times = np.sort(times)
+        n, first, last = held = self.open.get() or (0, None, None)
         # events up to a gap after the open session's end belong to it, late ones too
         own = int(np.searchsorted(times, last + self.gap, "right")) if n else 0
         if own:
@@ -66,27 +77,41 @@ class Sessions(StatefulProcessor):
             found += [("ENDED", *x) for x in each[:-1]]
             n, first, last = each[-1]
         self.open.update((n, first, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if held[0]:  # each call is a round trip, and a key without a session has no timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(last // 1000 + self.gap // 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._rows(key, [*found, ("ACTIVE", n, first, last)])
+        return [*found, ("ACTIVE", n, first, last)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            n, first, last = self.open.get()
+        held = self.open.get()
+        if held:
             self.open.clear()
-            yield self._rows(key, [("ENDED", n, first, last)])
+            yield from self._out(key, [("ENDED", *held)])
 
     def close(self) -> None:
         pass
 
 
+class RowSessions(Sessions):
+    """The same over plain rows, with times in microseconds: a key costs no frames."""
+
+    def _out(self, key: tuple, found: list[tuple[str, int, int, int]]) -> Iterator[Row]:
+        for x in found:
+            yield Row(**dict(zip(NAMES, (str(key[0]), *x), strict=True)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self._out(key, self._step(np.array([r[self.ts] for r in rows], dtype=np.int64), timerValues))
+
+
 def session_state(df: DataFrame, key: str, ts: str, gap_seconds: int, delay: str = "1 minute", ttl_ms: int | None = None) -> DataFrame:
     """ACTIVE after each batch in which a key had events, ENDED once the watermark is ``gap_seconds`` past the last.
 
     An event later than the gap after the last one ends the session and starts another. State lives in the store of
     ``state_store``, which the stream must start with; a timer removes it, or ``ttl_ms`` of processing time where
-    that is given. A batch's events of a key are cut into sessions as arrays, not row by row.
+    that is given. A batch's events of a key are cut into sessions as arrays, not row by row. Events without a time are in none.
     """
-    sessions = Sessions(ts, gap_seconds, ttl_ms)
-    return df.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(sessions, OUTPUT, "Append", "EventTime")
+    at = "__at" if "__at" not in (key, ts) else "__at_us"
+    timed = df.withWatermark(ts, delay).filter(F.col(f"`{ts}`").isNotNull()).select(f"`{key}`", f"`{ts}`", F.unix_micros(F.col(f"`{ts}`").cast("timestamp")).alias(at))
+    made = timed.groupBy(key).transformWithState(RowSessions(at, gap_seconds, ttl_ms), MICROS, "Append", "EventTime")
+    return made.withColumns({c: F.timestamp_micros(c) for c in ("started", "last_seen")})

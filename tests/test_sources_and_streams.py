@@ -570,3 +570,41 @@ def test_joins_keep_their_plans(spark, sf_dir):
         got = relational.interval_join(left, right, "k", "lt", "rt", "-5 SECONDS", "40 SECONDS", how).select("id", "rid")
         assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() > 100
     assert relational.interval_join(left, right.drop("k"), None, "lt", "rt", "0 SECONDS", "0 SECONDS").count() == left.join(right.drop("k"), F.col("lt") == F.col("rt")).count()
+
+
+def test_sessions_of_rows_ask_the_store_once():
+    """A key's rows cost one read and one write of its state, and no list of timers where it had no session."""
+    calls = []
+
+    class Store:
+        value = None
+        get = lambda self: calls.append("get") or self.value
+        exists = lambda self: calls.append("exists") or self.value is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        store = Store()
+        getValueState = lambda self, *_: self.store
+        listTimers = lambda self: calls.append("timers") or iter(())
+        registerTimer = lambda self, ms: calls.append("register")
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    made = state.RowSessions("at", 600, None)
+    made.init(Handle())
+    out = list(made.handleInputRows((7,), iter([{"at": t * 1_000_000} for t in (700, 0, 10, 5000)]), Clock()))
+    assert [(r.key, r.status, r.n_events, r.started // 1_000_000, r.last_seen // 1_000_000) for r in out] == [("7", "ENDED", 2, 0, 10), ("7", "ENDED", 1, 700, 700), ("7", "ACTIVE", 1, 5000, 5000)]
+    assert calls == ["get", "update", "register"]
+
+
+def test_sessions_pass_over_events_without_a_time(spark, root):
+    _write_events(spark, f"{root}/in", [(1, "u", _at(0)), (2, "u", None), (3, "u", _at(60)), (4, "w", None)])
+    rows = spark.readStream.schema("id int, k string, ts timestamp").parquet(f"{root}/in")
+    with state.state_store(spark):
+        sinks.run_to_end(state.session_state(rows, "k", "ts", 600), sink=f"{root}/o", checkpoint=f"{root}/ck")
+    got = spark.read.parquet(f"{root}/o").groupBy("key").agg({"n_events": "max"}).collect()
+    assert [tuple(r) for r in got] == [("u", 2)]
