@@ -243,6 +243,20 @@ def _open_buckets(inside: DataFrame, labels: DataFrame, hubs: int) -> tuple[Data
     return marked, common.materialize(by.filter("a < b").select("bucket", "picks", "n"), "split-buckets")
 
 
+def _last_hubs(inside: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets with several components and more than two members; one of the commonest component is picked.
+
+    All buckets pick in the same order, so that a group that meets in many of them has few hubs, and of the
+    commonest component, so that few members are apart from their hub.
+    """
+    marked = common.materialize(inside.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "marked")
+    parts = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("pick"))
+    by = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label", "pick")).alias("most"))
+    # a bucket of two was its own hub's pair
+    split = common.materialize(by.filter("parts > 1 AND n > 2").select("bucket", F.col("most.pick").alias("pick")), "split-buckets")
+    return common.materialize(marked.join(split, "bucket").select("bucket", "node", "label", (F.xxhash64("node") == F.col("pick")).alias("picked")), "open-buckets")
+
+
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
     """node and its whole set as sorted 64-bit hashes."""
 
@@ -325,10 +339,7 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
             pairs = open_.join(hub, "bucket").filter("label <> hub_label")
             linked(_ordered(pairs.select("node", F.col("hub").alias("other"))))
 
-        open_, split = _open_buckets(inside, labels, 1)
-        # a bucket of two was its own hub's pair
-        open_ = open_.join(split.filter("n > 2"), "bucket").select("bucket", "node", "label", (_hash() == F.col("picks")[0]).alias("picked"))
-        open_ = common.materialize(open_, "open-buckets")
+        open_ = _last_hubs(inside, labels)
         if not open_.isEmpty():
             linked(_last_pairs(open_, texts, width=width, percent=percent))
 

@@ -393,3 +393,14 @@ def test_every_run_of_lines_goes(spark):
     for i, c in cut.items():
         went = {k for r in got[i].runs for k in range(r.first, r.last + 1)}
         assert must[i] <= went, (i, sorted(must[i] - went))
+
+
+def test_a_family_has_few_last_hubs(spark):
+    """Buckets that a family fills pick its members in one order, and of its largest component."""
+    rng = random.Random(31)
+    inside = [(b, n) for b in range(40) for n in sorted(rng.sample(range(60), 40))]
+    labels = spark.createDataFrame([(n, 0 if n % 6 else n) for n in range(60)], "node long, label long")
+    got = near_dedup._last_hubs(spark.createDataFrame(inside, "bucket long, node long"), labels).collect()
+    hubs = [r for r in got if r.picked]
+    assert len(got) == len(inside) and len(hubs) == 40 and all(r.label == 0 for r in hubs)
+    assert len({r.node for r in hubs}) <= 10
