@@ -312,6 +312,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
         best = total.groupBy(a_id.alias("a")).agg(F.max("n").alias("most"))
         known = total.join(best, F.col("a") == a_id).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
         back = rows.join(common.materialize(known, "known-pairs"), "pair").groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("counts"))
+        # arrays of numbers come to Python as such, structs as an object each
+        back = back.select("block", *[F.col("counts")[c].alias(f"known_{c}") for c in ("at", "n", "best")])
         ready = blocks.drop("pairs", "held").join(back, "block", "left")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,10 +321,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
                 for row in batch.itertuples(index=False):
                     ptr, idx, weight = np.frombuffer(row.ptr, "<i8"), np.frombuffer(row.idx, "<u4"), np.frombuffer(row.weight, "<i8")
                     n, best = np.zeros(0, np.int64), np.zeros(0, bool)
-                    if row.counts is not None:
-                        n, best = np.zeros(len(row.counts), np.int64), np.zeros(len(row.counts), bool)
-                        for c in row.counts:
-                            n[c["at"]], best[c["at"]] = c["n"], c["best"]
+                    if row.known_at is not None:
+                        order = np.argsort(np.asarray(row.known_at))
+                        n, best = np.asarray(row.known_n, np.int64)[order], np.asarray(row.known_best, bool)[order]
                     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ptr])  # noqa: B023, E731
                     stats = np.frombuffer(row.stats, "<i8").reshape(-1, len(STATS))
                     out = dict(zip(STATS, stats.T, strict=True))
