@@ -10,6 +10,7 @@ of their length, which a salted rank gives without bringing a frequent length in
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import unicodedata
 import zlib
@@ -46,16 +47,19 @@ class Encoder:
     """Ids of texts by the tokenizers library, as bytes of little-endian unsigned 32-bit numbers.
 
     Words are encoded by the library once and then remembered, for a worker's life and within
-    ``most`` words. Texts with a special token's string or with characters beyond those whose word
-    classes are settled, and vocabularies that cut words in another way, are encoded as they are.
+    ``most`` words; beyond that the first ``keep`` stay, which are the frequent ones. Texts with a special
+    token's string or with characters beyond those whose word classes are settled, and vocabularies that
+    cut words in another way, are encoded as they are.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000, keep: int = 350_000):
         import json
 
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.known = Tokenizer.from_file(path), most, {}
+        # a task is one core; the library's own threads would each hold on to memory of theirs
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library, self.most, self.keep, self.known = Tokenizer.from_file(path), most, keep, {}
         with open(path, encoding="utf-8") as f:
             how = json.load(f)
         cut = how.get("pre_tokenizer") or {}
@@ -64,13 +68,15 @@ class Encoder:
         self.words = _words() if plain else None
         self.apart = re.compile("|".join([f"[^\x00-{chr(_KNOWN - 1)}]", *specials]))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], rows: int = 4000) -> list[bytes]:
+        # the library's results are many times the ids, so only some rows' are there at a time
+        parts = (texts[at : at + rows] for at in range(0, len(texts), rows))
+        return [np.array(e.ids, dtype="<u4").tobytes() for part in parts for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.words is None or self.apart.search(t) else self.words.findall(t) for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known = dict(itertools.islice(self.known.items(), self.keep))
         fresh = list(set(itertools.chain.from_iterable(w for w in cut if w)).difference(self.known))
         own = dict(zip(fresh, self._ids(fresh), strict=True))
         self.known.update(own)

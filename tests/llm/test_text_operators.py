@@ -285,6 +285,25 @@ def test_encoder_equals_the_library():
         assert other(texts[:50]) == [ids(t) for t in texts[:50]]
 
 
+def test_encoder_holds_little():
+    """Beyond its bound an encoder keeps the words it met first, and the library starts no threads in a task."""
+    import os
+    import subprocess
+    import sys
+
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH, most=100, keep=10)
+    for k in range(30):
+        texts = [f"the same words, and {a}{chr(97 + k % 26) * (1 + k // 26)} {a}x{chr(97 + k % 26) * (2 + k // 26)} of its own" for a in "abcdefgh"]
+        assert encode(texts) == [np.array(exact.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        first = list(encode.known)[:10] if k == 0 else first
+        assert list(encode.known)[:10] == first and len(encode.known) <= 120
+    code = f"import os; from tarnlake.llm import packing; e = packing.Encoder({PATH!r}); n = len(os.listdir('/proc/self/task')); e([f'word{{i}} x{{i}}y' for i in range(20000)]); print(len(os.listdir('/proc/self/task')) - n)"
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout.strip() == "0"
+
+
 def test_packing_of_long_white_space(spark):
     rows = [(1, " " * 2_000_000, "x", 0), (2, "\n" * 2_000_000, "x", 0), (3, " \n" * 500_000 + "end", "x", 0), *[(None, "same", "x", 0)] * 40]
     got = packing.pack(docs_of(spark, rows), PATH).groupBy("doc_id").sum("length").collect()
