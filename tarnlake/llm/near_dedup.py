@@ -11,7 +11,8 @@ are equal, larger and smaller; pairs that lie far below the bound (``slack`` sta
 dropped, all others are confirmed on full sets.
 
 Documents with the same words form one class first, so copies never pair. Within a bucket candidates
-are pairs with one hub, not all pairs. As resemblance isn't transitive, buckets whose members are
+are pairs with one hub, not all pairs: the member that meets the most others over all its buckets, which of a
+family is the text, or a copy close to it, that the others were made of. As resemblance isn't transitive, buckets whose members are
 then still in different components get other hubs, and at last the pairs across components that share a
 difference from a hub (``differences``), so that no candidate link is lost and no group gives all its pairs. Every step is a join or an aggregate with partial sums; big
 buckets and groups meet only in joins that adaptive execution splits.
@@ -231,8 +232,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _hash() -> Column:
-    """A member's order within a bucket, another one in each."""
-    return F.xxhash64("bucket", "node")
+    """A member's order, the same in all buckets, so that a family that fills many of them has few hubs."""
+    return F.xxhash64("node")
+
+
+def _weights(inside: DataFrame) -> DataFrame:
+    """node and weight: how many members its buckets have."""
+    sizes = inside.groupBy("bucket").agg(F.count("*").alias("size"))
+    return inside.select("bucket", "node").join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
 
 
 def _open_buckets(inside: DataFrame, labels: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
@@ -243,18 +250,19 @@ def _open_buckets(inside: DataFrame, labels: DataFrame, hubs: int) -> tuple[Data
     return marked, common.materialize(by.filter("a < b").select("bucket", "picks", "n"), "split-buckets")
 
 
-def _last_hubs(inside: DataFrame, labels: DataFrame) -> DataFrame:
+def _last_hubs(inside: DataFrame, labels: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Members of the buckets with several components and more than two members; one of the commonest component is picked.
 
-    All buckets pick in the same order, so that a group that meets in many of them has few hubs, and of the
-    commonest component, so that few members are apart from their hub.
+    All buckets pick in the same order, by weight, so that a group that meets in many of them has few hubs with few
+    differences from the others, and of the commonest component, so that few members are apart from their hub.
     """
-    marked = common.materialize(inside.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "marked")
-    parts = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("pick"))
+    named = inside.join(labels, "node", "left").join(_weights(inside) if weights is None else weights, "node")
+    marked = common.materialize(named.select("bucket", "node", F.coalesce("label", "node").alias("label"), "weight"), "marked")
+    parts = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("pick"))
     by = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label", "pick")).alias("most"))
     # a bucket of two was its own hub's pair
-    split = common.materialize(by.filter("parts > 1 AND n > 2").select("bucket", F.col("most.pick").alias("pick")), "split-buckets")
-    return common.materialize(marked.join(split, "bucket").select("bucket", "node", "label", (F.xxhash64("node") == F.col("pick")).alias("picked")), "open-buckets")
+    split = common.materialize(by.filter("parts > 1 AND n > 2").select("bucket", F.col("most.pick.node").alias("pick")), "split-buckets")
+    return common.materialize(marked.join(split, "bucket").select("bucket", "node", "label", (F.col("node") == F.col("pick")).alias("picked")), "open-buckets")
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -296,9 +304,12 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
         nodes = full.join(classes, "digest").filter("id = node")
 
         placed = nodes.select("node", F.explode("bands").alias("bucket"))
-        busy = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("bucket", "hub")
+        busy = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").select("bucket")
         busy = common.materialize(busy, "buckets")
         inside = common.materialize(placed.join(busy, "bucket"), "bucket-members")
+        weights = common.materialize(_weights(inside), "weights")
+        middle = inside.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"))).alias("hub"))
+        middle = common.materialize(middle.select("bucket", (-F.col("hub.col2")).alias("hub")), "middles")
         involved = inside.select("node").distinct()
         own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
         texts = common.materialize(own.join(involved, "node", "left_semi"), "candidate-texts")
@@ -308,9 +319,9 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
         same = member.join(shared, "id").filter("u < node").select("u", F.col("node").alias("v"))
 
         # the hub shared by most bands first: one candidate per node
-        stars = inside.filter("hub < node").groupBy("node", "hub").agg(F.count("*").alias("n"))
-        first = stars.groupBy("node").agg(F.max(F.struct("n", -F.col("hub"))).alias("best")).select((-F.col("best.col2")).alias("u"), F.col("node").alias("v"))
-        tested = common.materialize(first, "pairs")
+        stars = inside.join(middle, "bucket").filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+        first = stars.groupBy("node").agg(F.max(F.struct("n", -F.col("hub"))).alias("best")).select("node", (-F.col("best.col2")).alias("other"))
+        tested = common.materialize(_ordered(first), "pairs")
         bound = percent / 100
         least = bound - slack * math.sqrt(bound * (1 - bound) / (bands * rows))
 
@@ -339,7 +350,7 @@ def group(docs: DataFrame, *, width: int = 5, percent: int = 75, bands: int = 32
             pairs = open_.join(hub, "bucket").filter("label <> hub_label")
             linked(_ordered(pairs.select("node", F.col("hub").alias("other"))))
 
-        open_ = _last_hubs(inside, labels)
+        open_ = _last_hubs(inside, labels, weights)
         if not open_.isEmpty():
             linked(_last_pairs(open_, texts, width=width, percent=percent))
 

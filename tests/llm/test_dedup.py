@@ -404,3 +404,43 @@ def test_a_family_has_few_last_hubs(spark):
     hubs = [r for r in got if r.picked]
     assert len(got) == len(inside) and len(hubs) == 40 and all(r.label == 0 for r in hubs)
     assert len({r.node for r in hubs}) <= 10
+
+
+def family_of(seed, n, most):
+    rng = random.Random(seed)
+    base = [f"v{k}" for k in range(120)]
+    out = [base]
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, most)):
+            w[k] = f"n{rng.randrange(10**6)}"
+        out.append(w)
+    for w in out[1::5]:  # siblings
+        out.append([*w[:60], "own", *w[61:]])
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_pairs_apart_ask_what_the_pair_needs(spark):
+    """Of a family whose members lack much in common few pairs are candidates, and all links are among them."""
+    from tarnlake.llm import differences
+
+    rows = family_of(5, 240, 14)
+    sets = {i: shingle_set(t) for i, t in rows}
+    like = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    label = {i: 0 if like(0, i) else i for i in sets}
+    met = spark.createDataFrame([(0, i, label[i]) for i in sets], "hub long, node long, label long")
+    held = near_dedup.full_sets(spark.createDataFrame(rows, "node long, text string"), 5)
+    got = {(r.u, r.v) for r in differences.pairs_apart(met, held, 75).collect()}
+    links = {(a, b) for a, b in itertools.combinations(sets, 2) if a and label[a] != label[b] and like(a, b)}
+    assert len(set(label.values())) > 20 and links and links <= got
+    assert len(got) < 300
+
+
+def test_a_family_has_few_pairs(spark, monkeypatch):
+    """The member that all others are closest to is their hub, so that few pairs are tested."""
+    tested, of = [], near_dedup._likely_pairs
+    monkeypatch.setattr(near_dedup, "_likely_pairs", lambda pairs, *rest: tested.append(pairs.count()) or of(pairs, *rest))
+    rows = [((7 * i + 90) % 151, t) for i, t in family_of(6, 125, 12)]
+    got = near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+    assert sum(tested) < 2400
