@@ -22,6 +22,7 @@ in the joins, rows that adaptive execution splits; nothing is collected by passa
 
 from __future__ import annotations
 
+import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,18 +65,31 @@ def lines(text: Column, *, long: int = 300) -> Column:
 
 def _reach(sizes: Column, least: int) -> Column:
     """For each line the number of lines, two at least, that from it on have ``least`` bytes; null where the text ends before."""
-    unit = 1 << 24
+    # bytes and lines in one number; summed over 1, 2, 4 and so on lines from each one on, null beyond the text's end
+    unit, levels = 1 << 24, max(1, (least - 1).bit_length())
 
-    def counted(i: Column, n: int, rest) -> Column:
-        # bytes and lines in one number
-        total = F.aggregate(F.slice(sizes, i + 1, n), F.lit(0).cast("long"), lambda acc, x: F.when(acc >= least * unit, acc).otherwise(acc + x * unit + 1))
-        return let(total, lambda t: F.when(t >= least * unit, t.bitwiseAND(F.lit(unit - 1)).cast("int")).otherwise(rest(i)))
+    def doubled(sums: list[Column]) -> Column:
+        if len(sums) == levels:
+            return F.transform(sums[0], lambda x, i: F.when(i + 1 < F.size(sizes), first(sums, x, i)))
+        last, step = sums[-1], 1 << (len(sums) - 1)
+        return let(F.transform(last, lambda x, i: x + F.get(last, i + step)), lambda more: doubled([*sums, more]))
 
-    def of(_: Column, i: Column) -> Column:
-        more = counted(i, 5, lambda i: counted(i, max(least, 2), lambda i: F.lit(None).cast("int")))
-        return F.when(i + 1 < F.size(sizes), F.when(F.get(sizes, i) + F.get(sizes, i + 1) >= least, F.lit(2)).otherwise(more))
+    def first(sums: list[Column], x: Column, i: Column) -> Column:
+        # most runs are short, so the steps begin where the sums say so
+        found = F.when(x + F.get(sums[0], i + 1) >= least * unit, 2)
+        for k in range(2, min(levels, 5)):
+            found = found.when(F.get(sums[k], i) >= least * unit, few(sums, k - 2, i, F.get(sums[k - 1], i)))
+        return found.otherwise(few(sums, levels - 1, i, F.lit(0).cast("long")))
 
-    return F.transform(sizes, of)
+    def few(sums: list[Column], k: int, i: Column, t: Column) -> Column:
+        # the most lines from this one on that still have fewer bytes, from the largest step to the smallest
+        lines_ = t.bitwiseAND(F.lit(unit - 1)).cast("int")
+        if k < 0:
+            return F.when(i + lines_ < F.size(sizes), F.greatest(lines_ + 1, F.lit(2)))
+        more = t + F.get(sums[k], i + lines_)
+        return let(F.when(more < least * unit, more).otherwise(t), lambda t: few(sums, k - 1, i, t))
+
+    return let(F.transform(sizes, lambda x: x * unit + 1), lambda s: doubled([s]))
 
 
 def chunks(text: Column, every: int | None = None) -> Column:
@@ -165,11 +179,30 @@ def _views(docs: DataFrame, made: DataFrame, id_col: str, text: str) -> DataFram
     held = own.join(needed.hint("merge"), "keeper").select("keeper", F.xxhash64("body").alias("text_hash"), F.explode(let(lines(F.col("body")), parts)).alias("p"))
     met = wanted.join(held.select("keeper", "text_hash", "p.*").hint("merge"), ["keeper", "block"])
     from_, to = F.greatest(F.col("begin") - F.col("block") * BLOCK, F.lit(0)), F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK - 1))
-    cut = met.select("doc", "keeper", "text_hash", (F.col("begin") + F.col("shift")).alias("start"), "shift", "block", F.slice("theirs", from_ + 1, to - from_ + 1).alias("theirs"))
-    # repeated rows of a keeper give the same lines again
-    one = cut.groupBy("doc", "keeper", "text_hash", "shift", "start", "block").agg(F.first("theirs").alias("theirs"))
-    whole = one.groupBy("doc", "keeper", "text_hash", "shift", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "theirs"))), lambda x: x["theirs"])).alias("theirs"))
-    return whole.groupBy("doc").agg(F.collect_list(F.struct("start", "theirs")).alias("views"))
+    # dealt by document at once, so that a keeper that many follow is no single task's
+    cut = met.select("doc", "keeper", "text_hash", "shift", (F.col("begin") + F.col("shift")).alias("start"), "block", F.slice("theirs", from_ + 1, to - from_ + 1).alias("theirs")).repartition("doc")
+    parts_of = cut.groupBy("doc").agg(F.collect_list(F.struct("keeper", "text_hash", "shift", "start", "block", "theirs")).alias("parts"))
+    return parts_of.select("doc", let(F.array_sort("parts"), _joined).alias("views"))
+
+
+def _joined(parts: Column) -> Column:
+    """Views of blocks in order: the lines of each chain of each keeper's text."""
+
+    def starts(i: Column, names: tuple[str, ...]) -> Column:
+        now, before = F.get(parts, i), F.get(parts, i - 1)
+        return (i == 0) | ~functools.reduce(lambda a, b: a & b, [now[c] == before[c] for c in names])
+
+    def views(at: Column) -> Column:
+        def view(s: Column, k: Column) -> Column:
+            own = F.sequence(s, F.coalesce(F.get(at, k + 1), F.size(parts)) - 1)
+            # repeated rows of a keeper give the same lines again
+            once = F.filter(own, lambda i: (i == s) | (F.get(parts, i)["block"] != F.get(parts, i - 1)["block"]))
+            return F.struct(F.get(parts, s)["start"].alias("start"), F.flatten(F.transform(once, lambda i: F.get(parts, i)["theirs"])).alias("theirs"))
+
+        return F.transform(at, view)
+
+    chain = ("start", "shift", "keeper", "text_hash")
+    return let(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: starts(i, chain)), views)
 
 
 def _alike(a: Column, b: Column) -> Column:

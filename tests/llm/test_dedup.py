@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarnlake.llm import chats, line_dedup, near_dedup
 
@@ -444,3 +445,31 @@ def test_a_family_has_few_pairs(spark, monkeypatch):
     got = near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
     assert sum(tested) < 2400
+
+
+def test_reach_is_the_shortest_run(spark):
+    """From each line on the fewest lines, two at least, that have the bytes, whatever the lines' sizes."""
+    rng = random.Random(41)
+    sizes = [[rng.choice((1, 2, 7, 8, 30, 119, 120, 500)[: rng.choice((2, 4, 8))]) for _ in range(rng.randrange(0, 260))] for _ in range(60)] + [[1] * 300, [130], [60, 60], [119]]
+    for least in (1, 2, 3, 16, 17, 120, 129):
+        want = []
+        for s in sizes:
+            shortest = [next((n for n in range(2, len(s) - i + 1) if sum(s[i : i + n]) >= least), None) for i in range(len(s))]
+            want.append(shortest)
+        got = spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "k int, s array<long>").select("k", line_dedup._reach(F.col("s"), least).alias("n")).collect()
+        assert [r.n for r in sorted(got)] == want, least
+
+
+def test_views_are_dealt_by_document(spark):
+    """Lines fetched from a keeper that many follow are shuffled once, by the document that they are compared with."""
+    passage = "".join(f"Line {k} of a passage that very many documents hold whole.\n" for k in range(40))
+    rows = [(i, f"{passage}own {i}\n") for i in range(60)] + [(0, passage + "another text of the first id\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    views = line_dedup._views(docs, line_dedup.chains(docs, every=120), "doc_id", "text")
+    plan = views._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc" in plan and plan.count("Aggregate [doc") == 1
+    lines = passage.splitlines(keepends=True)
+    got = {r.doc: r.views for r in views.collect()}
+    assert set(got) == set(range(1, 60))
+    # both texts of the first id, each line once
+    assert all(sorted(v.theirs for v in vs) == sorted([[*lines, "own 0\n"], [*lines, "another text of the first id\n"]]) and {v.start for v in vs} == {0} for vs in got.values())
