@@ -37,7 +37,6 @@ STATS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 BLOCK = "block long, ids array<long>, stats binary, shas array<string>, ptr binary, idx binary, weight binary, pairs binary, held binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_overlaps long"
 _EXPANDED = 1 << 20
-_aligners: dict = {}
 
 
 def expand(rows: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,10 +218,8 @@ class Aligner:
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """The aligner of these files; a worker keeps it."""
-    if (a_path, b_path) not in _aligners:
-        _aligners[a_path, b_path] = Aligner(a_path, b_path)
-    return _aligners[a_path, b_path]
+    """The aligner of these files; a worker keeps it until another operator runs there."""
+    return common.held(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def align_texts(found: Aligner, texts: list[str | None]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:

@@ -7,7 +7,8 @@ import contextvars
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +115,22 @@ def fresh(taken: Iterable[str], *stems: str) -> list[str]:
     return out
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from one task to the next: the last one's alone, so that those of several operators never add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_held() -> None:
+    """For tasks that keep nothing themselves: a worker that ran another operator's lets go of what it kept for it."""
+    _held.clear()
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most this many rows, so that a worker's memory follows the batch, not the partition."""
     now = int(spark.conf.get(BATCH_ROWS, "10000"))

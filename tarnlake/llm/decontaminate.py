@@ -27,7 +27,6 @@ from . import common
 SPAN = StructType([StructField("first", LongType()), StructField("last", LongType()), StructField("start", LongType()), StructField("end", LongType())])
 LEAK = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(SPAN))])
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_built: dict[int, tuple] = {}
 
 
 def patterns(rows, window: int) -> dict[tuple[bytes, ...], set[str]]:
@@ -44,16 +43,16 @@ def _automaton(shared):
     """The automaton of a block and its word numbers; a worker keeps the latest one."""
     import ahocorasick
 
-    if shared.id not in _built:
-        _built.clear()
+    def build() -> tuple:
         numbers: dict[bytes, int] = {}
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for words, items in shared.value:
             machine.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), (len(words), items))
         if numbers:
             machine.make_automaton()
-        _built[shared.id] = machine, numbers
-    return _built[shared.id]
+        return machine, numbers
+
+    return common.held(("automaton", shared.id), build)
 
 
 class _Shared:

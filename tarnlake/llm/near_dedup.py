@@ -130,6 +130,7 @@ def sketches(docs: DataFrame, *, width: int, bands: int, rows: int, id_col: str,
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import hashlib
 
+        common.drop_held()
         hashes = _Words()
         number = np.arange(bands, dtype=np.uint64)
         for texts in batches:

@@ -26,7 +26,6 @@ from . import common
 
 PIECE = StructType([StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())])
 PLACE = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
-_encoders: dict = {}
 
 #: Texts below this code point are cut into words here; classes of these letters are settled in Unicode.
 _KNOWN = 0x250
@@ -46,7 +45,7 @@ def _words() -> re.Pattern:
 class Encoder:
     """Ids of texts by the tokenizers library, as bytes of little-endian unsigned 32-bit numbers.
 
-    Words are encoded by the library once and then remembered, for a worker's life and within
+    Words are encoded by the library once and then remembered, as long as the worker keeps it and within
     ``most`` words; beyond that the first ``keep`` stay, which are the frequent ones. Texts with a special
     token's string or with characters beyond those whose word classes are settled, and vocabularies that
     cut words in another way, are encoded as they are.
@@ -91,10 +90,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this file; a worker keeps it."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The encoder of this file; a worker keeps it until another operator runs there."""
+    return common.held(("encoder", path), lambda: Encoder(path))
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:

@@ -20,17 +20,17 @@ from . import common
 
 COUNTS = StructType([StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
 _MARK = "▁"
-_models: dict = {}
 
 
 def model(path: str):
     """The processor and whether single spaces are proven boundaries of it."""
-    if path not in _models:
+    def load() -> tuple:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        _models[path] = sp, not any(_MARK in sp.id_to_piece(i).lstrip(_MARK) for i in range(sp.vocab_size()))
-    return _models[path]
+        return sp, not any(_MARK in sp.id_to_piece(i).lstrip(_MARK) for i in range(sp.vocab_size()))
+
+    return common.held(("pieces", path), load)
 
 
 def starts(sp, text: str, at: int) -> list[int]:

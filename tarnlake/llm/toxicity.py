@@ -111,6 +111,7 @@ def fit_weights(names: list[str], texts: Iterable[str | None], labels: np.ndarra
 
 @F.pandas_udf(ArrayType(StringType()))
 def _features(texts: pd.Series) -> pd.Series:
+    common.drop_held()
     return pd.Series([sorted(features(t)) for t in texts], dtype=object)
 
 
@@ -159,6 +160,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "t
 
     @F.pandas_udf(DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.drop_held()
         model, memo = shared.value, {}
         for texts in batches:
             out = []

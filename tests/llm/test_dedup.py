@@ -6,9 +6,10 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tarnlake.llm import chats, line_dedup, near_dedup
+from tarnlake.llm import chats, common, line_dedup, near_dedup, toxicity
 
 
 def shingle_set(text):
@@ -473,3 +474,13 @@ def test_views_are_dealt_by_document(spark):
     assert set(got) == set(range(1, 60))
     # both texts of the first id, each line once
     assert all(sorted(v.theirs for v in vs) == sorted([[*lines, "own 0\n"], [*lines, "another text of the first id\n"]]) and {v.start for v in vs} == {0} for vs in got.values())
+
+def test_a_worker_keeps_one_operators_models():
+    """What packing and others keep from task to task is let go of where another operator runs."""
+    made = []
+    keep = lambda key: common.held(key, lambda: made.append(key) or [key])
+    assert keep("a") is keep("a") and made == ["a"]
+    keep("b")
+    assert list(common._held) == ["b"]
+    toxicity._features.func(pd.Series(["some words"]))
+    assert not common._held
