@@ -13,7 +13,9 @@ worker's life and within a bound of bytes. Texts and vocabularies for which that
 aligned whole.
 
 How many documents hold a pair is counted over blocks of documents: each block has its distinct pairs and how
-many of its documents hold them, so that what is shuffled follows the vocabulary, not the tokens.
+many of its documents hold them, so that what is shuffled follows the vocabulary, not the tokens. A block is a row
+for each of its pairs and documents, none wider than a document, and is met again in their order: tasks hold
+one block's counts, however many blocks they get.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +37,10 @@ from . import common
 
 MARK = "▁"
 STATS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
-BLOCK = "block long, ids array<long>, stats binary, shas array<string>, ptr binary, idx binary, weight binary, pairs binary, held binary"
+OWN = {"id": pa.int64(), "stats": pa.binary(), "sha": pa.string(), "idx": pa.binary(), "weight": pa.binary()}
+BLOCK = "block long, at long, pair long, held long, own struct<id:long,stats:binary,sha:string,idx:binary,weight:binary>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_overlaps long"
+RESULT_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 _EXPANDED = 1 << 20
 
 
@@ -73,6 +78,33 @@ def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, np.bincount(at, value, len(found)).astype(np.int64)
 
 
+def _least(x: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, after a byte that says how many."""
+    x = _least(x)
+    return bytes([x.itemsize]) + x.astype(x.dtype.newbyteorder("<")).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
+def _flat(lists: Iterator[list[int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of n lists, and how many each has."""
+    count = np.zeros(n, np.int64)
+
+    def each() -> Iterator[int]:
+        for i, x in enumerate(lists):
+            count[i] = len(x)
+            yield from x
+
+    return np.fromiter(each(), np.int64), count
+
+
 def byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte in a byte-level vocabulary: itself if printable, else from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -83,11 +115,13 @@ def byte_alphabet() -> dict[str, int]:
 class Aligner:
     """Words to their tokens, groups and links, remembered within ``most`` bytes."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 112 << 20):
+    def __init__(self, a_path: str, b_path: str, most: int = 96 << 20):
         from tokenizers import Tokenizer
 
         from .token_counts import model
 
+        # a task is one core; the library's own threads would each hold on to memory of theirs
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         with open(a_path, encoding="utf-8") as f:
@@ -111,8 +145,9 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.groups: list[bytes] = []
         self.sound = np.zeros(0, bool)
-        self.stats = np.zeros((0, len(STATS)), np.int64)
-        self.ptr, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # numbers that are kept take as few bytes as the largest of them needs
+        self.stats = np.zeros((0, len(STATS)), np.uint8)
+        self.ptr, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
         self.size = 0
 
     def words(self, text: str) -> list[str]:
@@ -124,18 +159,24 @@ class Aligner:
             words[-2:] = [f"{words[-2]} "]
         return words
 
+    def _ids(self, words: list[str], rows: int = 4000) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Both sides' ids of all words, and how many each word has."""
+        # A's results are many times the ids, so only some words' are there at a time
+        parts = [words[at : at + rows] for at in range(0, len(words), rows)]
+        a = (e.ids for part in parts for e in self.a.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False))
+        b = (ids for part in parts for ids in self.b.encode(part, num_threads=1))
+        return _flat(a, len(words)), _flat(b, len(words))
+
     def learn(self, words: list[str]) -> None:
         """Encode and align words that aren't known yet, all in one matrix."""
         n = len(words)
         whole = [f" {w}".encode("utf-8", "replace") for w in words]
-        a_ids = [e.ids for e in self.a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
-        b_ids = self.b.encode(words, num_threads=1)
-        sound = self._sound(a_ids, b_ids, whole)
+        (a, a_count), (b, b_count) = self._ids(words)
+        sound = self._sound(a, a_count, self.a_bytes, self.a_len, whole) & self._sound(b, b_count, self.b_bytes, self.b_len, whole)
         good = np.flatnonzero(sound)
         if len(good) < n:
-            a_ids, b_ids = ([ids if ok else [] for ids, ok in zip(side, sound.tolist(), strict=True)] for side in (a_ids, b_ids))
+            a, b = a[np.repeat(sound, a_count)], b[np.repeat(sound, b_count)]
         word_ends = np.cumsum(np.fromiter(map(len, whole), np.int64, n)[good])
-        a, b = (np.fromiter(itertools.chain.from_iterable(side), np.int64) for side in (a_ids, b_ids))
         a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
         total = int(word_ends[-1]) if len(good) else 0
@@ -155,27 +196,27 @@ class Aligner:
         parts = list(map(self.texts.__getitem__, code.tolist()))
         ends = np.cumsum(stats[:, 0] + stats[:, 1]).tolist()
         texts = [b"".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
-        begin = len(self.groups)
+        begin, before = len(self.groups), self._arrays()
         self.known.update(zip(words, range(begin, begin + n), strict=True))
         self.groups += texts
         self.sound = np.concatenate([self.sound, sound])
-        self.stats = np.concatenate([self.stats, stats])
+        self.stats = np.concatenate([self.stats, _least(stats)])
         self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.searchsorted(word, np.arange(n + 1))[1:]])
-        self.pairs, self.times = np.concatenate([self.pairs, keys]), np.concatenate([self.times, times])
-        self.size += sum(map(len, whole)) + sum(map(len, texts)) + 300 * n + 16 * len(keys)
-
-    def _sound(self, a_ids: list, b_ids: list, whole: list[bytes]) -> np.ndarray:
-        """Whose tokens' bytes are the word's on both sides; asked of all words at once, and of each where not all are."""
-        n, joined = len(whole), b"".join(whole)
-        sizes = np.fromiter(map(len, whole), np.int64, n)
-        fits = np.ones(n, bool)
-        for ids, table, lens in ((a_ids, self.a_bytes, self.a_len), (b_ids, self.b_bytes, self.b_len)):
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
-            owner = np.repeat(np.arange(n), np.fromiter(map(len, ids), np.int64, n))
-            same = np.array_equal(np.bincount(owner, lens[flat], n).astype(np.int64), sizes)
-            if not (same and b"".join(map(table.__getitem__, flat.tolist())) == joined):
-                fits &= np.fromiter((b"".join(map(table.__getitem__, x)) == w for x, w in zip(ids, whole, strict=True)), bool, n)
-        return fits
+        self.pairs, self.times = np.concatenate([self.pairs, _least(keys)]), np.concatenate([self.times, _least(times)])
+        # a word's objects: itself, its number, its groups, and their places in a table and a list
+        self.size += sum(map(len, whole)) + sum(map(len, texts)) + 190 * n + self._arrays() - before
+
+    def _arrays(self) -> int:
+        return sum(x.nbytes for x in (self.sound, self.stats, self.ptr, self.pairs, self.times))
+
+    def _sound(self, ids: np.ndarray, count: np.ndarray, table: list[bytes], lens: np.ndarray, whole: list[bytes]) -> np.ndarray:
+        """Whose tokens' bytes are the word's; asked of all words at once, and of each where not all are."""
+        n, flat = len(whole), ids.tolist()
+        same = np.array_equal(np.bincount(np.repeat(np.arange(n), count), lens[ids], n).astype(np.int64), np.fromiter(map(len, whole), np.int64, n))
+        if same and b"".join(map(table.__getitem__, flat)) == b"".join(whole):
+            return np.ones(n, bool)
+        ends = np.cumsum(count).tolist()
+        return np.fromiter((b"".join(map(table.__getitem__, flat[i:j])) == w for i, j, w in zip([0, *ends], ends, whole)), bool, n)
 
     def _links(self, a: np.ndarray, b: np.ndarray, g_a: np.ndarray, g_b: np.ndarray, group_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of ids that share a group, how often, and whose word they are, by word.
@@ -210,9 +251,9 @@ class Aligner:
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         own, n = np.unique(at, return_counts=True)
         if not self.sound[own].all():
-            return np.zeros(len(STATS), np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(len(STATS), np.int64), "", np.zeros(0, np.uint8), np.zeros(0, np.int64)
         place, owner = expand(own, self.ptr)
-        pairs, times = _summed(self.pairs[place], self.times[place] * n[owner])
+        pairs, times = _summed(self.pairs[place], self.times[place].astype(np.int64) * n[owner])
         sha = hashlib.sha256(b"".join(map(self.groups.__getitem__, at.tolist()))[:-1]).hexdigest()
         return n @ self.stats[own], sha, pairs, times
 
@@ -230,35 +271,38 @@ def align_texts(found: Aligner, texts: list[str | None]) -> list[tuple[np.ndarra
     fresh = list({w for words in cut if words for w in words}.difference(found.known))
     if fresh:
         found.learn(fresh)
-    none = np.zeros(len(STATS), np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(len(STATS), np.int64), "", np.zeros(0, np.uint8), np.zeros(0, np.int64)
     return [found.document(words) if words else none for words in cut]
 
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str, chars: int) -> DataFrame:
-    """A row for each block of about so many characters: its documents by its distinct pairs."""
+    """Blocks of about so many characters: a row for each of a block's distinct pairs, then one for each of its documents.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A pair's row has its number in the block and how many of the block's documents hold it; a document's has the
+    numbers of its pairs. No row is larger than its document, so a file's and a batch's size follow the documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, part, number = aligner(a_path, b_path), TaskContext.get().partitionId(), 0
         held, size = [], 0
 
-        def block() -> pd.DataFrame:
+        def rows(at: np.ndarray, pair: pa.Array, holds: pa.Array, own: pa.Array) -> pa.RecordBatch:
+            block = np.full(len(at), (part << 32) + number, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at), pair, holds, own], ["block", "at", "pair", "held", "own"])
+
+        def block() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            pairs, idx = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
             number += 1
-            return pd.DataFrame({
-                "block": [(part << 32) + number],
-                "ids": [[None if pd.isna(x[0]) else int(x[0]) for x in held]],
-                "stats": [np.stack([x[1] for x in held]).tobytes()],
-                "shas": [[x[2] for x in held]],
-                "ptr": [np.cumsum([0, *(len(x[3]) for x in held)]).tobytes()],
-                "idx": [idx.astype("<u4").tobytes()],
-                "weight": [np.concatenate([x[4] for x in held]).astype("<i8").tobytes()],
-                "pairs": [pairs.astype("<i8").tobytes()],
-                "held": [np.bincount(idx, minlength=len(pairs)).astype("<i8").tobytes()],
-            })
+            pairs, idx = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
+            n, m, kind = len(pairs), len(held), pa.struct(OWN)
+            yield rows(np.arange(n), pa.array(pairs.astype(np.int64)), pa.array(np.bincount(idx, minlength=n)), pa.nulls(n, kind))
+            idx = np.split(idx, np.cumsum([len(x[3]) for x in held])[:-1])
+            values = [x[0] for x in held], [x[1].astype("<i8").tobytes() for x in held], [x[2] for x in held], map(packed, idx), [packed(x[4]) for x in held]
+            own = pa.StructArray.from_arrays([pa.array(v, kind) for v, kind in zip(values, OWN.values(), strict=True)], list(OWN))
+            yield rows(np.arange(n, n + m), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), own)
 
         for batch in batches:
-            ids, texts = batch["id"].tolist(), batch["text"].tolist()
+            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             begin = 0
             while begin < len(texts):
                 end, taken = begin, 0
@@ -268,22 +312,40 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, chars: int) -> DataFrame:
                 held += [(i, *x) for i, x in zip(ids[begin:end], align_texts(found, texts[begin:end]), strict=True)]
                 size, begin = size + taken, end
                 if size >= chars or len(held) >= 20_000:
-                    yield block()
+                    yield from block()
                     held, size = [], 0
         if held:
-            yield block()
-
-    return docs.mapInPandas(run, BLOCK)
-
-
-def _pair_rows(blocks: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block, pairs, held in zip(batch["block"], batch["pairs"], batch["held"], strict=True):
-                pair = np.frombuffer(pairs, "<i8")
-                yield pd.DataFrame({"block": block, "at": np.arange(len(pair), dtype=np.int32), "pair": pair, "held": np.frombuffer(held, "<i8")})
-
-    return blocks.select("block", "pairs", "held").mapInPandas(run, "block long, at int, pair long, held long")
+            yield from block()
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks one after the other, in each its pairs' counts and then its documents, to the documents' results."""
+    common.drop_held()
+    block, n, best = None, [], []
+    for batch in batches:
+        where, is_pair = batch.column("block").to_numpy(), batch.column("n").is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((where[1:] != where[:-1]) | (is_pair[1:] != is_pair[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)], strict=True):
+            if i == j:
+                continue
+            part = batch.slice(i, j - i)
+            if where[i] != block:
+                block, n, best = where[i], [], []
+            if is_pair[i]:
+                n.append(part.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
+                best.append(part.column("best").to_numpy(zero_copy_only=False).astype(bool))
+                continue
+            n, best = ([np.concatenate(x)] if x else [np.zeros(0, kind)] for x, kind in ((n, np.int64), (best, bool)))
+            ids, stats, shas, idx, weight = part.column("own").flatten()
+            out = dict(zip(STATS, np.frombuffer(b"".join(stats.to_pylist()), "<i8").reshape(-1, len(STATS)).T, strict=True))
+            sums = []
+            for x, w in zip(idx.to_pylist(), weight.to_pylist(), strict=True):
+                x, w = unpacked(x), unpacked(w)
+                sums.append((int(w @ best[0][x]), int(w @ n[0][x])))
+            out |= {"doc_id": ids, "groups_sha256": shas} | dict(zip(("n_best", "count_sum"), np.array(sums, np.int64).T, strict=True))
+            yield pa.RecordBatch.from_pydict({c: out[c] if isinstance(out[c], pa.Array) else pa.array(np.ascontiguousarray(out[c])) for c in RESULT_COLUMNS})
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text: str = "text", block_chars: int = 4 << 20) -> DataFrame:
@@ -303,32 +365,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
         from .token_counts import model
 
         width = model(b_path)[0].vocab_size()
-        rows = common.materialize(_pair_rows(blocks), "block-pairs")
+        rows = blocks.filter(F.col("pair").isNotNull())
         total = common.materialize(rows.groupBy("pair").agg(F.sum("held").alias("n")), "pair-counts")
         a_id = F.floor(F.col("pair") / width)
         best = total.groupBy(a_id.alias("a")).agg(F.max("n").alias("most"))
         known = total.join(best, F.col("a") == a_id).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-        back = rows.join(common.materialize(known, "known-pairs"), "pair").groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("counts"))
-        # arrays of numbers come to Python as such, structs as an object each
-        back = back.select("block", *[F.col("counts")[c].alias(f"known_{c}") for c in ("at", "n", "best")])
-        ready = blocks.drop("pairs", "held").join(back, "block", "left")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    ptr, idx, weight = np.frombuffer(row.ptr, "<i8"), np.frombuffer(row.idx, "<u4"), np.frombuffer(row.weight, "<i8")
-                    n, best = np.zeros(0, np.int64), np.zeros(0, bool)
-                    if row.known_at is not None:
-                        order = np.argsort(np.asarray(row.known_at))
-                        n, best = np.asarray(row.known_n, np.int64)[order], np.asarray(row.known_best, bool)[order]
-                    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ptr])  # noqa: B023, E731
-                    stats = np.frombuffer(row.stats, "<i8").reshape(-1, len(STATS))
-                    out = dict(zip(STATS, stats.T, strict=True))
-                    yield pd.DataFrame({
-                        "doc_id": pd.array(list(row.ids), dtype="Int64"), "n_a": out["n_a"], "n_b": out["n_b"], "n_groups": out["n_groups"], "n_links": out["n_links"],
-                        "n_best": sums(weight * best[idx]), "count_sum": sums(weight * n[idx]), "groups_sha256": list(row.shas), "n_overlaps": out["n_overlaps"],
-                    })
-
-        result = common.materialize(ready.mapInPandas(run, RESULT), "aligned")
+        counts = rows.select("block", "at", "pair").join(common.materialize(known, "known-pairs"), "pair").select("block", "at", "n", "best")
+        own = blocks.filter(F.col("pair").isNull()).select("block", "at", "own")
+        # a block's rows in one task and in order: sorted by Spark, which spills, and passed on a batch at a time
+        ready = counts.unionByName(own, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
+        result = common.materialize(ready.mapInArrow(_ranks, RESULT), "aligned")
         kept.append(result)
     return result

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.llm import alignment
+from tarnlake.llm import alignment, common
 from tarnlake.llm.queries import tokenizer
 
 A, B = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
@@ -119,3 +119,58 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(docs, A, B).count() == 0
     assert alignment.align(docs.union(spark.range(1).select("id", F.lit(None).cast("string"))), A, B).first().groups_sha256 == ""
+
+
+def width(value) -> int:
+    """Bytes of a value with all that it holds."""
+    if isinstance(value, list | tuple):
+        return sum(map(width, value))
+    return len(value) if isinstance(value, bytes | bytearray | str) else 8
+
+
+def test_no_row_of_a_block_is_wider_than_its_document(spark):
+    """One task that gets many blocks holds none of them whole: rows follow the documents, not the block."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} and some more of row {i}, the same here") for i in range(900)], "id long, text string").coalesce(1)
+    rows = alignment._blocks(docs, A, B, 4 << 20).collect()
+    assert max(map(width, rows)) < 400
+    assert len({r.block for r in rows}) == 1
+
+
+@pytest.mark.parametrize("numbers", [[], [0, 255], [256, 3], [1 << 16], [(1 << 32) - 1], [1 << 32, 0], [(1 << 63) - 1]])
+def test_packed_numbers(numbers):
+    x = np.array(numbers, np.int64)
+    assert alignment.unpacked(alignment.packed(x)).tolist() == numbers
+    assert len(alignment.packed(x)) <= 1 + 8 * len(numbers)
+
+
+@pytest.mark.parametrize("batch_rows", [1, 7, 1000])
+def test_blocks_are_met_in_any_batches(spark, batch_rows):
+    big = 1 << 53
+    docs = spark.createDataFrame([(big + i if i % 5 else None, t) for i, t in enumerate(TEXTS * 2)], "doc_id long, text string").coalesce(2)
+    want = sorted(map(str, alignment.align(docs, A, B).collect()))
+    before = spark.conf.get(common.BATCH_ROWS)
+    spark.conf.set(common.BATCH_ROWS, str(batch_rows))
+    try:
+        got = alignment.align(docs, A, B, block_chars=60).collect()
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)
+    assert sorted(map(str, got)) == want
+    assert {r.doc_id for r in got if r.doc_id is not None} == {big + i for i in range(2 * len(TEXTS)) if i % 5}
+
+
+def test_words_are_let_go_of_once_all_are_aligned():
+    alignment.align_texts(alignment.aligner(A, B), ["some words"])
+    assert list(alignment._ranks(iter([]))) == [] and not common._held
+
+
+def test_kept_numbers_are_as_narrow_as_they_can_be(libraries):
+    found = alignment.Aligner(A, B)
+    alignment.align_texts(found, [" ".join(f"word{i}" for i in range(5000))])
+    assert found.stats.dtype == np.uint8 and found.times.dtype == np.uint8 and found.pairs.dtype == np.uint32
+    # a word of many tokens widens them, and neither it nor those before change
+    text = "a" * 300 + "🙂" * 400
+    (stats, sha, pairs, times), early = alignment.align_texts(found, [text, "word17"])
+    groups, overlaps = brute(text, libraries)
+    links = Counter((x, y) for a, b in groups for x in a for y in b)
+    assert stats.tolist()[-2:] == [sum(links.values()), overlaps] and max(times) == max(links.values()) > 255
+    assert early[1] == alignment.align_texts(alignment.Aligner(A, B), ["word17"])[0][1]
